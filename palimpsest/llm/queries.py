@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module.
 MODULES = {
+    "op6_simhash": "simhash",
     "op10_exact_dedup": "exact_dedup",
 }
 
