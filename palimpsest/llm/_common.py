@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the result contracts.
@@ -143,3 +143,45 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def stable_shuffle(*cols: Column) -> Column:
     """A fixed pseudo-random order key, non-negative."""
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
+def ranked(df: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``rank`` (from 0, by ``order``) and, for each of ``sums``, ``before_<name>``:
+    the sum over the rows ahead.
+
+    A range shuffle sorts the rows, so a hot value of a leading column spreads over partitions;
+    each partition counts from zero and the partitions' totals (one row each) are added on.
+    ``order`` should tell rows apart; rows equal in it may swap between runs.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    laid = staged(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    ahead = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    names = ["rank", *[f"before_{c}" for c in sums]]
+    values = [F.lit(1).cast("long"), *[F.col(c) for c in sums]]
+    totals = laid.groupBy("_part").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(values))])
+    inner = laid.withColumns({f"_w{i}": F.coalesce(F.sum(v).over(ahead), F.lit(0)) for i, v in enumerate(values)})
+    out = inner.join(bases, "_part")
+    return out.select(*df.columns, *[(F.col(f"_w{i}") + F.col(f"_b{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def rank_in_class(df: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:
+    """``df`` with ``rank`` from 0 among the rows of equal ``key``, in an arbitrary but fixed order.
+
+    Rows of a class are dealt into buckets of some ten thousand by a hash of ``order``, ranked in
+    their bucket, and moved by what the buckets ahead hold, so a class with most of the rows is no
+    single task.
+    """
+    buckets = max(1, rows // 20_000)
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    here = Window.partitionBy(key, "_bucket").orderBy(*order)
+    counts = dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    return (
+        dealt.withColumn("_r", F.row_number().over(here) - 1)
+        .join(bases, [key, "_bucket"])
+        .select(*df.columns, (F.col("_base") + F.col("_r")).cast("long").alias("rank"))
+    )

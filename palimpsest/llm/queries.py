@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module.
 MODULES = {
+    "op2_mixing": "mixing",
+    "op5_packing": "packing",
     "op6_simhash": "simhash",
     "op10_exact_dedup": "exact_dedup",
 }
