@@ -83,12 +83,12 @@ def ascii_lower(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the maximal runs without ASCII white space."""
+def word_spans(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the maximal runs of bytes that ``inside`` marks (by default, not ASCII white space)."""
     if not len(raw):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~_IS_SPACE[raw]
+    solid = ~_IS_SPACE[raw] if inside is None else inside[raw]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
@@ -140,6 +140,25 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((sums[ends] - sums[starts]) * _power("down", _BASE_INV, n + 1)[starts])
 
 
+#: Bytes of words as a classifier sees them: letters of ASCII, and all longer characters.
+LETTER_BYTES = np.zeros(256, dtype=bool)
+LETTER_BYTES[65:91] = LETTER_BYTES[97:123] = LETTER_BYTES[128:] = True
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, rows: int) -> DataFrame:
+    """(text, y) of about ``rows`` labelled documents outside the held fold, at most; all of them if they are fewer.
+
+    The choice is by a hash of the id, so it doesn't depend on order or partitions. The chosen ids are
+    bounded by ``rows`` and are broadcast; texts aren't shuffled.
+    """
+    known = labels.where(labels[label].isNotNull() & labels["doc_id"].isNotNull() & (fold(labels["doc_id"], folds) != held_fold))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    n = known.count()
+    if n > rows:
+        known = known.where(stable_shuffle(F.lit(7), "doc_id") < F.lit(int(rows / n * (1 << 63))))
+    return texts_of(docs).join(F.broadcast(known), "doc_id").select("text", "y")
+
+
 def stable_shuffle(*cols: Column) -> Column:
     """A fixed pseudo-random order key, non-negative."""
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

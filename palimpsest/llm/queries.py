@@ -7,8 +7,11 @@ import importlib
 #: Query name -> module.
 MODULES = {
     "op2_mixing": "mixing",
+    "op3_language_id": "language_id",
     "op5_packing": "packing",
     "op6_simhash": "simhash",
+    "op7_toxicity": "toxicity",
+    "op8_quality": "quality",
     "op10_exact_dedup": "exact_dedup",
 }
 
