@@ -193,7 +193,7 @@ def rank_in_class(df: DataFrame, key: str, order: list[str], rows: int) -> DataF
     their bucket, and moved by what the buckets ahead hold, so a class with most of the rows is no
     single task.
     """
-    buckets = max(1, rows // 20_000)
+    buckets = max(1, min(rows // 200, 512), rows // 20_000)
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     here = Window.partitionBy(key, "_bucket").orderBy(*order)
     counts = dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))

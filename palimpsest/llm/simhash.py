@@ -148,7 +148,7 @@ def _stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def shard_stars(dealt: DataFrame, radius: int, partitions: int | None = None) -> DataFrame:
-    """(a, b) fingerprints that one shard found linked, b the least value of its component."""
+    """(a, b) fingerprints that one shard found linked: a small shard's links, a large one's stars."""
 
     def run(batches):
         held: list[tuple] = []
@@ -166,8 +166,26 @@ def shard_stars(dealt: DataFrame, radius: int, partitions: int | None = None) ->
                 continue
             mask, shard, fp = (batch.column(c).to_numpy() for c in ("mask", "shard", "fp"))
             cuts = np.flatnonzero((np.diff(mask) != 0) | (np.diff(shard) != 0)) + 1
-            bounds = [0, *cuts.tolist(), len(fp)]
-            for lo, hi in zip(bounds, bounds[1:]):
+            bounds = np.concatenate([[0], cuts, [len(fp)]])
+            sizes = np.diff(bounds)
+            # most shards are small and lie within a batch: compare each row with those up to LEAF places on
+            inner = (sizes <= LEAF) & (sizes > 1)
+            inner[[0, -1]] = False
+            if inner.any():
+                rows = np.flatnonzero(np.repeat(inner, sizes))
+                shard_of, values = np.repeat(np.arange(len(sizes)), sizes)[rows], fp[rows].view(np.uint64)
+                a, b = [], []
+                for step in range(1, int(sizes[inner].max())):
+                    near = (shard_of[step:] == shard_of[:-step]) & (np.bitwise_count(values[step:] ^ values[:-step]) <= radius)
+                    at = np.flatnonzero(near)
+                    a.append(values[at + step])
+                    b.append(values[at])
+                a, b = np.concatenate(a), np.concatenate(b)
+                if len(a):
+                    pairs = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            for i in np.flatnonzero(~inner & ((sizes > 1) | (np.arange(len(sizes)) % max(1, len(sizes) - 1) == 0))).tolist():
+                lo, hi = bounds[i], bounds[i + 1]
                 key = (mask[lo], shard[lo])
                 if held and held[0][0] != key:
                     if sum(len(r) for _, r in held) > 1 and (out := close(held)) is not None:
@@ -230,6 +248,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return small.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6) -> DataFrame:
+    """The rows of ``docs``, with every column, without those that link to a smaller id; rows of one id stay or go together."""
+    found = groups(docs, id_col, text_col, width, radius)
+    drop = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct())
+    return docs.join(drop, docs[id_col].cast("long") == drop["_drop_id"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
