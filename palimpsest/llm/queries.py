@@ -12,6 +12,7 @@ MODULES = {
     "op6_simhash": "simhash",
     "op7_toxicity": "toxicity",
     "op8_quality": "quality",
+    "op9_media": "media",
     "op10_exact_dedup": "exact_dedup",
 }
 
