@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module.
 MODULES = {
+    "op1_pii": "pii",
     "op2_mixing": "mixing",
     "op3_language_id": "language_id",
     "op5_packing": "packing",
