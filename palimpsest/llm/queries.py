@@ -9,6 +9,7 @@ MODULES = {
     "op1_pii": "pii",
     "op2_mixing": "mixing",
     "op3_language_id": "language_id",
+    "op4_lm_score": "lm_score",
     "op5_packing": "packing",
     "op6_simhash": "simhash",
     "op7_toxicity": "toxicity",
