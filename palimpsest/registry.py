@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import delta, matching, record, texts, watch
+
+MODULES = (delta, record, matching, watch, texts)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
