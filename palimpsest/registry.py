@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import delta, matching, record, texts, watch
+from .plans import delta, matching, record, texts, upkeep, watch
 
-MODULES = (delta, record, matching, watch, texts)
+MODULES = (delta, record, matching, watch, texts, upkeep)
 
 
 def queries() -> dict:
