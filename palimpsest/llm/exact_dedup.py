@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import SPACES, staged, table, text_blocks, texts_of
 
@@ -191,25 +192,29 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts_of(docs, id_col, text_col)
     suspects = staged(merged_counts(counting_filters(fingerprints(texts))).where("copies > 1").select("fp"))
     shared = docs.sparkSession.sparkContext.broadcast(quotient_bitmap(suspects))
-    whole = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("kept_row"),
-        docs[id_col].cast("long").alias("doc_id"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
-    )
-
-    @F.pandas_udf("struct<suspect:boolean,normal:binary>")
-    def routed(text):
-        import pandas as pd
-
-        normals = [_normal(t.encode()) for t in text]
-        fp = np.array([xxhash.xxh3_64_intdigest(x) for x in normals], dtype=np.uint64)
-        hit = _hit(shared.value, fp) if len(fp) else np.zeros(0, bool)
-        return pd.DataFrame({"suspect": hit, "normal": [x if h else None for x, h in zip(normals, hit)]})
-
-    marked = whole.withColumn("r", routed("text"))
-    order = F.struct((-F.char_length("text")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
-    alone = marked.where(~F.col("r.suspect")).select("kept_row.*")
-    copies = marked.where("r.suspect").groupBy(F.col("r.normal").alias("normal")).agg(F.min_by("kept_row", order).alias("kept_row"))
+    at = docs.columns.index(text_col)
+    added = "_normal" + "_" * max(len(c) for c in docs.columns)  # no column has this name
+
+    def routed(suspect: bool):
+        def run(batches):
+            for batch in batches:
+                for lo, hi, raw, offs in text_blocks(batch.column(at)):
+                    data, part = raw.tobytes(), batch.slice(lo, hi - lo)
+                    normals = [_normal(data[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                    hit = _hit(shared.value, np.array([xxhash.xxh3_64_intdigest(x) for x in normals], dtype=np.uint64))
+                    if suspect:
+                        part = pa.RecordBatch.from_arrays([*part.columns, pa.array(normals, pa.binary())], names=[*part.schema.names, added])
+                    yield part.filter(pa.array(hit == suspect))
+
+        return run
+
+    fields = docs.schema.fields
+    alone = docs.mapInArrow(routed(False), docs.schema)
+    suspects = docs.mapInArrow(routed(True), T.StructType([*fields, T.StructField(added, T.BinaryType())]))
+    whole = F.struct(*[suspects[c] for c in docs.columns])
+    text, key = F.coalesce(suspects[text_col].cast("string"), F.lit("")), suspects[id_col].cast("long")
+    order = F.struct((-F.char_length(text)).alias("a"), key.isNull().alias("b"), key.alias("c"))
+    copies = suspects.groupBy(added).agg(F.min_by(whole, order).alias("kept_row"))
     return alone.unionByName(copies.select("kept_row.*"))
 
 

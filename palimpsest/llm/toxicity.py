@@ -54,8 +54,8 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def fit(buckets: np.ndarray, sentence: np.ndarray, bag: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias. ``bag`` is each sentence's document, ``y`` each document's label."""
-    seen = np.unique(np.stack([bag[sentence], buckets]), axis=1) if len(buckets) else np.zeros((2, 0), int)
-    often = np.bincount(seen[1], minlength=BUCKETS) >= LEAST_DOCUMENTS
+    seen = np.unique(bag[sentence] * BUCKETS + buckets) % BUCKETS
+    often = np.bincount(seen, minlength=BUCKETS) >= LEAST_DOCUMENTS
     known = np.flatnonzero(often)
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
@@ -175,18 +175,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(labelled_sample(docs, labels, "toxic", FOLDS, HELD_FOLD, TRAIN_ROWS))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        column = pa.Array.from_pandas(text, type=pa.large_string())
-        out = np.zeros(len(text))
-        for lo, hi, raw, offs in text_blocks(column):
-            _, _, rows, z = _sentence_logits(shared.value, raw, offs)
-            out[lo:hi] = -np.expm1(-np.bincount(rows, weights=_softplus(z), minlength=hi - lo))
-        return pd.Series(out)
+    def run(batches):
+        for batch in batches:
+            column = pa.array(batch.column(batch.schema.get_field_index("text")))
+            for lo, hi, raw, offs in text_blocks(column):
+                _, _, rows, z = _sentence_logits(shared.value, raw, offs)
+                score = -np.expm1(-np.bincount(rows, weights=_softplus(z), minlength=hi - lo))
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < 0.5))
 
-    return docs.where(score(F.coalesce(docs["text"].cast("string"), F.lit(""))) < 0.5)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
