@@ -148,7 +148,7 @@ def _stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def shard_stars(dealt: DataFrame, radius: int, partitions: int | None = None) -> DataFrame:
-    """(a, b) fingerprints that one shard found linked: a small shard's links, a large one's stars."""
+    """(a, b) fingerprints that one shard found linked, b the first of its component there."""
 
     def run(batches):
         held: list[tuple] = []
@@ -178,12 +178,12 @@ def shard_stars(dealt: DataFrame, radius: int, partitions: int | None = None) ->
                 for step in range(1, int(sizes[inner].max())):
                     near = (shard_of[step:] == shard_of[:-step]) & (np.bitwise_count(values[step:] ^ values[:-step]) <= radius)
                     at = np.flatnonzero(near)
-                    a.append(values[at + step])
-                    b.append(values[at])
-                a, b = np.concatenate(a), np.concatenate(b)
-                if len(a):
-                    pairs = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                    a.append(at + step)
+                    b.append(at)
+                label = _stars(len(values), np.concatenate(a), np.concatenate(b))
+                moved = np.flatnonzero(values[label] != values)
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(values[moved].view(np.int64)), pa.array(values[label[moved]].view(np.int64))], names=["a", "b"])
             for i in np.flatnonzero(~inner & ((sizes > 1) | (np.arange(len(sizes)) % max(1, len(sizes) - 1) == 0))).tolist():
                 lo, hi = bounds[i], bounds[i + 1]
                 key = (mask[lo], shard[lo])
@@ -196,7 +196,7 @@ def shard_stars(dealt: DataFrame, radius: int, partitions: int | None = None) ->
             yield out
 
     parts = partitions or int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.repartition(parts, "mask", "shard").sortWithinPartitions("mask", "shard")
+    grouped = dealt.repartition(parts, "mask", "shard").sortWithinPartitions("mask", "shard", "fp")
     return grouped.mapInArrow(run, "a long, b long")
 
 
@@ -207,15 +207,13 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     while True:
         last = len(shard_masks(radius, levels)) == len(shard_masks(radius, levels + 1))
         dealt = _dealt(fps, radius, levels)
-        sizes = dealt.groupBy("mask", "shard").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = staged(sizes)
-        small = sizes if last else sizes.where(F.col("n") <= SHARD_ROWS)
-        stars = shard_stars(dealt.join(small.select("mask", "shard"), ["mask", "shard"], "left_semi"), radius)
+        large = staged(dealt.groupBy("mask", "shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).select("mask", "shard"))
+        done = last or large.isEmpty()
+        stars = shard_stars(dealt if done else dealt.join(large, ["mask", "shard"], "left_anti"), radius)
         found = stars if found is None else found.unionByName(stars)
-        large = sizes.where(F.col("n") > SHARD_ROWS)
-        if last or large.isEmpty():
+        if done:
             return found
-        fps = staged(dealt.join(large.select("mask", "shard"), ["mask", "shard"], "left_semi").select("fp").distinct())
+        fps = staged(dealt.join(large, ["mask", "shard"], "left_semi").select("fp").distinct())
         levels += 1
 
 
