@@ -28,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,24 +53,30 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches):
-    """(first row, ids, words, rows): hashes of the words of a block of documents and each word's row in it."""
-    first, ids, words, rows, n_words = None, [], [], [], 0
+    """(number, ids, words, rows): hashes of the words of a block of documents and each word's row in it.
+
+    A block's number is its task's partition and its place there, so a task that runs again gives the
+    same numbers.
+    """
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 24
+    ids, words, rows, n_words = [], [], [], 0
     for batch in batches:
-        numbers = batch.column("row").to_numpy() if batch.num_rows else []
         doc_ids = batch.column("doc_id").to_pylist()
-        for lo, hi, raw, offs in text_blocks(batch.column("text")):
+        # a slice has less rows than a block, so a block's places fit its arrays
+        slices = ((at, part) for at in range(0, batch.num_rows, 8192) for part in text_blocks(batch.column("text").slice(at, 8192)))
+        for at, (lo, hi, raw, offs) in slices:
+            lo, hi = lo + at, hi + at
             if ids and (n_words > BLOCK_WORDS or len(ids) + hi - lo > BLOCK_ROWS):
-                yield first, ids, np.concatenate(words), np.concatenate(rows)
-                first, ids, words, rows, n_words = None, [], [], [], 0
-            if first is None:
-                first = int(numbers[lo])
+                yield number, ids, np.concatenate(words), np.concatenate(rows)
+                number, ids, words, rows, n_words = number + 1, [], [], [], 0
             s, e, r = word_spans(raw, offs)
             words.append(span_hashes(ascii_lower(raw), s, e))
             rows.append(r + len(ids))
             ids += doc_ids[lo:hi]
             n_words += len(s)
     if ids:
-        yield first, ids, np.concatenate(words), np.concatenate(rows)
+        yield number, ids, np.concatenate(words), np.concatenate(rows)
 
 
 def _inner(rows: np.ndarray) -> np.ndarray:
@@ -258,8 +265,19 @@ def _flat(column: pa.Array, type_) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(type_, copy=False) if len(column) else np.zeros(0, type_)
 
 
+SUMMED = "first long, local array<short>, sums array<double>, ids array<long>, words array<long>"
+
+
+def _row_of(first: int, local, sums, ids=None, words=None) -> pa.RecordBatch:
+    def cell(values, type_):
+        return pa.array([values], pa.list_(type_))
+
+    columns = [pa.array([first], pa.int64()), cell(local, pa.int16()), cell(sums, pa.float64()), cell(ids, pa.int64()), cell(words, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["first", "local", "sums", "ids", "words"])
+
+
 def part_sums(shipped: DataFrame, model, parts: int) -> DataFrame:
-    """(row, doc_id, n_words, log_prob): sums by document of each part."""
+    """Sums by document of each part, as one row for each block of documents and part."""
     held = shipped.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -269,12 +287,12 @@ def part_sums(shipped: DataFrame, model, parts: int) -> DataFrame:
             kinds, first, label = batch.column("kind").to_numpy(), batch.column("first").to_numpy(), batch.column("part").to_numpy()
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                row = _flat(one.column("local"), np.int64) + first[i]
+                local = _flat(one.column("local"), np.int64)
                 if kinds[i] == SUMS:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row), one.column("ids").flatten(), pa.array(_flat(one.column("others"), np.int64)), one.column("sums").flatten()], names=["row", "doc_id", "n_words", "log_prob"]
-                    )
+                    yield _row_of(int(first[i]), local, _flat(one.column("sums"), np.float64), one.column("ids").flatten().to_pylist(), _flat(one.column("others"), np.int64))
                     continue
+                # a block's number above, the document's place in it below
+                row = first[i] * BLOCK_ROWS * 2 + local
                 use = (row, _flat(one.column("keys"), np.int64).view(np.uint64), _flat(one.column("others"), np.int64).view(np.uint64), _flat(one.column("small"), np.int64))
                 pieces.setdefault(int(label[i]), {}).setdefault(int(kinds[i]), []).append(use)
         while pieces:
@@ -286,11 +304,34 @@ def part_sums(shipped: DataFrame, model, parts: int) -> DataFrame:
         if sums_rows:
             rows, back = np.unique(np.concatenate(sums_rows), return_inverse=True)
             values = np.bincount(back, weights=np.concatenate(sums_values), minlength=len(rows))
-            for at in range(0, len(rows), 50_000):
-                n = len(rows[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + n]), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(values[at : at + n])], names=["row", "doc_id", "n_words", "log_prob"])
+            block, local = rows // (BLOCK_ROWS * 2), rows % (BLOCK_ROWS * 2)
+            cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(rows))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield _row_of(int(block[lo]), local[lo:hi], values[lo:hi])
+
+    return shipped.repartition(parts, "part").mapInArrow(run, SUMMED)
+
+
+def block_sums(summed: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, n_words, log_prob) of every document: its block's sums from all parts together."""
+
+    def run(batches):
+        blocks: dict[int, list] = {}
+        for batch in batches:
+            firsts = batch.column("first").to_pylist()
+            for i, first in enumerate(firsts):
+                one = batch.slice(i, 1)
+                held = blocks.setdefault(first, (np.zeros(BLOCK_ROWS * 2), []))
+                local = _flat(one.column("local"), np.int64)
+                held[0][local] += _flat(one.column("sums"), np.float64)
+                if one.column("ids").null_count == 0:
+                    held[1].append((local, one.column("ids").flatten(), _flat(one.column("words"), np.int64)))
+        while blocks:
+            _, (sums, named) = blocks.popitem()
+            for local, ids, words in named:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(words), pa.array(sums[local])], names=["doc_id", "n_words", "log_prob"])
 
-    return shipped.repartition(parts, "part").mapInArrow(run, "row long, doc_id long, n_words long, log_prob double")
+    return summed.repartition(parts, "first").mapInArrow(run, "doc_id long, n_words long, log_prob double")
 
 
 def _labels(spark: SparkSession, parts: int) -> np.ndarray:
@@ -306,12 +347,11 @@ def _labels(spark: SparkSession, parts: int) -> np.ndarray:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """One row per input row: doc_id, n_words, log_prob, score."""
     spark = docs.sparkSession
-    texts = texts_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    texts = texts_of(docs, id_col, text_col)
     model = frequent(texts, share)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model[0] // PART_GRAMS)
-    sums = part_sums(exploded(texts, model, _labels(spark, parts)), model, parts)
-    whole = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob"))
-    return whole.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("score"))
+    summed = part_sums(exploded(texts, model, _labels(spark, parts)), model, parts)
+    return block_sums(summed, parts).select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
