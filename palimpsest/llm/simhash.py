@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import staged, table, text_blocks, texts_of
@@ -223,6 +223,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours, then the label's own label, so a path halves.
     """
     pairs = edges.where("a <> b").distinct()
+    # a node's neighbours and itself hang on the least of them: as connected, with about one edge a node
+    hung = pairs.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    pairs = hung.select("a", F.col("m").alias("b")).unionByName(hung.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
     both = staged(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
