@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import exact_dedup, mixing, packing, simhash, toxicity
 from palimpsest.llm._common import staged, table
 
-#: Words in a shingle of the near-duplicate stage, and the differing bits up to which texts are copies.
+#: Words in a shingle of the near-duplicate stage, the differing bits up to which fingerprints propose a pair,
+#: and the Jaccard similarity from which texts are copies.
 NEAR_WIDTH = 5
 NEAR_RADIUS = 6
+NEAR_FLOOR = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs, width=NEAR_WIDTH, radius=NEAR_RADIUS)
+    return simhash.near_dedup(docs, width=NEAR_WIDTH, radius=NEAR_RADIUS, floor=NEAR_FLOOR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import jaccard
 from ._common import staged, table, text_blocks, texts_of
 
 SEED = 42
@@ -249,10 +250,35 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return small.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6) -> DataFrame:
-    """The rows of ``docs``, with every column, without those that link to a smaller id; rows of one id stay or go together."""
-    found = groups(docs, id_col, text_col, width, radius)
-    drop = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct())
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, floor: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with every column, without those that link to a smaller id; rows of one id stay or go together.
+
+    Texts link when the Jaccard similarity of their shingles is ``floor`` or more. Fingerprints within
+    ``radius`` propose pairs; an exact prefix filter proposes the others, see :mod:`.jaccard`.
+    """
+    texts = texts_of(docs, id_col, text_col)
+
+    def run(batches):
+        for batch in batches:
+            fps, nodes = [], []
+            for _, _, raw, offs in text_blocks(batch.column("text")):
+                data = raw.tobytes()
+                for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                    fps.append(fingerprint(data[s:e], width))
+                    nodes.append(jaccard.node_of(data[s:e]))
+            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array(nodes, pa.int64()), batch.column("text")], names=["doc_id", "fp", "node", "text"])
+
+    marked = texts.mapInArrow(run, "doc_id long, fp long, node long, text string")
+    small = staged(marked.drop("text"))
+    near = components(staged(links(small.select("fp").distinct(), radius))).withColumnRenamed("node", "fp")
+    alike = small.select("fp", "node").distinct().join(near, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    firsts = alike.groupBy("label").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    proposed = alike.join(firsts, "label").select("a", F.col("node").alias("b"))
+    found = components(staged(jaccard.links(marked.select("node", "text"), proposed, width, floor)))
+    labelled = small.join(found, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    drop = staged(labelled.join(least, "label").where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct())
     return docs.join(drop, docs[id_col].cast("long") == drop["_drop_id"], "left_anti")
 
 
