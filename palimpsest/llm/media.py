@@ -4,8 +4,9 @@ A payload (UTF-8 text, padded) is stored as 8-bit samples in a WAVE file. The fi
 rolling gear hash of its last ``WINDOW`` bytes has ``MASK_BITS`` zero bits, so equal passages make
 equal chunks wherever they stand. Chunk digests are counted by a Spark group-by; a chunk whose digest
 occurs once stays in its row, the others go to a chunk store with one row for each digest. The
-stored form of a payload is its ordered chunk list; reading it back joins the list with the store,
-verifies each chunk's digest and the whole, and takes the samples out of the file.
+stored form of every payload is its ordered chunk list, written with the bytes or the digest of each
+chunk; all results come from reading it again: the list is joined with the store, each chunk's digest
+and the whole are verified, and the samples are taken out of the file.
 
 Which digests occur more than once is told to the readers as a bitmap of fixed size
 (2**BITMAP_BITS bits). A false hit costs a trip to the store and nothing else, so any input is
@@ -150,33 +151,16 @@ def _shared(bitmap: np.ndarray, digest: bytes) -> bool:
     return bool(bitmap[place >> 6] >> np.uint64(place & 63) & np.uint64(1))
 
 
-def whole_rows(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """The results of files none of whose chunks go to the store: put together from their own chunk list."""
-    held = texts.sparkSession.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for lo, _, raw, offs in text_blocks(batch.column("text")):
-                data, rows = raw.tobytes(), []
-                for i, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-                    _, chunks = _chunks(data[s:e])
-                    if not any(_shared(held.value, _digest(c)) for c in chunks):
-                        rows.append(_described(ids[lo + i], e - s, b"".join(chunks), len(chunks)))
-                yield _batch(rows, schema)
-
-    return texts.mapInArrow(run, SCHEMA)
+#: A stored file: its chunks in order. ``own`` is null where the digest may be repeated: that chunk is in the
+#: store, and its bytes in ``far`` of this row only until the store is made.
+LISTED = "row long, doc_id long, n_bytes long, media_sha256 string, n_far int, list array<struct<seq:int,digest:binary,own:binary,far:binary>>"
 
 
 def listed(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(row, doc_id, n_bytes, media_sha256, seq, digest, own) of the other files: one row a chunk.
-
-    ``own`` is null where the digest may be repeated: that chunk is in the store, and its bytes in
-    ``stored`` of this row only until the store is made.
-    """
+    """The stored form of every file, see ``LISTED``: one row a file."""
     held = texts.sparkSession.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("seq", pa.int32()), ("digest", pa.binary()), ("own", pa.binary()), ("stored", pa.binary())])
+    chunk_type = pa.struct([("seq", pa.int32()), ("digest", pa.binary()), ("own", pa.binary()), ("far", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_far", pa.int32()), ("list", pa.list_(chunk_type))])
 
     def run(batches):
         for batch in batches:
@@ -187,19 +171,21 @@ def listed(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     media, chunks = _chunks(data[s:e])
                     named = [(_digest(c), c) for c in chunks]
                     shared = [_shared(held.value, d) for d, _ in named]
-                    if any(shared):
-                        sha = hashlib.sha256(media).hexdigest()
-                        rows += [(numbers[lo + i], ids[lo + i], e - s, sha, k, d, None if far else c, c if far else None) for k, ((d, c), far) in enumerate(zip(named, shared))]
+                    chunk_list = [{"seq": k, "digest": d, "own": None if far else c, "far": c if far else None} for k, ((d, c), far) in enumerate(zip(named, shared))]
+                    rows.append((numbers[lo + i], ids[lo + i], e - s, hashlib.sha256(media).hexdigest(), sum(shared), chunk_list))
                 yield _batch(rows, schema)
 
-    return texts.mapInArrow(run, "row long, doc_id long, n_bytes long, media_sha256 string, seq int, digest binary, own binary, stored binary")
+    return texts.mapInArrow(run, LISTED)
 
 
 def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """The results of files whose chunks come from the store or their own rows, each chunk and file verified."""
-    near = lists.where("own IS NOT NULL").select("row", "doc_id", "n_bytes", "media_sha256", "seq", "digest", F.col("own").alias("chunk"))
-    far = lists.where("own IS NULL").drop("own").join(store, "digest").select("row", "doc_id", "n_bytes", "media_sha256", "seq", "digest", "chunk")
-    ordered = near.unionByName(far).groupBy("row", "doc_id", "n_bytes", "media_sha256").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "chunk"))).alias("list"))
+    """The results of stored files, each chunk and file verified; only files with a chunk in the store are shuffled."""
+    head = ["row", "doc_id", "n_bytes", "media_sha256"]
+    whole = lists.where("n_far = 0").select(*head, F.transform("list", lambda c: F.struct(c["seq"].alias("seq"), c["digest"].alias("digest"), c["own"].alias("chunk"))).alias("list"))
+    apart = lists.where("n_far > 0").select(*head, F.explode("list").alias("c")).select(*head, "c.seq", "c.digest", "c.own")
+    near = apart.where("own IS NOT NULL").withColumnRenamed("own", "chunk")
+    far = apart.where("own IS NULL").drop("own").join(store, "digest").select(*head, "seq", "digest", "chunk")
+    ordered = near.unionByName(far).groupBy(*head).agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "chunk"))).alias("list"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int32())])
 
     def run(batches):
@@ -217,7 +203,7 @@ def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
                     rows.append(row)
                 yield _batch(rows, schema)
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return whole.unionByName(ordered).mapInArrow(run, SCHEMA)
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,8 +212,9 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     bitmap = repeated_bitmap(digests(texts))
     lists = staged(listed(texts.withColumn("row", F.monotonically_increasing_id()), bitmap))
     # one row for each digest, whichever copy comes first; copies in one task meet before the shuffle
-    store = staged(lists.where("own IS NULL").groupBy("digest").agg(F.first("stored").alias("chunk")))
-    return whole_rows(texts, bitmap).unionByName(read_back(lists.drop("stored"), store))
+    far = lists.where("n_far > 0").select(F.explode(F.filter("list", lambda c: c["own"].isNull())).alias("c"))
+    store = staged(far.groupBy("c.digest").agg(F.first("c.far").alias("chunk")))
+    return read_back(lists, store)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

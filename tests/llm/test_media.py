@@ -2,6 +2,8 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import media
 
@@ -39,3 +41,25 @@ def test_rows_read_back(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want[r.doc_id]
     assert len({(r.media_sha256, r.feature) for r in found if r.doc_id in (4, 6)}) == 1
     assert media.media(df.limit(0)).collect() == []
+
+
+def test_every_row_is_stored_and_verified(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(chr(c) for c in rng.integers(97, 123, 3000 + i))) for i in range(6)]  # no chunk is repeated
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written, real = [], media.staged
+
+    def spy(frame):
+        out = real(frame)
+        written.append(out)
+        return out
+
+    monkeypatch.setattr(media, "staged", spy)
+    assert media.media(df).count() == 6
+    stored = next(t for t in written if "list" in t.columns)
+    assert {r.doc_id: b"".join(bytes(c.own) for c in r.list) for r in stored.collect()} == {i: media.wave_file(media.payload_of(t.encode())) for i, t in rows}
+    # a byte that changes in the table is found when it is read
+    broken = stored.withColumn("list", F.transform("list", lambda c: c.withField("own", F.concat(F.lit(b"x"), F.substring(c["own"], 2, 1 << 20)))))
+    store = spark.createDataFrame([], "digest binary, chunk binary")
+    with pytest.raises(Exception, match="not what its list says"):
+        media.read_back(broken, store).collect()
