@@ -7,8 +7,8 @@ ratio, mapped through the sources' cumulative targets; the rank of a slot among
 names the block it takes. A source's blocks are its documents in shuffled order, end to end, cut into
 equal blocks, twice over; block k of a source joins its slot of rank k. A document's ``taken`` is what
 the joined blocks hold of it, so at most ``MOST`` times its size, and the last block of a source is cut
-at its target. The schedule runs ``SLACK`` beyond the last slot needed; slots that a source doesn't
-need are void.
+at its target. The schedule starts ``SLACK`` beyond the number of slots needed and runs on until every
+source has its own; slots that a source doesn't need are void.
 
 Defined results: null text has size 0 and takes nothing; null sources are one source; repeated rows
 are mixed each on their own; a null id is shuffled like any other; an empty table gives an empty one.
@@ -84,16 +84,27 @@ def point(slot: Column) -> Column:
     return (high * F.lit((1 << 20) * GOLDEN % 1) % 1 + low * F.lit(GOLDEN) % 1) % 1
 
 
-def schedule(wanted: DataFrame, words: float) -> DataFrame:
-    """(sid, block): the slots, each with its source and its rank among that source's slots."""
+def schedule(wanted: DataFrame) -> DataFrame:
+    """(sid, block): the slots, each with its source and its rank among that source's slots.
+
+    Points are mapped by the slots that each source needs, and run on until each has them: any span of
+    the points' range is met in the end, so the rounds end.
+    """
     spark = wanted.sparkSession
-    slots = int(words / BLOCK_WORDS * (1 + SLACK)) + 64
-    spans = ranked(wanted.where("target > 0").select("sid", "target"), ["sid"], ("target",))
-    spans = spans.select("sid", (F.col("before_target") / words).alias("lo"), ((F.col("before_target") + F.col("target")) / words).alias("hi"))
-    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slots // (1 << 22))
-    drawn = spark.range(0, slots, 1, parts).select("id", point(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = drawn.join(staged(cells), "cell").where("lo <= u AND u < hi").select("sid", "id", F.shiftright("id", 16).alias("chunk"))
+    need = F.ceil(last_word() / BLOCK_WORDS).cast("long")
+    spans = staged(ranked(wanted.select("sid", need.alias("need")).where("need > 0"), ["sid"], ("need",)))
+    needed = spans.agg(F.sum("need")).first()[0] or 0
+    spans = spans.select("sid", "need", (F.col("before_need") / needed).alias("lo"), ((F.col("before_need") + F.col("need")) / needed).alias("hi"))
+    cells = staged(spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS)))))
+    slots = int(needed * (1 + SLACK)) + 64
+    while True:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slots // (1 << 22))
+        drawn = spark.range(0, slots, 1, parts).select("id", point(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+        hit = drawn.join(cells, "cell").where("lo <= u AND u < hi").select("sid", "id", F.shiftright("id", 16).alias("chunk"))
+        served = hit.groupBy("sid").agg(F.count("*").alias("n"))
+        if spans.join(served, "sid", "left").where("coalesce(n, 0) < need").isEmpty():
+            break
+        slots += slots // 2
     counts = hit.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
@@ -101,6 +112,11 @@ def schedule(wanted: DataFrame, words: float) -> DataFrame:
     return hit.withColumn("r", F.row_number().over(here) - 1).join(bases, ["sid", "chunk"]).select("sid", (F.col("base") + F.col("r")).alias("block"))
 
 
+def last_word() -> Column:
+    """Where a source's stream ends: its target, in whole words."""
+    return F.least(F.floor(F.col("target") + 1e-6), MOST * F.col("source_size"))
+
+
 def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken; with source."""
     sizes = staged(word_counts(docs, id_col, text_col, source_col))
@@ -113,14 +129,13 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     laid = ranked(shuffled, ["sid", "key", "doc_id", "size"], ("size",)).withColumnRenamed("before_size", "at")
     first = laid.groupBy("sid").agg(F.min("at").alias("first_at"))
     streamed = staged(laid.join(first, "sid").withColumn("start", F.col("at") - F.col("first_at")))
-    end = F.least(F.floor(F.col("target") + 1e-6), MOST * F.col("source_size"))
     passes = streamed.where("size > 0").select(
-        "rank", "sid", "size", end.alias("end_at"), F.explode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("begin")
+        "rank", "sid", "size", last_word().alias("end_at"), F.explode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("begin")
     )
     passes = passes.withColumn("stop", F.least(F.col("begin") + F.col("size"), "end_at")).where("begin < stop")
     held = passes.withColumn("block", F.explode(F.expr(f"sequence(begin div {BLOCK_WORDS}, (stop - 1) div {BLOCK_WORDS})")))
     within = F.least("stop", (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("begin", F.col("block") * BLOCK_WORDS)
-    joined = held.withColumn("words", within).join(schedule(wanted, words), ["sid", "block"])
+    joined = held.withColumn("words", within).join(schedule(wanted), ["sid", "block"])
     taken = joined.groupBy("rank").agg(F.sum("words").alias("taken"))
     return streamed.join(taken, "rank", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

@@ -52,3 +52,12 @@ def test_mix_keeps_columns(spark):
 def test_points_are_spread(spark):
     u = np.sort(np.array([r.u for r in spark.range(4096).select(mixing.point(__import__("pyspark").sql.functions.col("id")).alias("u")).collect()]))
     assert np.abs(u - (np.arange(4096) + 0.5) / 4096).max() < 4 / 4096
+
+
+def test_small_sources_get_their_target(spark):
+    rows = [(i, "w " * 5000, "hot") for i in range(100)]
+    rows += [(1000 + i, "w " * (3 + 7 * i), f"small{i:02}") for i in range(30)]
+    found = mixing.takes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {s for _, _, s in rows}:
+        mine = [r for r in found if r.source == s]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=1), s
