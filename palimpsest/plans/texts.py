@@ -113,7 +113,7 @@ def deferral_detector(spark, sf_dir):
     i = F.col("doc_id")
     day = F.date_add(F.to_date(F.lit("2024-01-01")), (i % 365).cast("int")).cast("string")
     later = F.date_add(F.to_date(F.lit("2025-01-01")), (i % 365).cast("int")).cast("string")
-    head = F.substring(comparison_text(F.col("text")), 1, 200)
+    head = comparison_text(F.col("text"))
     old = F.concat(head, F.lit(" applies from "), day)
     new = F.concat(head, F.when(i % 3 == 2, F.lit(" also")).otherwise(F.lit("")), F.lit(" applies from "), F.when(i % 3 == 0, day).otherwise(later))
     docs = table(spark, sf_dir, "documents").select("doc_id", old.alias("old"), new.alias("new"))
