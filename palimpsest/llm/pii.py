@@ -52,16 +52,17 @@ _WORD = r"[\p{L}\p{N}._%+-]"
 EMAIL = rf"(?<!{_WORD}){_WORD}{{1,128}}+@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)"
+#: With a country code, or national: an area code in brackets or after a zero.
+PHONE = r"(?:(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)|(?<![\w+(])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.+-])0\d{2,3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))"
 CARD = r"(?<![\w.+-])(?:\d{4}[ -]?){3}\d{1,7}(?!\d|[.-]\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-SECRET = r"""(?<=["'])(?<=(?:token|secret|password|passwd|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["'])[^\s"']{8,256}(?=["'])"""
+SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["'])[^\s"']{8,256}(?=["'])"""
 _NAME = r"\p{Lu}\p{Ll}{1,40}(?:-\p{Lu}\p{Ll}{1,40})?"
 _TITLE = "|".join(t.replace(".", r"\.") for t in sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
 PERSON = rf"(?=[{"".join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])(?<!\p{{L}})(?:{_TITLE}) {_NAME}(?: {_NAME})?(?!\p{{L}})"
 #: All of them; most characters of a text can begin only a few.
-ANY = f"{SECRET}|{EMAIL}|(?=[+0-9])(?:{PHONE}|{IP}|{SSN}|{CARD})|(?=[A-Z]{{2}}[0-9]){IBAN}|{PERSON}"
+ANY = f"{SECRET}|{EMAIL}|(?=[+(0-9])(?:{PHONE}|{IP}|{SSN}|{CARD})|(?=[A-Z]{{2}}[0-9]){IBAN}|{PERSON}"
 #: Words before a quoted secret.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
 
@@ -72,10 +73,12 @@ GROW_AFTER = 4
 def may_hold(text: Column) -> Column:
     """Whether a text has what any entity has; one cheap pass that most texts end with."""
     out = text.rlike("[0-9@]")
-    words = MALE + FEMALE + EITHER + SECRET_WORDS
+    words = MALE + FEMALE + EITHER
     # a word that has another one of them in it needs no search of its own
     for word in [w for w in words if not any(o != w and o in w for o in words)]:
         out = out | F.contains(text, F.lit(word))
+    # secrets' words in any case
+    out = out | text.rlike(rf"""(?i)(?:{"|".join(SECRET_WORDS)})["']?\s{{0,2}}[=:]""")
     return F.coalesce(out, F.lit(False))
 
 
@@ -165,6 +168,20 @@ def _family(name: Column, seed: Column, tries: Column) -> Column:
     return F.when(F.ascii(name).between(0x400, 0x4FF), of("cyrillic")).otherwise(of("latin"))
 
 
+def _given(canon: Column, seed: Column, tries: Column) -> Column:
+    """A given name of the gender and script in ``canon`` (family|gender|script|given), of more parts after some tries."""
+    n = F.lit(1) + F.floor(tries / GROW_AFTER).cast("int")
+
+    def of(names: tuple[str, ...]) -> Column:
+        parts = F.array(*[F.lit(x.lower()) for x in names])
+        return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(parts, (F.pmod(F.xxhash64(seed, i), F.lit(len(names))) + 1).cast("int"))), "-")
+
+    out = F.lit(None).cast("string")
+    for (gender, script), names in GIVEN.items():
+        out = F.when(canon.contains(f"|{gender}|{script}|"), of(names)).otherwise(out)
+    return F.concat(F.substring_index(canon, "|", 3), F.lit("|"), out)
+
+
 def drawn(kind: Column, canon: Column, tries: Column, key: str) -> Column:
     """The surrogate of an entity at a try, in the canonical form of its kind."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, tries.cast("string")), 256)
@@ -180,6 +197,7 @@ def drawn(kind: Column, canon: Column, tries: Column, key: str) -> Column:
         .when(kind == "ssn", _alike(canon, seed))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _alike(F.expr("substr(canon, 3)"), seed)))
         .when(kind == "person", _family(canon, seed, tries))
+        .when(kind == "given", _given(canon, seed, tries))
         .when(canon.rlike("^[0-9a-f]+$"), hex_alike)
         .otherwise(_alike(canon, seed))
     )
@@ -215,20 +233,21 @@ def _script(name: Column) -> Column:
     return F.when(F.ascii(name).between(0x400, 0x4FF), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
 
-def _person(surface: Column, family: Column, key: str) -> Column:
-    """Title as it was, given name of the title's gender, family name in the case of the old one."""
+def given_key(kind: Column, surface: Column) -> Column:
+    """family|gender|script|given of a person with a given name, else null."""
     parts = F.split(surface, " ")
-    title = parts[0]
-    gender = F.when(title.isin(*MALE), F.lit("m")).when(title.isin(*FEMALE), F.lit("f")).otherwise(F.lit("n"))
-    given = F.lit(None).cast("string")
-    for (g, script), names in GIVEN.items():
-        seed = F.xxhash64(F.lit(key), F.lower(parts[1]), gender)
-        name = F.element_at(F.array(*map(F.lit, names)), (F.pmod(seed, F.lit(len(names))) + 1).cast("int"))
-        given = F.when((gender == g) & (_script(parts[1]) == script), name).otherwise(given)
-    return F.concat_ws(" ", title, F.when(F.size(parts) > 2, given), F.initcap(family))
+    gender = F.when(parts[0].isin(*MALE), F.lit("m")).when(parts[0].isin(*FEMALE), F.lit("f")).otherwise(F.lit("n"))
+    whole = F.concat_ws("|", F.lower(F.element_at(parts, -1)), gender, _script(parts[1]), F.lower(parts[1]))
+    return F.when((kind == "person") & (F.size(parts) > 2), whole)
+
+
+def _person(surface: Column, family: Column, given: Column) -> Column:
+    """Title as it was, the given name's surrogate, family name in the case of the old one."""
+    name = F.array_join(F.transform(F.split(F.substring_index(given, "|", -1), "-"), F.initcap), "-")
+    return F.concat_ws(" ", F.split(surface, " ")[0], name, F.initcap(family))
 
 
-def dressed(kind: Column, surface: Column, surrogate: Column, key: str = KEY) -> Column:
+def dressed(kind: Column, surface: Column, surrogate: Column, given: Column) -> Column:
     """The surrogate in the format of the surface: separators, blanks and case."""
     places = F.sequence(F.lit(1), F.char_length(surface))
     flat = F.replace(surrogate, F.lit("|"), F.lit(""))
@@ -251,7 +270,7 @@ def dressed(kind: Column, surface: Column, surrogate: Column, key: str = KEY) ->
         F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(places, digit), ""))
         .when(kind == "iban", F.array_join(F.transform(places, solid), ""))
         .when(kind == "email", F.array_join(F.transform(places, cased), ""))
-        .when(kind == "person", _person(surface, surrogate, key))
+        .when(kind == "person", _person(surface, surrogate, given))
         .otherwise(surrogate)
     )
 
@@ -267,8 +286,14 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_
     held = tried.where(F.size("_found") > 0)
     each = held.select("_row", F.posexplode("_found").alias("_at", "surface"))
     kinds = each.withColumn("kind", kind_of(F.col("surface"))).withColumn("canon", canonical(F.col("kind"), F.col("surface")))
-    mapped = kinds.join(surrogates(kinds, key), ["kind", "canon"])
-    new = mapped.select("_row", F.struct("_at", dressed(F.col("kind"), F.col("surface"), F.col("surrogate"), key).alias("s")).alias("e"))
+    kinds = staged(kinds.withColumn("_given", given_key(F.col("kind"), F.col("surface"))))
+    first_names = kinds.where("_given IS NOT NULL").select(F.lit("given").alias("kind"), F.col("_given").alias("canon"))
+    found = staged(surrogates(kinds.select("kind", "canon").unionByName(first_names), key))
+    mapped = kinds.join(found.where("kind <> 'given'"), ["kind", "canon"])
+    # persons of one family are told apart by their given names
+    named = mapped.where("_given IS NOT NULL").join(found.where("kind = 'given'").select(F.col("canon").alias("_given"), F.col("surrogate").alias("_new_given")), "_given")
+    mapped = mapped.where("_given IS NULL").withColumn("_new_given", F.lit(None).cast("string")).unionByName(named)
+    new = mapped.select("_row", F.struct("_at", dressed(F.col("kind"), F.col("surface"), F.col("surrogate"), F.col("_new_given")).alias("s")).alias("e"))
     ordered = new.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["s"]).alias("_new"))
     literal = F.split("_text", ANY, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(literal, "_new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")

@@ -43,3 +43,17 @@ def test_collisions_are_drawn_again(spark):
 
 def test_empty(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_persons_of_a_family_stay_apart(spark):
+    names = ["John", "Peter", "Adam", "Bruno", "Carl", *(f"N{chr(97 + i)}o" for i in range(20))]
+    df = spark.createDataFrame([(i, f"Mr. {n} Smith") for i, n in enumerate(names)], "doc_id long, text string")
+    found = [r.text for r in pii.pseudonymise(df).collect()]
+    assert len(set(found)) == len(names) and len({t.split()[-1] for t in found}) == 1
+    assert not {t.split()[1] for t in found} & set(names)
+
+
+def test_secrets_in_capitals_and_national_phones(spark):
+    rows = [(1, 'TOKEN = "9233A8BCDEF01234"'), (2, "call (017) 555-7713 or 017-555-7713"), (3, 'Password: "abcdefghij"')]
+    found = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "9233A8" not in found[1] and "555-7713" not in found[2] and "abcdefghij" not in found[3]
