@@ -113,10 +113,14 @@ def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) ->
     return texts.select("text").mapInArrow(run, "shingle long, node long, n int, place int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, floor: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``floor`` or more."""
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, floor: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``floor`` or more.
+
+    ``nodes`` (tid, node) tells one text of each node, ``texts`` (tid, text) holds it.
+    """
     sides = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = staged(texts.join(sides, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    one = nodes.join(sides, "node", "left_semi").groupBy("node").agg(F.min("tid").alias("tid"))
+    used = staged(texts.join(one, "tid").groupBy("node").agg(F.first("text").alias("text")))
     sided = pairs.join(used.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(used.withColumnsRenamed({"node": "b", "text": "y"}), "b")
 
     def run(batches):
@@ -133,8 +137,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, floor: float) -> Da
     return sided.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(texts: DataFrame, proposed: DataFrame, width: int, floor: float) -> DataFrame:
-    """(a, b) verified links of ``texts`` (node, text) whose components are those of all pairs at ``floor`` or more.
+def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, floor: float) -> DataFrame:
+    """(a, b) verified links of ``texts`` (tid, text) and ``nodes`` (tid, node) whose components are those of all pairs at ``floor`` or more.
 
     ``proposed`` (a, b) pairs of nodes are verified with the first.
     """
@@ -146,7 +150,7 @@ def links(texts: DataFrame, proposed: DataFrame, width: int, floor: float) -> Da
     beside = beside.where((F.col("m") >= floor * F.col("n") - 1e-9)).select("a", "b")
     ordered = beside.unionByName(proposed).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = staged(ordered.distinct())
-    near = staged(verified(tried, texts, width, floor))
+    near = staged(verified(tried, texts, nodes, width, floor))
     labels = components(near).withColumnRenamed("label", "l")
     rows = held.join(labels, "node", "left").withColumn("l", F.coalesce("l", "node"))
     mixed = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("k > 2 AND lo < hi")
@@ -157,4 +161,4 @@ def links(texts: DataFrame, proposed: DataFrame, width: int, floor: float) -> Da
     enough = (1 + floor) * most >= floor * (F.col("x.n") + F.col("y.n")) - 1e-9
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.l") != F.col("y.l")) & (F.col("x.node") < F.col("y.node")) & enough)
     others = staged(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return near.unionByName(verified(others, texts, width, floor))
+    return near.unionByName(verified(others, texts, nodes, width, floor))

@@ -251,35 +251,40 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, floor: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with every column, without those that link to a smaller id; rows of one id stay or go together.
+    """The rows of ``docs``, with every column, without those that link to a smaller id.
+
+    A null id comes after all others; equal rows (same id and text) stay or go together; empty texts
+    have no shingle and are each other's copies only if equal.
 
     Texts link when the Jaccard similarity of their shingles is ``floor`` or more. Fingerprints within
     ``radius`` propose pairs; an exact prefix filter proposes the others, see :mod:`.jaccard`.
     """
-    texts = texts_of(docs, id_col, text_col)
+    texts = texts_of(docs, id_col, text_col).withColumn("tid", F.xxhash64("text"))
 
     def run(batches):
         for batch in batches:
-            fps, nodes = [], []
-            for _, _, raw, offs in text_blocks(batch.column("text")):
+            ids, tids = batch.column("doc_id"), batch.column("tid")
+            for lo, hi, raw, offs in text_blocks(batch.column("text")):
                 data = raw.tobytes()
-                for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                    fps.append(fingerprint(data[s:e], width))
-                    nodes.append(jaccard.node_of(data[s:e]))
-            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array(nodes, pa.int64()), batch.column("text")], names=["doc_id", "fp", "node", "text"])
-
-    marked = texts.mapInArrow(run, "doc_id long, fp long, node long, text string")
-    small = staged(marked.drop("text"))
+                parts = [data[s:e] for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                fp = pa.array(np.array([fingerprint(x, width) for x in parts], dtype=np.uint64).view(np.int64))
+                nodes = pa.array([jaccard.node_of(x) for x in parts], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), tids.slice(lo, hi - lo), fp, nodes], names=["doc_id", "tid", "fp", "node"])
+
+    small = staged(texts.mapInArrow(run, "doc_id long, tid long, fp long, node long"))
     near = components(staged(links(small.select("fp").distinct(), radius))).withColumnRenamed("node", "fp")
     alike = small.select("fp", "node").distinct().join(near, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     firsts = alike.groupBy("label").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     proposed = alike.join(firsts, "label").select("a", F.col("node").alias("b"))
-    found = components(staged(jaccard.links(marked.select("node", "text"), proposed, width, floor)))
-    labelled = small.join(found, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    drop = staged(labelled.join(least, "label").where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct())
-    return docs.join(drop, docs[id_col].cast("long") == drop["_drop_id"], "left_anti")
+    found = components(staged(jaccard.links(texts.select("tid", "text"), small.select("tid", "node").distinct(), proposed, width, floor)))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid")
+    labelled = small.join(found, "node", "left").select("doc_id", "tid", F.coalesce("label", "node").alias("label")).withColumn("place", place)
+    least = labelled.groupBy("label").agg(F.min("place").alias("least"))
+    drop = staged(labelled.join(least, "label").where("place <> least").select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).distinct())
+    mark = "_" * (1 + max(len(c) for c in docs.columns))  # no column has such a name
+    drop = drop.withColumnsRenamed({"_id": f"_id{mark}", "_tid": f"_tid{mark}"})
+    same_text = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == drop[f"_tid{mark}"]
+    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(drop[f"_id{mark}"]) & same_text, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,17 @@ def test_rows_that_stay(spark):
 
 
 def test_filters_merge_losslessly(spark):
-    fps = spark.createDataFrame([(x,) for x in [5, 5, -5, 1 << 62, -1, 5, -1]], "fp long").repartition(3)
-    assert {r.fp: r.copies for r in exact_dedup.merged_counts(exact_dedup.counting_filters(fps)).collect()} == {5: 3, -5: 1, 1 << 62: 1, -1: 2}
+    fps = spark.createDataFrame([(x,) for x in [5, 5, -5, 1 << 62, -1, 5, -1, 6]], "fp long").repartition(3)
+    merged = exact_dedup.merged_filters(exact_dedup.counting_filters(fps, 8))
+    rows = {r.slot: (r.remainders, r.counts) for r in merged.collect()}
+    assert rows[0] == ([5, 6], [3, 1]) and len(rows) == 3
+    assert {r.fp: r.copies for r in exact_dedup.copies(merged, 8).collect()} == {5: 3, 6: 1, -5: 1, 1 << 62: 1, -1: 2}
+
+
+def test_repeated_rows_with_other_columns(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "y"), (1, "ab", "z"), (None, "q", "x"), (None, "q", "y"), (2, None, None), (3, "", None)]
+    kept = exact_dedup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string")).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == ["(1, 'a b')", "(2, None)", "(None, 'q')"]
 
 
 def test_empty(spark):

@@ -50,3 +50,13 @@ def test_any_order_loses_nothing(spark, monkeypatch):
     rows = corpus()
     kept = sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == brute_kept(rows)
+
+
+def test_null_ids_clashing_names_and_repeats(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, words), (7, words + " end"), (5, words), (5, words), (None, "alone"), (9, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node long, _drop_id long")
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, len(r.text or ""))) for r in kept.collect()) == sorted(str(x) for x in [(5, len(words)), (5, len(words)), (None, 5), (8, 0)])
+    assert simhash.near_dedup(docs.limit(0)).collect() == []
