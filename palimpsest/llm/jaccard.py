@@ -5,8 +5,8 @@ filter exact: of two sets with a similarity of ``floor`` or more, the first n -
 shingles of each have one in common. The order here is rarest first, by counts in a table of fixed size
 (``SLOTS``); a collision there costs rows, never a pair, and a passage that many texts share comes last.
 
-First each text meets its neighbour by size under every shingle of its prefix, so a family of copies
-costs no more rows than it has shingles. What these links leave apart meets in full, bounded by sizes
+First texts meet a few hubs of their size under the shingles of their prefix, in ``ROUNDS`` rounds, so a
+family of copies costs a few rows a text. What these links leave apart meets in full, bounded by sizes
 and places; every pair is verified on the shingles themselves.
 """
 
@@ -15,14 +15,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import staged, text_blocks
 
-SLOTS = 1 << 20
+SLOTS = 1 << 24
 #: Slots of one row of a partition's table.
-BLOCK = 1 << 14
+BLOCK = 1 << 16
 
 
 def _sets(texts, width):
@@ -50,29 +50,38 @@ def shingle_levels(texts: DataFrame, width: int) -> np.ndarray:
     """About four times the binary logarithm of each slot's count of texts; 0 where one text at most has it."""
 
     def run(batches):
-        counts, held, n = np.zeros(SLOTS, dtype=np.int64), [], 0
+        counts, held, n = np.zeros(SLOTS, dtype=np.uint16), [], 0
+
+        def add():
+            slots, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[slots] = np.minimum(counts[slots] + times, 65535)
+
         for batch in batches:
             for _, _, hashes in _sets(batch.column("text"), width):
                 held.append(_slot(hashes))
                 n += len(hashes)
                 if n > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    add()
                     held, n = [], 0
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
-        blocks = np.minimum(counts, 65535).astype("<u2").reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some.tolist()], pa.binary())], names=["block", "counts"])
-
-    def added(rows: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, dtype=np.int64)
-        for part in rows.column("counts").to_pylist():
-            total += np.frombuffer(part, dtype="<u2")
-        levels = np.where(total > 1, 4 * np.log2(np.maximum(total, 1)), 0).astype(np.uint8)
-        return pa.table({"block": rows.column("block").slice(0, 1), "levels": pa.array([levels.tobytes()], pa.binary())})
+            add()
+        blocks = counts.astype("<u2", copy=False).reshape(-1, BLOCK)
+        for i in np.flatnonzero(blocks.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], names=["block", "counts"])
+
+    def added(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("counts")):
+                totals.setdefault(block, np.zeros(BLOCK, dtype=np.int64))[:] += np.frombuffer(part.as_buffer(), dtype="<u2")
+        for block, total in totals.items():
+            levels = np.where(total > 1, 4 * np.log2(np.maximum(total, 1)), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["block", "levels"])
 
     out = np.zeros((SLOTS // BLOCK, BLOCK), dtype=np.uint8)
-    for r in texts.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(added, "block int, levels binary").collect():
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = texts.select("text").mapInArrow(run, "block int, counts binary").repartition(parts, "block")
+    for r in counted.mapInArrow(added, "block int, levels binary").collect():  # SLOTS bytes
         out[r.block] = np.frombuffer(r.levels, dtype=np.uint8)
     return out.ravel()
 
@@ -81,36 +90,73 @@ def prefix_length(n: int, floor: float) -> int:
     return n - int(np.ceil(floor * n - 1e-9)) + 1
 
 
-def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) -> DataFrame:
-    """(shingle, node, n, place): the shingles of each text's prefix that another text may have."""
-    held = texts.sparkSession.sparkContext.broadcast(levels)
+#: Shingles that a kernel holds before it ships them, and labels of parts for each partition.
+SHIPPED = 500_000
+LABELS = 4
 
-    def run(batches):
-        for batch in batches:
-            found: list[tuple] = []
 
-            def rows():
-                columns = [np.concatenate(c) for c in zip(*found)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "place"])
+def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) -> DataFrame:
+    """(shingle, node, n, place): the shingles of texts' prefixes that two nodes or more have there.
 
-            size = 0
+    Most shingles are in one text only. All of them travel once, as arrays by part of their hash (half
+    the bytes of a row each); a part meets whole and lets go only what is shared.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(levels)
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = np.uint64(LABELS * partitions)
+    names = ["shingle", "node", "n", "place"]
+    types = {"shingle": pa.int64(), "node": pa.int64(), "n": pa.int32(), "place": pa.int32()}
+
+    def by_part(found: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*found)]
+        part = (columns[0].view(np.uint64) % parts).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        ends = pa.array(np.append(cuts, len(part)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), *lists], names=["part", *names])
+
+    def ship(batches):
+        found: list[tuple] = []
+        size, seen = 0, set()
+        for batch in batches:
             for _, node, hashes in _sets(batch.column("text"), width):
                 n = len(hashes)
-                if not n:
+                if not n or node in seen:
                     continue
+                seen.add(node)
                 rank = held.value[_slot(hashes)]
                 first = np.lexsort((hashes, rank))[: prefix_length(n, floor)]
                 place = np.flatnonzero(rank[first] > 0)
                 if len(place):
                     found.append((hashes[first[place]].view(np.int64), np.full(len(place), node), np.full(len(place), n, dtype=np.int32), place.astype(np.int32)))
                     size += len(place)
-                if size > 100_000:
-                    yield rows()
+                if size > SHIPPED:
+                    yield by_part(found)
                     found, size = [], 0
-            if found:
-                yield rows()
+        if found:
+            yield by_part(found)
 
-    return texts.select("text").mapInArrow(run, "shingle long, node long, n int, place int")
+    def meet(batches):
+        pieces: list[list[np.ndarray]] = [[] for _ in names]
+        for batch in batches:
+            for piece, name in zip(pieces, names):
+                piece.append(batch.column(name).flatten().to_numpy())
+        if not pieces[0]:
+            return
+        shingle, node, n, place = (np.concatenate(x) for x in pieces)
+        order = np.lexsort((node, shingle))
+        same = shingle[order][1:] == shingle[order][:-1]
+        again = same & (node[order][1:] == node[order][:-1])  # one node in two tasks
+        order = order[np.concatenate([[True], ~again])]
+        same = shingle[order][1:] == shingle[order][:-1]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        for at in range(0, len(order), 100_000):
+            use = order[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c[use], types[k]) for k, c in zip(names, (shingle, node, n, place))], names=names)
+
+    shipped = texts.select("text").mapInArrow(ship, "part int, shingle array<long>, node array<long>, n array<int>, place array<int>")
+    return shipped.repartition(partitions, "part").mapInArrow(meet, "shingle long, node long, n int, place int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, floor: float) -> DataFrame:
@@ -137,6 +183,28 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
     return sided.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Rounds of stars, and the hubs that a shingle's texts of one size may get in each.
+ROUNDS, HUBS = 5, 16
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def starred(labelled: DataFrame, floor: float, turn: int) -> DataFrame:
+    """(a, b): under each shingle of ``labelled`` (shingle, node, n, l), texts meet a hub of their size and of another label.
+
+    Hubs are drawn by a hash of node, round and a few bits of the shingle, so a family of copies has few
+    hubs, and a text several. Rounds cut sizes into classes at other places.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / np.log(1 / floor) + turn / ROUNDS).cast("int")
+    sized = labelled.withColumn("size", size)
+    drawn = F.xxhash64("node", F.lit(turn), F.pmod("shingle", F.lit(HUBS)))
+    hubs = sized.groupBy("shingle", "size").agg(F.min_by(F.struct("node", "l"), drawn).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    met = sized.join(hubs, ["shingle", "size"]).where("l <> hub.l")
+    return ordered(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))).distinct()
+
+
 def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, floor: float) -> DataFrame:
     """(a, b) verified links of ``texts`` (tid, text) and ``nodes`` (tid, node) whose components are those of all pairs at ``floor`` or more.
 
@@ -144,15 +212,15 @@ def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, f
     """
     from .simhash import components
 
-    held = staged(prefixes(texts, shingle_levels(texts, width), width, floor).distinct())
-    w = Window.partitionBy("shingle").orderBy("n", "node")
-    beside = held.select(F.lag("node").over(w).alias("a"), F.col("node").alias("b"), F.lag("n").over(w).alias("m"), "n")
-    beside = beside.where((F.col("m") >= floor * F.col("n") - 1e-9)).select("a", "b")
-    ordered = beside.unionByName(proposed).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = staged(ordered.distinct())
+    held = staged(prefixes(texts, shingle_levels(texts, width), width, floor))
+    tried = staged(ordered(proposed).distinct())
     near = staged(verified(tried, texts, nodes, width, floor))
-    labels = components(near).withColumnRenamed("label", "l")
-    rows = held.join(labels, "node", "left").withColumn("l", F.coalesce("l", "node"))
+    for turn in range(ROUNDS):
+        labelled = held.join(components(near).withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
+        met = staged(starred(labelled, floor, turn).join(tried, ["a", "b"], "left_anti"))
+        near = staged(near.unionByName(verified(met, texts, nodes, width, floor)))
+        tried = tried.unionByName(met)
+    rows = held.join(components(near).withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
     mixed = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("k > 2 AND lo < hi")
     rows = staged(rows.join(mixed.select("shingle"), "shingle", "left_semi"))
     x, y = rows.alias("x"), rows.alias("y")
@@ -160,5 +228,11 @@ def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, f
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     enough = (1 + floor) * most >= floor * (F.col("x.n") + F.col("y.n")) - 1e-9
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.l") != F.col("y.l")) & (F.col("x.node") < F.col("y.node")) & enough)
-    others = staged(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    # the shingles that two prefixes share, and what can follow the last of them
+    shared = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(
+        F.count("*").alias("both"), F.max("x.place").alias("i"), F.max("y.place").alias("j")
+    )
+    reach = F.col("both") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
+    others = shared.where((1 + floor) * reach >= floor * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
+    others = staged(others.join(tried, ["a", "b"], "left_anti"))
     return near.unionByName(verified(others, texts, nodes, width, floor))

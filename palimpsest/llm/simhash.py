@@ -218,12 +218,36 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         levels += 1
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Stars instead of ``edges`` (a, b), as connected, at most one edge for each node and run of a million edges."""
+
+    def star(held):
+        left, right = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+        label = _stars(len(nodes), at[: len(left)], at[len(left) :])
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += batch.num_rows
+            if size > 1_000_000:
+                yield star(held)
+                held, size = [], 0
+        if size:
+            yield star(held)
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of ``edges`` (a, b): label is the least node reachable.
 
     Each round takes the least label among neighbours, then the label's own label, so a path halves.
     """
-    pairs = edges.where("a <> b").distinct()
+    pairs = staged(contracted(edges).distinct())
     # a node's neighbours and itself hang on the least of them: as connected, with about one edge a node
     hung = pairs.withColumn("m", F.min("b").over(Window.partitionBy("a")))
     pairs = hung.select("a", F.col("m").alias("b")).unionByName(hung.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
