@@ -8,8 +8,8 @@ stored form of every payload is its ordered chunk list, written with the bytes o
 chunk; all results come from reading it again: the list is joined with the store, each chunk's digest
 and the whole are verified, and the samples are taken out of the file.
 
-Which digests occur more than once is told to the readers as a bitmap of fixed size
-(2**BITMAP_BITS bits). A false hit costs a trip to the store and nothing else, so any input is
+Which digests occur more than once is told to the readers as a bitmap sized by their number
+(2**MOST_BITS bits, 32 MB, at most). A false hit costs a trip to the store and nothing else, so any input is
 handled alike; payloads are never shuffled for their unique chunks.
 
 Defined results: null text is an empty payload of 192 blanks; equal texts give equal values; repeated
@@ -34,7 +34,8 @@ RATE = 8000
 WINDOW = 16
 MASK_BITS = 11
 LEAST, MOST = 512, 16384
-BITMAP_BITS = 25
+#: Bits of the bitmap for each repeated digest, and the most of it, as a power of two.
+BITS_EACH, MOST_BITS = 16, 28
 
 #: One pseudo-random number for each byte value.
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -112,10 +113,6 @@ def _digest(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()
 
 
-def _place(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "little") & ((1 << BITMAP_BITS) - 1)
-
-
 def digests(texts: DataFrame) -> DataFrame:
     """(digest) of every chunk of every text's file."""
     schema = pa.schema([("digest", pa.binary())])
@@ -130,24 +127,25 @@ def digests(texts: DataFrame) -> DataFrame:
 
 
 def repeated_bitmap(found: DataFrame) -> np.ndarray:
-    """The places of digests that occur more than once, as 64-bit words: a fixed size for any input."""
-    repeated = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    # the first four bytes, little end first, as in _place
+    """The places of digests that occur more than once, as 64-bit words: a bounded size for any input."""
+    repeated = staged(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    size = 1 << min(MOST_BITS, max(16, (repeated.count() * BITS_EACH).bit_length()))
+    # the first four bytes, little end first, as in _shared
     octet = [F.conv(F.hex(F.substring("digest", k, 1)), 16, 10).cast("long") for k in (1, 2, 3, 4)]
-    place = (octet[0] + octet[1] * 256 + octet[2] * 65536 + octet[3] * 16777216).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    place = (octet[0] + octet[1] * 256 + octet[2] * 65536 + octet[3] * 16777216).bitwiseAND(F.lit(size - 1))
     words = (
         repeated.select(place.alias("place"))
         .groupBy(F.shiftright("place", 6).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
         .toArrow()
     )
-    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    out = np.zeros(size >> 6, dtype=np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _shared(bitmap: np.ndarray, digest: bytes) -> bool:
-    place = _place(digest)
+    place = int.from_bytes(digest[:4], "little") & (64 * len(bitmap) - 1)
     return bool(bitmap[place >> 6] >> np.uint64(place & 63) & np.uint64(1))
 
 
