@@ -5,9 +5,10 @@ over half of the shingles' XXH64 values (seed 42), repeats included. Distinct fi
 ``radius`` or fewer differing bits; documents of one connected component are one group.
 
 The fingerprints are dealt into shards such that any two within the radius share one: the 64 bits
-are cut into radius + 1 parts, one of which must agree, and the other bits again in the same way
-(``LEVELS`` times). A shard that still holds more than ``SHARD_ROWS`` fingerprints is cut on, so no
-hot shard lands in one task, and no link is lost. Each shard becomes a BK-tree: children are keyed
+are cut into radius + 1 parts, one of which must agree; as many bits of each part name a shard as keep
+shards near ``SHARD_AIM`` fingerprints. A shard with more than ``SHARD_ROWS`` of them is cut on, by the
+whole part and then by the other bits in the same way, so no hot shard lands in one task, and no link
+is lost. Each shard becomes a BK-tree: children are keyed
 by their Hamming distance to the parent, and a query follows only edges within the radius of its own
 distance. A tree of all fingerprints would grow with the corpus and can't be broadcast; the shard's
 tree and its queries meet by shuffle instead. A shard reports a star of links for each component it
@@ -30,8 +31,8 @@ from . import jaccard
 from ._common import staged, table, text_blocks, texts_of
 
 SEED = 42
-LEVELS = 2
-#: Fingerprints in one shard before it is cut on.
+#: Fingerprints that a shard should have, and in one shard before it is cut on.
+SHARD_AIM = 2048
 SHARD_ROWS = 20_000
 #: Members of a subtree that are compared as one block.
 LEAF = 48
@@ -75,6 +76,12 @@ def _parts(bits: list[int], pieces: int) -> list[list[int]]:
     return [x.tolist() for x in np.array_split(np.array(bits, dtype=int), pieces) if len(x)]
 
 
+def first_masks(radius: int, rows: int) -> list[int]:
+    """Masks of the first bits of each part, as many as make shards of about ``SHARD_AIM`` of ``rows`` values."""
+    wanted = (max(rows, 1) // SHARD_AIM).bit_length()
+    return sorted({sum(1 << b for b in part[:wanted]) for part in _parts(list(range(64)), radius + 1)})
+
+
 def shard_masks(radius: int, levels: int, bits: list[int] | None = None, taken: int = 0) -> list[int]:
     """Masks of the bits that name a shard: two values within the radius agree under one of them."""
     bits = list(range(64)) if bits is None else bits
@@ -91,24 +98,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _dealt(fps: DataFrame, radius: int, levels: int) -> DataFrame:
+def _dealt(fps: DataFrame, masks: list[int]) -> DataFrame:
     """(mask int, shard long, fp): every fingerprint once for each mask."""
-    masks = F.lit([_signed(m) for m in shard_masks(radius, levels)])
+    masks = F.lit([_signed(m) for m in masks])
     return fps.select("fp", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("fp")))).alias("mask", "shard")).select("mask", "shard", "fp")
 
 
-def bk_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bk_links(values: np.ndarray, radius: int, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions of ``values`` within the radius, found by walking a BK-tree of them.
 
     The tree is built as it is walked: the first member is the node, the others fall to its children
     by distance, and of the queries only those within the radius of an edge go along it. The queries
-    of a node are the members themselves, so a pair is found once or twice.
+    of a node are the members themselves, so a pair is found once or twice. ``work`` gets the number of
+    comparisons of each node.
     """
+    work = [] if work is None else work
     left, right = [], []
     todo = [(np.arange(len(values)), np.arange(len(values)))]
     while todo:
         members, queries = todo.pop()
         if len(members) <= LEAF:
+            work.append(len(members) * len(queries))
             for at in range(0, len(queries), 65536):
                 part = queries[at : at + 65536]
                 near = np.bitwise_count(values[members][:, None] ^ values[part][None, :]) <= radius
@@ -118,6 +128,7 @@ def bk_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                 right.append(b[a < b])
             continue
         node, rest = members[0], members[1:]
+        work.append(len(queries) + len(rest))
         to_query = np.bitwise_count(values[queries] ^ values[node]).astype(np.int64)
         found = queries[to_query <= radius]
         found = found[found != node]
@@ -204,18 +215,18 @@ def shard_stars(dealt: DataFrame, radius: int, partitions: int | None = None) ->
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b): stars of links whose components are those of all links between ``fps`` (fp long, distinct)."""
     found = None
-    levels = LEVELS
+    masks, levels = first_masks(radius, fps.count()), 0
     while True:
-        last = len(shard_masks(radius, levels)) == len(shard_masks(radius, levels + 1))
-        dealt = _dealt(fps, radius, levels)
+        finer = shard_masks(radius, levels + 1)
+        dealt = _dealt(fps, masks)
         large = staged(dealt.groupBy("mask", "shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).select("mask", "shard"))
-        done = last or large.isEmpty()
+        done = large.isEmpty() or finer == masks
         stars = shard_stars(dealt if done else dealt.join(large, ["mask", "shard"], "left_anti"), radius)
         found = stars if found is None else found.unionByName(stars)
         if done:
             return found
         fps = staged(dealt.join(large, ["mask", "shard"], "left_semi").select("fp").distinct())
-        levels += 1
+        masks, levels = finer, levels + 1
 
 
 def contracted(edges: DataFrame) -> DataFrame:

@@ -76,3 +76,22 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (200, 200)], "a long, b long")
     found = {r.node: r.label for r in simhash.components(edges).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_trees_prune():
+    rng = np.random.default_rng(7)
+    values = np.unique(rng.integers(0, 1 << 63, simhash.SHARD_AIM).astype(np.uint64))
+    work: list[int] = []
+    simhash.bk_links(values, 2, work)
+    assert sum(work) < 0.6 * len(values) ** 2
+    assert len(work) > 10  # nodes were walked
+
+
+def test_first_masks_keep_pairs_together():
+    rng = np.random.default_rng(8)
+    for rows in (1, 10_000, 1 << 40):
+        masks = simhash.first_masks(2, rows)
+        for _ in range(200):
+            a = int(rng.integers(0, 1 << 62))
+            b = a ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64)))
+            assert any(a & m == b & m for m in masks)
