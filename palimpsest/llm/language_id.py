@@ -1,7 +1,7 @@
 """Language identification with Viterbi over words (operator 3).
 
 A word is a run of letters. Its script, by code point ranges, narrows the languages to those that use
-the script in training. A word's score for a language is the sum of log probabilities of its letter
+the script in training; the others are not scored and can't be the word's. A word's score for a language is the sum of log probabilities of its letter
 trigrams (hashed, smoothed, with word ends). Viterbi over a document's words, with a penalty for each
 switch of language, labels spans of mixed-language text; the document's language is the one with most
 letters, and the score its share of the letters.
@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, mix64, stable_shuffle, table, texts_of
+from ._common import fold, mix64, stable_shuffle, table, text_blocks, texts_of
 
 #: Training documents of each language, at most.
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 16
 SMOOTHING = 0.2
 SWITCH_PENALTY = 12.0
-#: Cost of a word for a language that doesn't use its script.
-FOREIGN_SCRIPT = 200.0
+#: Letters that are scored at once.
+SLICE = 1 << 16
 #: Share of a language's training letters from which it is held to use a script.
 SCRIPT_SHARE = 0.005
 FOLDS, HELD_FOLD = 3, 1
@@ -119,7 +119,7 @@ def count(sample: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log probabilities by bucket and language, cost by script and language)."""
+    """(languages, log probabilities by bucket and language, candidates by script and language)."""
     known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (fold(docs["doc_id"], FOLDS) != HELD_FOLD))
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))  # a row for each language
     share = (F.least(F.lit(1.0), F.lit(float(TRAIN_ROWS)) / F.col("rows")) * float(1 << 62) * 2).alias("below")
@@ -127,7 +127,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     found = count(sample.select("lang", "text")).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     if not langs:
-        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), np.float32)
+        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool)
     lang = np.searchsorted(np.array(langs, dtype=object), np.array(found.column("lang").to_pylist(), dtype=object))
     kind, bucket, n = (found.column(c).to_numpy() for c in ("kind", "bucket", "n"))
     grams, letters = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPTS), len(langs)))
@@ -135,8 +135,8 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     letters[bucket[kind == 1], lang[kind == 1]] = n[kind == 1]
     table_ = np.log(grams + SMOOTHING) - np.log(grams.sum(axis=0) + SMOOTHING * BUCKETS)
     uses = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
-    cost = np.where(uses | ~uses.any(axis=1, keepdims=True), 0.0, FOREIGN_SCRIPT)
-    return langs, table_.astype(np.float32), cost.astype(np.float32)
+    # a script that no language uses narrows nothing
+    return langs, table_.astype(np.float32), uses | ~uses.any(axis=1, keepdims=True)
 
 
 def viterbi(scores: np.ndarray, rows: np.ndarray, n_rows: int, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -176,26 +176,41 @@ def viterbi(scores: np.ndarray, rows: np.ndarray, n_rows: int, penalty: float =
     return path
 
 
+def word_scores(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, table_: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Each word's score for each language; minus infinity for one that isn't a candidate of the word's script."""
+    out = np.full((len(starts), table_.shape[1]), -np.inf, dtype=np.float32)
+    if not len(starts):
+        return out
+    grams, script = _trigrams(folded), _script(folded[starts])
+    for s in np.unique(script).tolist():
+        words, langs = np.flatnonzero(script == s), np.flatnonzero(candidates[s])
+        narrow = table_[:, langs]
+        sizes = ends[words] + 1 - starts[words]  # with the word's end
+        stops = np.cumsum(sizes)
+        sums = np.zeros((len(words), len(langs)))
+        for at in range(0, int(stops[-1]), SLICE):
+            place = np.arange(at, min(at + SLICE, int(stops[-1])))
+            word = np.searchsorted(stops, place, side="right")
+            letter = starts[words[word]] + place - (stops[word] - sizes[word])
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            sums[word[first]] += np.add.reduceat(narrow[grams[letter]], first, axis=0, dtype=np.float64)
+        out[np.ix_(words, langs)] = sums
+    return out
+
+
 def _label(texts: list[str], model):
-    langs, table_, cost = model
-    parts, spans, rows, done = [], [], [], 0
-    while done < len(texts):
-        more, size = done, 0
-        while more < len(texts) and (more == done or size + len(texts[more]) < 1 << 20):
-            size += len(texts[more])
-            more += 1
-        folded, starts, ends, row, bounds = _words(texts[done:more])
-        sums = np.zeros((len(folded) + 1, len(langs)))
-        np.cumsum(table_[_trigrams(folded)], axis=0, out=sums[1:], dtype=np.float64)
-        score = sums[ends + 1] - sums[starts] - cost[_script(folded[starts])] if len(starts) else np.zeros((0, len(langs)))
-        parts.append(score.astype(np.float32))
-        spans.append(np.stack([starts - bounds[row], ends - bounds[row]]) if len(starts) else np.zeros((2, 0), np.int64))
-        rows.append(row + done)
-        done = more
-    scores = np.concatenate(parts) if parts else np.zeros((0, len(langs)), np.float32)
-    span = np.concatenate(spans, axis=1) if spans else np.zeros((2, 0), np.int64)
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return row, span, viterbi(scores, row, len(texts))
+    """(rows, (starts, ends), languages) of the words of a few texts."""
+    _, table_, candidates = model
+    folded, starts, ends, row, bounds = _words(texts)
+    path = viterbi(word_scores(folded, starts, ends, table_, candidates), row, len(texts))
+    return row, np.stack([starts - bounds[row], ends - bounds[row]]), path
+
+
+def _decoded(column: pa.Array):
+    """(first row, end row, texts) of runs of rows of about a block."""
+    for lo, hi, raw, offs in text_blocks(column):
+        data = raw.tobytes()
+        yield lo, hi, [data[s:e].decode("utf-8", "replace") for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
 
 
 def predict(texts: DataFrame, model) -> DataFrame:
@@ -209,22 +224,23 @@ def predict(texts: DataFrame, model) -> DataFrame:
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([UNKNOWN] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int32))], names=["doc_id", "lang_pred", "score", "n_spans"])
                 continue
-            row, (start, end), path = _label(batch.column("text").to_pylist(), shared.value)
-            n = batch.num_rows
-            letters = np.bincount(row * len(langs) + path, weights=end - start, minlength=n * len(langs)).reshape(n, len(langs))
-            whole = letters.sum(axis=1)
-            best = letters.argmax(axis=1)
-            turns = np.ones(len(row), dtype=bool)
-            turns[1:] = (row[1:] != row[:-1]) | (path[1:] != path[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([langs[b] if w else UNKNOWN for b, w in zip(best, whole)], pa.string()),
-                    pa.array(letters[np.arange(n), best] / np.maximum(whole, 1)),
-                    pa.array(np.bincount(row[turns], minlength=n).astype(np.int32)),
-                ],
-                names=["doc_id", "lang_pred", "score", "n_spans"],
-            )
+            for lo, hi, texts_ in _decoded(batch.column("text")):
+                row, (start, end), path = _label(texts_, shared.value)
+                n = hi - lo
+                letters = np.bincount(row * len(langs) + path, weights=end - start, minlength=n * len(langs)).reshape(n, len(langs))
+                whole = letters.sum(axis=1)
+                best = letters.argmax(axis=1)
+                turns = np.ones(len(row), dtype=bool)
+                turns[1:] = (row[1:] != row[:-1]) | (path[1:] != path[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(lo, n),
+                        pa.array([langs[b] if w else UNKNOWN for b, w in zip(best, whole)], pa.string()),
+                        pa.array(letters[np.arange(n), best] / np.maximum(whole, 1)),
+                        pa.array(np.bincount(row[turns], minlength=n).astype(np.int32)),
+                    ],
+                    names=["doc_id", "lang_pred", "score", "n_spans"],
+                )
 
     return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans int")
 
@@ -238,17 +254,18 @@ def spans(texts: DataFrame, model) -> DataFrame:
             langs = shared.value[0]
             if not langs:
                 continue
-            row, (start, end), path = _label(batch.column("text").to_pylist(), shared.value)
-            if not len(row):
-                continue
-            turns = np.ones(len(row), dtype=bool)
-            turns[1:] = (row[1:] != row[:-1]) | (path[1:] != path[:-1])
-            first = np.flatnonzero(turns)
-            last = np.append(first[1:], len(row)) - 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row[first])), pa.array(start[first]), pa.array(end[last]), pa.array([langs[k] for k in path[first]], pa.string())],
-                names=["doc_id", "start", "end", "lang"],
-            )
+            for lo, _, texts_ in _decoded(batch.column("text")):
+                row, (start, end), path = _label(texts_, shared.value)
+                if not len(row):
+                    continue
+                turns = np.ones(len(row), dtype=bool)
+                turns[1:] = (row[1:] != row[:-1]) | (path[1:] != path[:-1])
+                first = np.flatnonzero(turns)
+                last = np.append(first[1:], len(row)) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(lo + row[first])), pa.array(start[first]), pa.array(end[last]), pa.array([langs[k] for k in path[first]], pa.string())],
+                    names=["doc_id", "start", "end", "lang"],
+                )
 
     return texts.mapInArrow(run, "doc_id long, start long, end long, lang string")
 

@@ -92,3 +92,22 @@ def test_viterbi_matches_brute_force():
         got = path[rows == r]
         value = lambda p: sum(s[i, k] for i, k in enumerate(p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:]))
         assert value(got) == pytest.approx(value(want[::-1]), abs=1e-3)
+
+
+def test_scripts_narrow_before_scoring():
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(language_id.BUCKETS, 3)).astype(np.float32)
+    candidates = np.ones((len(language_id.SCRIPTS), 3), dtype=bool)
+    candidates[language_id.SCRIPTS.index("Cyrillic")] = [False, False, True]
+    texts = ["one " + "x" * 70_000 + " два три", "", "слово end", "12 !"]
+    folded, starts, ends, _, _ = language_id._words(texts)
+    got = language_id.word_scores(folded, starts, ends, table, candidates)
+    grams = language_id._trigrams(folded)
+    for k, (s, e) in enumerate(zip(starts, ends)):
+        want = table[grams[s : e + 1]].sum(axis=0, dtype=np.float64)
+        if language_id._script(folded[[s]])[0] == language_id.SCRIPTS.index("Cyrillic"):
+            assert np.isneginf(got[k, :2]).all() and np.isclose(got[k, 2], want[2], rtol=1e-5)
+        else:
+            assert np.allclose(got[k], want, rtol=1e-4, atol=1e-3)
+    row, (start, end), path = language_id._label(texts, (["a", "b", "c"], table, candidates))
+    assert len(path) == 6 and (path[[2, 3, 4]] == 2).all()
