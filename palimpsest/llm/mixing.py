@@ -5,10 +5,12 @@ target stops at ``MOST`` times its source's words and the excess is reshared by
 is a row of slots of ``BLOCK_WORDS`` words each. Slot i's point is the fraction of i times the golden
 ratio, mapped through the sources' cumulative targets; the rank of a slot among those of its source
 names the block it takes. A source's blocks are its documents in shuffled order, end to end, cut into
-equal blocks, twice over; block k of a source joins its slot of rank k. A document's ``taken`` is what
-the joined blocks hold of it, so at most ``MOST`` times its size, and the last block of a source is cut
-at its target. The schedule starts ``SLACK`` beyond the number of slots needed and runs on until every
-source has its own; slots that a source doesn't need are void.
+equal blocks, twice over; block k of a source joins its slot of rank k. The mix is what the slots hold,
+in their order (:func:`scheduled`), so any stretch of it has the sources near their weights. A document's
+``taken`` is what the joined blocks hold of it, at most ``MOST`` times its size, and ``first_slot`` the
+first of them; the last block of a source is cut at its target. The schedule starts ``SLACK`` beyond the
+number of slots needed and runs on until every source has its own; slots that a source doesn't need are
+void.
 
 Defined results: null text has size 0 and takes nothing; null sources are one source; repeated rows
 are mixed each on their own; a null id is shuffled like any other; an empty table gives an empty one.
@@ -85,7 +87,7 @@ def point(slot: Column) -> Column:
 
 
 def schedule(wanted: DataFrame) -> DataFrame:
-    """(sid, block): the slots, each with its source and its rank among that source's slots.
+    """(sid, block, slot): the slots, each with its source and its rank among that source's slots.
 
     Points are mapped by the slots that each source needs, and run on until each has them: any span of
     the points' range is met in the end, so the rounds end.
@@ -109,7 +111,7 @@ def schedule(wanted: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     here = Window.partitionBy("sid", "chunk").orderBy("id")
-    return hit.withColumn("r", F.row_number().over(here) - 1).join(bases, ["sid", "chunk"]).select("sid", (F.col("base") + F.col("r")).alias("block"))
+    return hit.withColumn("r", F.row_number().over(here) - 1).join(bases, ["sid", "chunk"]).select("sid", (F.col("base") + F.col("r")).alias("block"), F.col("id").alias("slot"))
 
 
 def last_word() -> Column:
@@ -117,36 +119,60 @@ def last_word() -> Column:
     return F.least(F.floor(F.col("target") + 1e-6), MOST * F.col("source_size"))
 
 
-def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken; with source."""
+def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows with their place in their source's stream, targets, whether anything is wanted)."""
     sizes = staged(word_counts(docs, id_col, text_col, source_col))
     wanted = staged(targets(sizes))
-    words = wanted.agg(F.sum("target")).first()[0] or 0.0
     known = sizes.join(wanted, sizes.source.eqNullSafe(wanted.source)).select("doc_id", sizes.source, "size", "sid", "source_size", "target")
-    if not words:
-        return known.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     shuffled = known.withColumn("key", F.xxhash64(F.lit(SEED), "doc_id"))
     laid = ranked(shuffled, ["sid", "key", "doc_id", "size"], ("size",)).withColumnRenamed("before_size", "at")
     first = laid.groupBy("sid").agg(F.min("at").alias("first_at"))
-    streamed = staged(laid.join(first, "sid").withColumn("start", F.col("at") - F.col("first_at")))
-    passes = streamed.where("size > 0").select(
-        "rank", "sid", "size", last_word().alias("end_at"), F.explode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("begin")
-    )
+    return staged(laid.join(first, "sid").withColumn("start", F.col("at") - F.col("first_at"))), wanted, bool(wanted.agg(F.sum("target")).first()[0])
+
+
+def _blocks(streamed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(slot, sid, block, rank, doc_id, turn, words): what each slot holds of which row; turn 1 is a row's second time."""
+    begins = F.posexplode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("turn", "begin")
+    passes = streamed.where("size > 0").select("rank", "doc_id", "sid", "size", last_word().alias("end_at"), begins)
     passes = passes.withColumn("stop", F.least(F.col("begin") + F.col("size"), "end_at")).where("begin < stop")
     held = passes.withColumn("block", F.explode(F.expr(f"sequence(begin div {BLOCK_WORDS}, (stop - 1) div {BLOCK_WORDS})")))
     within = F.least("stop", (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("begin", F.col("block") * BLOCK_WORDS)
     joined = held.withColumn("words", within).join(schedule(wanted), ["sid", "block"])
-    taken = joined.groupBy("rank").agg(F.sum("words").alias("taken"))
-    return streamed.join(taken, "rank", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return joined.select("slot", "sid", "block", "rank", "doc_id", "turn", "words")
+
+
+def scheduled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: (slot, sid, block, doc_id, turn, words), to be read by slot; sid is the source's place by code point."""
+    streamed, wanted, some = _streams(docs, id_col, text_col, source_col)
+    blocks = _blocks(streamed, wanted) if some else docs.sparkSession.createDataFrame([], "slot long, sid long, block long, rank long, doc_id long, turn int, words long")
+    return blocks.drop("rank")
+
+
+def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken, first_slot, and again_slot of its second time."""
+    streamed, wanted, some = _streams(docs, id_col, text_col, source_col)
+    head = ["doc_id", "source", "size", "source_size", "target"]
+    if not some:
+        return streamed.select(*head, F.lit(0).cast("long").alias("taken"), *[F.lit(None).cast("long").alias(c) for c in ("first_slot", "again_slot")])
+    slot = [F.min(F.when(F.col("turn") == t, F.col("slot"))).alias(c) for t, c in enumerate(("first_slot", "again_slot"))]
+    taken = _blocks(streamed, wanted).groupBy("rank").agg(F.sum("words").alias("taken"), *slot)
+    return streamed.join(taken, "rank", "left").select(*head, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "again_slot")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of the mix, with every column of ``docs``: a row stands as often as the mix takes its words, rounded."""
+    """The rows of the mix, with every column of ``docs``, in the order of the schedule.
+
+    A row stands as often as the mix takes its words, rounded, each time at the slot where that begins.
+    Rows that share an id share their mean number of times.
+    """
     took = takes(docs, id_col, text_col, source_col)
-    copies = took.groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("z"))
-    copies = copies.where("z > 0").select(F.col("doc_id").alias("_mix_id"), F.round(F.col("t") / F.col("z")).cast("int").alias("_copies")).where("_copies > 0")
-    out = docs.join(copies, docs[id_col].cast("long").eqNullSafe(copies["_mix_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    times = took.groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("z"), F.min("first_slot").alias("s0"), F.min("again_slot").alias("s1"))
+    times = times.where("z > 0").withColumn("n", F.round(F.col("t") / F.col("z")).cast("int")).where("n > 0")
+    mark = "_" * (1 + max(len(c) for c in docs.columns))  # no column has such a name
+    slots = F.slice(F.array(F.coalesce("s0", "s1"), F.coalesce("s1", "s0")), F.lit(1), F.col("n"))
+    placed = times.select(F.col("doc_id").alias(f"id{mark}"), F.explode(slots).alias(f"slot{mark}"))
+    out = docs.join(placed, docs[id_col].cast("long").eqNullSafe(placed[f"id{mark}"]))
+    return out.repartitionByRange(f"slot{mark}").sortWithinPartitions(f"slot{mark}").select(*[docs[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,7 @@ def test_targets_and_takes(spark):
 
 def test_mix_keeps_columns(spark):
     df = spark.createDataFrame([(i, "a b c", f"s{i % 2}", i) for i in range(50)], "doc_id long, text string, source string, n_chars long")
+    df = df.selectExpr("*", "1 AS _copies", "2 AS _copy", "3 AS slot")
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns and 0 < mixed.count() <= 100
     assert mixing.takes(df.limit(0)).collect() == [] and mixing.mix(df.limit(0)).collect() == []
@@ -61,3 +62,27 @@ def test_small_sources_get_their_target(spark):
     for s in {s for _, _, s in rows}:
         mine = [r for r in found if r.source == s]
         assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=1), s
+
+
+def test_the_schedule_decides(spark):
+    rows = [(i, "w " * 640, "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = brute_targets({s: 30 * 640 for s in "abc"})
+    need = {k: -(-int(want[s] + 1e-6) // mixing.BLOCK_WORDS) for k, s in enumerate("abc")}
+    total, points, slot = sum(need.values()), {k: [] for k in need}, 0
+    bounds = np.cumsum([need[k] for k in need]) / total
+    while any(len(points[k]) < need[k] for k in need):  # brute force: points through the cumulative needs, ranked by source
+        points[int(np.searchsorted(bounds, slot * 0.6180339887498949 % 1, side="right"))].append(slot)
+        slot += 1
+    found = mixing.scheduled(df).collect()
+    assert {(r.sid, r.block, r.slot) for r in found} == {(k, b, s) for k in need for b, s in enumerate(points[k][: need[k]])}
+    # any stretch of the mix has the sources near their weights
+    order = [r.sid for r in sorted(found, key=lambda r: r.slot)]
+    for end in range(50, len(order), 25):
+        for k in need:
+            assert abs(order[:end].count(k) / end - need[k] / total) < 0.08
+    firsts = {r.doc_id: r.first_slot for r in mixing.takes(df).collect() if r.first_slot is not None}
+    assert firsts == {i: min(r.slot for r in found if r.doc_id == i and r.turn == 0) for i in firsts}
+    mixed = [r.doc_id for r in mixing.mix(df).coalesce(1).collect()]
+    seen = list(dict.fromkeys(mixed))
+    assert seen == sorted(seen, key=firsts.get) and len({i % 3 for i in seen[:6]}) > 1
