@@ -7,10 +7,12 @@ with a title by a name of the title's gender and the name's script. The same ent
 spelling (case, blanks, separators), gets the same surrogate everywhere, in all documents; a family
 name alone gets the family name that it has beside a first name.
 
-Surrogates are drawn by a hash of key, kind, entity and try. Each round checks the drawn ones, by
-grouping and joining, against each other, against those that already stand and against the entities
-of the corpus; of those that meet, the entity with the smallest hash keeps the surrogate and the
-others draw again. So different entities keep different surrogates, and none is a real entity.
+Numbers, addresses and secrets take a keyed permutation of all strings of their form (:func:`permuted`),
+which has no fixed point and gives different entities different surrogates however full the space is;
+a surrogate may be the value of another entity, which is itself replaced. Names are drawn by a hash of
+key, kind, entity and try and grow with the tries; none is a name of the corpus. Each round checks the
+surrogates by grouping and joining, against each other and against those that stand; of those that
+meet, the entity with the smallest hash keeps the surrogate and the others draw again.
 
 Documents without personal data are passed by; only the others, and the entities, are shuffled.
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._common import staged, table
 
-#: Stands in for the secret of a deployment; pass your own.
+#: The query's key; a deployment passes its own secret.
 KEY = "palimpsest"
 
 #: Titles that come before a name.
@@ -57,7 +59,7 @@ PHONE = r"(?:(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)|(?<![\w+(])\(
 CARD = r"(?<![\w.+-])(?:\d{4}[ -]?){3}\d{1,7}(?!\d|[.-]\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["'])[^\s"']{8,256}(?=["'])"""
+SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["'])[^\s"']{8,8192}(?=["'])"""
 _NAME = r"\p{Lu}\p{Ll}{1,40}(?:-\p{Lu}\p{Ll}{1,40})?"
 _TITLE = "|".join(t.replace(".", r"\.") for t in sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
 PERSON = rf"(?=[{"".join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])(?<!\p{{L}})(?:{_TITLE}) {_NAME}(?: {_NAME})?(?!\p{{L}})"
@@ -104,6 +106,7 @@ def canonical(kind: Column, surface: Column) -> Column:
         F.when(kind == "email", F.lower(surface))
         .when(kind == "phone", F.concat_ws("|", country, F.expr("substr(regexp_replace(surface, '[^0-9]', ''), length(regexp_extract(surface, '^\\\\+(\\\\d{1,3})[^0-9]', 1)) + 1)")))
         .when(kind.isin("ssn", "card"), digits)
+        .when(kind == "ip", F.array_join(F.transform(F.split(surface, r"\."), lambda o: o.cast("int").cast("string")), "."))
         .when(kind == "iban", F.replace(surface, F.lit(" "), F.lit("")))
         .when(kind == "person", family)
         .otherwise(surface)
@@ -123,20 +126,54 @@ def _pick(letters: Column, seed: Column, i: Column) -> Column:
     return F.substring(letters, (F.pmod(F.xxhash64(seed, i), F.char_length(letters)) + 1).cast("int"), F.lit(1))
 
 
-def _alike(text: Column, seed: Column) -> Column:
-    """``text`` with each digit and letter drawn anew, of its kind, case and script."""
+#: Rounds of the permutation, each way.
+ROUNDS = 6
 
-    def one(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        letter = _pick(_alphabet(F.ascii(c)), seed, i)
-        return (
-            F.when(c.rlike("[0-9]"), _pick(F.lit("0123456789"), seed, i))
-            .when((c == F.upper(c)) & (c != F.lower(c)), F.upper(letter))
-            .when(c.rlike(r"\p{L}"), letter)
-            .otherwise(c)
-        )
 
-    return F.when(F.char_length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(text)), one), "")).otherwise(text)
+def permuted(rows: DataFrame, seed: Column) -> DataFrame:
+    """``rows`` (core, hexadecimal) with ``new``: core under a keyed permutation of the strings of its form.
+
+    Each digit and letter stays of its kind, case and script. A Feistel network over character values: in
+    each round one half moves by a hash of the other. Forward, one step of the first character, and back
+    again, so no string maps to itself.
+    """
+    hexadecimal = F.col("hexadecimal")
+
+    def alphabet(c: Column) -> Column:
+        return F.when(hexadecimal, F.lit("0123456789abcdef")).when(c.rlike("[0-9]"), F.lit("0123456789")).when(c.rlike(r"\p{L}"), _alphabet(F.ascii(c))).otherwise(F.lit(""))
+
+    def value(c: Column, a: Column) -> Column:
+        at = F.instr(a, F.lower(c))  # a letter that the alphabet lacks takes the place of its code
+        return F.when(a == "", 0).when(at > 0, at - 1).otherwise(F.pmod(F.ascii(c), F.char_length(a))).cast("int")
+
+    laid = rows.withColumn("places", F.sequence(F.lit(1), F.greatest(F.char_length("core"), F.lit(1)))).withColumn("chars", F.transform("places", lambda i: F.substring("core", i, F.lit(1))))
+    laid = laid.withColumn("letters", F.transform("chars", alphabet)).withColumn("sizes", F.transform("letters", lambda a: F.char_length(a).cast("long")))
+    laid = laid.withColumn("values", F.zip_with("chars", "letters", value)).withColumn("half", F.floor(F.char_length("core") / 2))
+    laid = laid.withColumn("first", F.array_position(F.transform("sizes", lambda n: n > 0), True) - 1)
+
+    def move(now: Column, turn: Column) -> Column:
+        back = turn > ROUNDS
+        nth = F.when(back, 2 * ROUNDS - turn).otherwise(turn)
+        left = F.pmod(nth, F.lit(2)) == 0
+        still = F.hash(F.filter(now, lambda v, i: (i < F.col("half")) != left))
+        step = F.when(turn == ROUNDS, F.lit(0)).when(back, F.lit(-1)).otherwise(F.lit(1))
+
+        def one(v: Column, i: Column, h: Column) -> Column:
+            by = F.when(turn == ROUNDS, (i == F.col("first")).cast("long")).when((i < F.col("half")) == left, step * F.pmod(F.xxhash64(seed, nth, h, i), F.lit(1 << 40)))
+            size = F.element_at("sizes", (i + 1).cast("int"))
+            return F.when(size > 0, F.pmod(v + F.coalesce(by, F.lit(0)), size)).otherwise(v).cast("int")
+
+        # the hash of the half that stays is taken once a round: the only element of an array
+        return F.flatten(F.transform(F.array(still), lambda h: F.transform(now, lambda v, i: one(v, i, h))))
+
+    laid = laid.withColumn("moved", F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS)), F.col("values"), move))
+
+    def back_to_text(i: Column) -> Column:
+        c, a = F.element_at("chars", i), F.element_at("letters", i)
+        new = F.substring(a, F.element_at("moved", i) + 1, F.lit(1))
+        return F.when(a == "", c).when((c == F.upper(c)) & (c != F.lower(c)) & ~hexadecimal, F.upper(new)).otherwise(new)
+
+    return laid.select(*rows.columns, F.array_join(F.transform("places", back_to_text), "").alias("new"))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -151,11 +188,19 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), add)
 
 
-def _card(digits: Column, seed: Column) -> Column:
-    drawn = _alike(digits, seed)
-    head = F.substring(drawn, F.lit(1), (F.char_length(drawn) - 1).cast("int"))
-    check = F.pmod(-_luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(_luhn_sum(digits) % 10 == 0, F.concat(head, check)).otherwise(drawn)
+def _iban_rest(bban: Column, country: Column) -> Column:
+    """The check digits that make country and account a valid number."""
+    text = F.concat(bban, country, F.lit("00"))
+
+    def add(rest: Column, i: Column) -> Column:
+        c = F.substring(text, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), rest * 10 + c.cast("int")).otherwise(rest * 100 + F.ascii(c) - 55) % 97
+
+    return 98 - F.aggregate(F.sequence(F.lit(1), F.char_length(text)), F.lit(0), add)
+
+
+def _octets_as_hex(ip: Column) -> Column:
+    return F.array_join(F.transform(F.split(ip, r"\."), lambda o: F.lower(F.lpad(F.hex(o.cast("int")), 2, "0"))), "")
 
 
 def _family(name: Column, seed: Column, tries: Column) -> Column:
@@ -182,37 +227,62 @@ def _given(canon: Column, seed: Column, tries: Column) -> Column:
     return F.concat(F.substring_index(canon, "|", 3), F.lit("|"), out)
 
 
-def drawn(kind: Column, canon: Column, tries: Column, key: str) -> Column:
-    """The surrogate of an entity at a try, in the canonical form of its kind."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, tries.cast("string")), 256)
-    octets = [(F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)]
-    ending = F.regexp_extract(canon, r"(\.[^.@]+)$", 1)
-    country = F.substring_index(canon, "|", 1)
-    hex_alike = F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(canon)), lambda i: _pick(F.lit("0123456789abcdef"), seed, i)), "")
+def _core(kind: Column, canon: Column) -> Column:
+    """The part of an entity that is permuted."""
+    ending = F.char_length(F.regexp_extract(canon, r"(\.[^.@]+)$", 1))
+    head = lambda n: F.substring(canon, F.lit(1), (F.char_length(canon) - n).cast("int"))
     return (
-        F.when(kind == "email", F.concat(_alike(F.substring(canon, F.lit(1), (F.char_length(canon) - F.char_length(ending)).cast("int")), seed), ending))
-        .when(kind == "phone", F.concat(country, F.lit("|"), _alike(F.substring_index(canon, "|", -1), seed)))
+        F.when(kind == "email", head(ending))
+        .when(kind == "phone", F.substring_index(canon, "|", -1))
+        .when(kind == "ip", _octets_as_hex(canon))
+        .when(kind == "card", head(F.lit(1)))
+        .when(kind == "iban", F.expr("substr(canon, 5)"))
+        .otherwise(canon)
+    )
+
+
+def _whole(kind: Column, canon: Column, core: Column, new: Column) -> Column:
+    """The surrogate, from the permuted part; check digits are as right or wrong as they were."""
+    last = F.substring(canon, -1, 1).cast("int")
+    luhn = lambda digits: F.pmod(-_luhn_sum(F.concat(digits, F.lit("0"))), F.lit(10))
+    country = F.substring(canon, 1, 2)
+    check = F.pmod(F.substring(canon, 3, 2).cast("int") - _iban_rest(core, country) + _iban_rest(new, country), F.lit(100))
+    octets = [F.conv(F.substring(new, k, 2), 16, 10) for k in (1, 3, 5, 7)]
+    return (
+        F.when(kind == "email", F.concat(new, F.regexp_extract(canon, r"(\.[^.@]+)$", 1)))
+        .when(kind == "phone", F.concat_ws("|", F.substring_index(canon, "|", 1), new))
         .when(kind == "ip", F.concat_ws(".", *octets))
-        .when(kind == "card", _card(canon, seed))
-        .when(kind == "ssn", _alike(canon, seed))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _alike(F.expr("substr(canon, 3)"), seed)))
-        .when(kind == "person", _family(canon, seed, tries))
-        .when(kind == "given", _given(canon, seed, tries))
-        .when(canon.rlike("^[0-9a-f]+$"), hex_alike)
-        .otherwise(_alike(canon, seed))
+        .when(kind == "card", F.concat(new, F.pmod(last - luhn(core) + luhn(new), F.lit(10)).cast("string")))
+        .when(kind == "iban", F.concat(country, F.lpad(check.cast("string"), 2, "0"), new))
+        .otherwise(new)
     )
 
 
-def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
+def drawn(todo: DataFrame, tries: int, key: str) -> DataFrame:
+    """``todo`` (kind, canon) with its surrogates at a try, in the canonical form of their kind."""
+    kind, canon = F.col("kind"), F.col("canon")
+    own = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(tries))), 256)
+    names = todo.where(kind.isin("person", "given"))
+    names = names.withColumn("surrogate", F.when(kind == "person", _family(canon, own, F.lit(tries))).otherwise(_given(canon, own, F.lit(tries))))
+    others = todo.where(~kind.isin("person", "given")).withColumn("core", _core(kind, canon))
+    # what the form fixes (kind, what isn't permuted) may be in the seed, so equal forms share one permutation
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, F.lit(str(tries))), 256)
+    hexadecimal = (kind == "ip") | ((kind == "secret") & F.col("core").rlike("^[0-9a-f]+$"))
+    others = permuted(others.withColumn("hexadecimal", hexadecimal), seed)
+    return names.unionByName(others.select("kind", "canon", _whole(kind, canon, F.col("core"), F.col("new")).alias("surrogate")))
+
+
+def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon), without two surrogates of a kind alike.
 
     Every round at least one of the entities that meet in a surrogate keeps it, so the rounds end.
     """
-    todo = staged(found.select("kind", "canon").distinct())
-    real = todo.select("kind", F.col("canon").alias("surrogate"))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo = staged(found.select("kind", "canon").distinct().repartition(parts, "kind", "canon"))
+    real = todo.where(F.col("kind").isin("person", "given")).select("kind", F.col("canon").alias("surrogate"))
     placed, tries = None, 0
     while True:
-        draw = staged(todo.withColumn("surrogate", drawn(F.col("kind"), F.col("canon"), F.lit(tries), key)))
+        draw = staged(drawn(todo, tries, key))
         free = draw.join(real, ["kind", "surrogate"], "left_anti")
         if placed is not None:
             free = free.join(placed, ["kind", "surrogate"], "left_anti")
@@ -225,8 +295,6 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
             return placed
         if tries % 8 == 0:
             placed = staged(placed)
-        if tries > 200:
-            raise ValueError("the entities of some kind are more than its surrogates")
 
 
 def _script(name: Column) -> Column:
@@ -275,7 +343,7 @@ def dressed(kind: Column, surface: Column, surrogate: Column, given: Column) ->
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str = "n_entities") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """``docs`` with its texts' personal data replaced, and the number of entities replaced."""
     marked = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)], docs[text_col].cast("string").alias("_text"))
     columns = [f"_c{i}" for i in range(len(docs.columns))]
@@ -304,4 +372,4 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs)
+    return pseudonymise(docs, KEY)
