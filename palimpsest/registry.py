@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import delta, matching, record, texts, upkeep, watch
+from .plans import accounts, delta, matching, places, record, tables, texts, upkeep, watch
 
-MODULES = (delta, record, matching, watch, texts, upkeep)
+MODULES = (delta, record, matching, watch, texts, upkeep, places, tables, accounts)
 
 
 def queries() -> dict:
