@@ -27,8 +27,9 @@ def hyphens(text: Column) -> Column:
 
 
 def roman_value(token: Column) -> Column:
-    """The value of a Roman numeral, null for any other text; a lone L, C, D or M is text."""
-    t = F.upper(token)
+    """The value of a Roman numeral in capitals, null for any other text; a lone L, C, D or M is text."""
+    t = token
+    #: fixed value: the form of a Roman numeral
     numeral = t.rlike("^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$") & (t != "") & ~t.isin("L", "C", "D", "M")
     worth = F.create_map(*[F.lit(x) for pair in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100), ("D", 500), ("M", 1000)) for x in pair])
     values = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.try_element_at(worth, c))
@@ -44,7 +45,7 @@ def roman_value(token: Column) -> Column:
 def natural_key(value: Column) -> Column:
     """array<struct<kind,number,text>>: a Roman numeral by value, else digit and other runs; numbers before text."""
     piece = "struct<kind:int,number:bigint,text:string>"
-    runs = F.regexp_extract_all(F.lower(value), F.lit(r"(\d+|[^\d]+)"), F.lit(1))
+    runs = F.regexp_extract_all(value, F.lit(r"(\d+|[^\d]+)"), F.lit(1))
     chunks = F.transform(
         runs,
         lambda r: F.when(r.rlike("^[0-9]"), F.struct(F.lit(0).alias("kind"), r.try_cast("bigint").alias("number"), F.lit("").alias("text"))).otherwise(

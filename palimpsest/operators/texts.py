@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,58 +55,65 @@ def changed_lines(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
     return both.select(*keys, "line", kind.alias("change_type"))
 
 
+def fuzzy_units(left_over: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units that fuzzy matching may take, acts passed over) of ``act, location, change_type, text``.
+
+    Units count from ``FUZZY_CHARS`` of comparison text; an act with none or more than ``FUZZY_SIDE`` of them
+    on a side is passed over, which is told as ``act, n_deleted, n_inserted``.
+    """
+    compared = left_over.withColumn("text", comparison_text(F.col("text")))
+    fit = compared.where((F.char_length("text") >= FUZZY_CHARS) & F.col("change_type").isin("deleted", "inserted"))
+    sides = fit.groupBy("act").agg(*[F.count_if(F.col("change_type") == k).alias(f"n_{k}") for k in ("deleted", "inserted")])
+    within = F.col("n_deleted").between(1, FUZZY_SIDE) & F.col("n_inserted").between(1, FUZZY_SIDE)
+    return fit.join(sides.where(within), "act", "left_semi"), sides.where(~within)
+
+
 def fuzzy_renumberings(left_over: DataFrame) -> DataFrame:
     """(act, old_location, new_location, ratio) among ``act, location, change_type, text`` that exact matching left.
 
-    Per act: texts of ``FUZZY_CHARS`` or more, none if either side has more than ``FUZZY_SIDE`` of
-    them; pairs of ``FUZZY_RATIO`` or more on prefixes, taken greedily, best first, each unit once.
+    Pairs of an act whose lengths allow ``FUZZY_RATIO`` are scored on their first ``FUZZY_PREFIX`` characters,
+    each on its own; an act's scored pairs (``FUZZY_SIDE`` squared at most) are settled best first, each unit once.
     """
-    fit = left_over.where((F.char_length("text") >= FUZZY_CHARS) & F.col("change_type").isin("deleted", "inserted"))
-    sizes = fit.groupBy("act").agg(F.count_if(F.col("change_type") == "deleted").alias("d"), F.count_if(F.col("change_type") == "inserted").alias("i"))
-    small = sizes.where((F.col("d").between(1, FUZZY_SIDE)) & (F.col("i").between(1, FUZZY_SIDE))).select("act")
-    side = fit.join(small, "act", "left_semi").select("act", F.col("location").cast("string").alias("location"), "change_type", F.substring("text", 1, FUZZY_PREFIX).alias("head"))
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        old = rows[rows.change_type == "deleted"].sort_values("location")
-        new = rows[rows.change_type == "inserted"].sort_values("location")
-        scored = []
-        for a, x in zip(old.location, old["head"]):
-            for b, y in zip(new.location, new["head"]):
-                m = difflib.SequenceMatcher(None, x, y, autojunk=False)
-                if m.real_quick_ratio() >= FUZZY_RATIO and m.quick_ratio() >= FUZZY_RATIO and (r := m.ratio()) >= FUZZY_RATIO:
-                    scored.append((-r, a, b))
-        out, used_old, used_new = [], set(), set()
-        for r, a, b in sorted(scored):
-            if a not in used_old and b not in used_new:
-                used_old.add(a)
-                used_new.add(b)
-                out.append((rows.act.iloc[0], a, b, -r))
-        return pd.DataFrame(out, columns=["act", "old_location", "new_location", "ratio"])
-
-    return side.groupBy("act").applyInPandas(match, "act string, old_location string, new_location string, ratio double")
-
-
-_DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b")
-
-
-def moved_dates(before: str | None, after: str | None) -> tuple[str, list[str], list[str]]:
-    """(verdict, removed, added): ``deferred`` if dates are all that moved and exactly one came, ``unchanged``
-    if no date moved, else ``unknown``."""
-    old, new = set(_DATE.findall(before or "")), set(_DATE.findall(after or ""))
-    removed, added = sorted(old - new), sorted(new - old)
-    if not removed and not added:
-        return "unchanged", removed, added
-    same_but_dates = _DATE.sub("#", before or "").split() == _DATE.sub("#", after or "").split()
-    return ("deferred" if same_but_dates and len(added) == 1 else "unknown"), removed, added
+    units, _ = fuzzy_units(left_over)
+    head = F.substring("text", 1, FUZZY_PREFIX)
+    old, new = (
+        units.where(F.col("change_type") == kind).select("act", F.col("location").cast("string").alias(f"{name}_location"), head.alias(name), F.char_length(head).alias(f"n_{name}"))
+        for kind, name in (("deleted", "old"), ("inserted", "new"))
+    )
+    possible = 2 * F.least("n_old", "n_new") >= FUZZY_RATIO * (F.col("n_old") + F.col("n_new"))
 
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        matchers = [difflib.SequenceMatcher(None, x, y, autojunk=False) for x, y in zip(a, b)]
+        return pd.Series([m.ratio() if m.quick_ratio() >= FUZZY_RATIO else 0.0 for m in matchers], dtype="float64")
 
-def date_verdict(before: str, after: str):
-    """:func:`moved_dates` of two text columns."""
+    pairs = old.join(new, "act").where(possible).withColumn("ratio", F.pandas_udf(ratios, "double")("old", "new")).where(F.col("ratio") >= FUZZY_RATIO)
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs that are the best of both their units, round after round."""
+        open_ = rows.sort_values(["ratio", "old_location", "new_location"], ascending=[False, True, True])
+        taken = []
+        while len(open_):
+            best = open_[~(open_.duplicated("old_location") | open_.duplicated("new_location"))]
+            taken.append(best)
+            open_ = open_[~(open_.old_location.isin(best.old_location) | open_.new_location.isin(best.new_location))]
+        return pd.concat(taken)
+
+    scored = pairs.select("act", "old_location", "new_location", "ratio")
+    return scored.groupBy("act").applyInPandas(settle, "act string, old_location string, new_location string, ratio double")
 
-    def verdicts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([moved_dates(x, y) for x, y in zip(a, b)], columns=["verdict", "removed", "added"])
 
-    return F.pandas_udf(verdicts, "struct<verdict:string,removed:array<string>,added:array<string>>")(before, after)
+DATE = r"(\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b)"
+
+
+def date_verdict(before: str, after: str):
+    """struct<verdict,removed,added> of two text columns: ``deferred`` if nothing but dates moved and one came,
+    ``unchanged`` if no date moved, else ``unknown``."""
+    held = {side: F.regexp_extract_all(F.coalesce(F.col(side), F.lit("")), F.lit(DATE), F.lit(1)) for side in (before, after)}
+    rest = {side: comparison_text(F.regexp_replace(F.coalesce(F.col(side), F.lit("")), DATE, "#")) for side in (before, after)}
+    removed, added = (F.array_sort(F.array_except(held[x], held[y])) for x, y in ((before, after), (after, before)))
+    moved = F.size(removed) + F.size(added)
+    verdict = F.when(moved == 0, F.lit("unchanged")).when((rest[before] == rest[after]) & (F.size(added) == 1), F.lit("deferred")).otherwise(F.lit("unknown"))
+    return F.struct(verdict.alias("verdict"), removed.alias("removed"), added.alias("added"))
 
 
 def excerpts(before: str, after: str) -> tuple[bool, list[str]]:
@@ -128,7 +134,16 @@ def excerpt(before: str, after: str):
     return F.pandas_udf(shown, "struct<withheld:boolean,excerpts:array<string>>")(before, after)
 
 
+#: A number in a numbering position, the words before it, and what joins several.
+_NUMBER = r"(?:\d+(?:\.\d+)*[a-z]?|[IVXLC]+[a-z]?|[A-Z])(?:\((?:\d+[a-z]?|[a-z]{1,4})\))*"
+_NOUN = r"(?i:articles?|annex(?:es)?|chapters?|sections?|titles?|parts?|points?|paragraphs?)"
+_JOIN = r"(?:,\s*|\s+(?:and|or|to)\s+)"
+
+
 def numbering_masked(text):
-    """Reference numbers and lone labels as '#': what two texts share when only their numbering differs."""
-    numbers = F.regexp_replace(text, r"(?<![\w.])\d+(?:[./-]\d+)*[a-z]?(?![\w])", "#")
-    return F.regexp_replace(numbers, r"\((?:[a-z]{1,2}|[ivxlc]+)\)", "(#)")
+    """Numbers after a numbering word, and labels that stand alone, as '#'; dates and amounts stay.
+
+    A joined number continues the reference where the one before it ended.
+    """
+    references = F.regexp_replace(text, rf"(\b{_NOUN}\s+|\G(?!^){_JOIN}){_NUMBER}(?![\w/])", "$1#")
+    return F.regexp_replace(references, r"(?<!\S)\((?:\d{1,3}[a-z]?|[a-z]{1,4})\)(?![\w(])", "(#)")

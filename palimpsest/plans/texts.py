@@ -97,17 +97,36 @@ def word_diff_spans(spark, sf_dir):
     return spans.select("act", "location", "span", "s.kind", F.char_length("s.before").alias("n_before"), F.char_length("s.after").alias("n_after"), F.when(F.col("s.kind") != "equal", F.col("s.after")).alias("after"))
 
 
-@query()
-def renumber_fuzzy(spark, sf_dir):
+def _left_over(spark, sf_dir):
     before, after = fixtures.before(spark, sf_dir), fixtures.after(spark, sf_dir)
     delta = versions.with_renumbered(versions.diff_units(before, after)).select("act", "location", "change_type")
     old = before.join(delta.where("change_type = 'deleted'"), ["act", "location"]).select("act", "location", "change_type", "text")
-    new = after.join(delta.where("change_type = 'inserted'"), ["act", "location"]).select("act", "location", "change_type", "text")
-    left_over = old.unionByName(new).withColumn("act", F.concat_ws("/", "act", F.floor(F.col("location") % fixtures.SHIFT / 2000)))
-    return texts.fuzzy_renumberings(left_over)
+    return old.unionByName(after.join(delta.where("change_type = 'inserted'"), ["act", "location"]).select("act", "location", "change_type", "text"))
 
 
 @query()
+def renumber_fuzzy(spark, sf_dir):
+    return texts.fuzzy_renumberings(_left_over(spark, sf_dir))
+
+
+@query(
+    rf"""WITH {fixtures.RENUMBERED_SQL}, l AS (SELECT d.act, d.change_type, {_C.format(t="coalesce(y.text, x.text)")} AS c FROM delta2 d LEFT JOIN a x ON d.change_type = 'deleted' AND x.act = d.act AND x.location = d.location LEFT JOIN b y ON d.change_type = 'inserted' AND y.act = d.act AND y.location = d.location WHERE d.change_type IN ('deleted', 'inserted')),
+s AS (SELECT act, count(*) FILTER (change_type = 'deleted') AS n_deleted, count(*) FILTER (change_type = 'inserted') AS n_inserted FROM l WHERE length(c) >= 100 GROUP BY 1)
+SELECT act, n_deleted, n_inserted FROM s WHERE NOT (n_deleted BETWEEN 1 AND 50 AND n_inserted BETWEEN 1 AND 50)"""
+)
+def renumber_fuzzy_skipped(spark, sf_dir):
+    """Acts that fuzzy re-keying passes over, and what they have on each side."""
+    return texts.fuzzy_units(_left_over(spark, sf_dir))[1]
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, {_C.format(t='text')} AS head, strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y-%m-%d') AS day, strftime(DATE '2025-01-01' + (doc_id % 365)::INT, '%Y-%m-%d') AS later FROM documents),
+t AS (SELECT doc_id, head || ' applies from ' || day AS o, head || CASE WHEN doc_id % 3 = 2 THEN ' also' ELSE '' END || ' applies from ' || CASE WHEN doc_id % 3 = 0 THEN day ELSE later END AS n FROM d),
+s AS (SELECT doc_id, o, n, list_distinct(regexp_extract_all(o, '{texts.DATE}')) AS os, list_distinct(regexp_extract_all(n, '{texts.DATE}')) AS ns FROM t),
+m AS (SELECT doc_id, o, n, list_sort(list_filter(os, lambda x: NOT list_contains(ns, x))) AS removed, list_sort(list_filter(ns, lambda x: NOT list_contains(os, x))) AS added FROM s)
+SELECT doc_id, CASE WHEN len(removed) + len(added) = 0 THEN 'unchanged' WHEN len(added) = 1 AND {_C.format(t="regexp_replace(o, '" + texts.DATE + "', '#', 'g')")} = {_C.format(t="regexp_replace(n, '" + texts.DATE + "', '#', 'g')")} THEN 'deferred' ELSE 'unknown' END AS verdict,
+array_to_string(removed, ',') AS removed, array_to_string(added, ',') AS added FROM m"""
+)
 def deferral_detector(spark, sf_dir):
     """Documents under a dated clause, one year later for some, with other words for others."""
     i = F.col("doc_id")

@@ -15,7 +15,7 @@ def test_comparison_text(spark):
 
 
 def test_roman_and_natural(spark):
-    assert values(spark, ["XIV", "iv", "L", "MM", "IIX", "12", ""], text.roman_value(F.col("v"))) == [14, 4, None, 2000, None, None, None]
+    assert values(spark, ["XIV", "iv", "L", "MM", "IIX", "12", ""], text.roman_value(F.col("v"))) == [14, None, None, 2000, None, None, None]
     keys = values(spark, ["10", "9", "IX", "b", "2a", ""], text.natural_text(F.col("v")))
     order = [x for _, x in sorted(zip(keys, ["10", "9", "IX", "b", "2a", ""]))]
     assert order == ["", "2a", "9", "IX", "10", "b"]
@@ -45,10 +45,37 @@ def test_mutual_best(spark):
     assert {(r.left, r.right) for r in similarity.mutual_best(scored, 0.9).collect()} == {("b", "x")}
 
 
-def test_dates():
-    assert texts.moved_dates("from 2024-01-01", "from 2025-01-01")[0] == "deferred"
-    assert texts.moved_dates("from 2024-01-01", "as from 2025-01-01")[0] == "unknown"
-    assert texts.moved_dates("x", "y")[0] == "unchanged"
+def test_dates(spark):
+    rows = [("from 2024-01-01", "from 2025-01-01"), ("from 2024-01-01", "as from 2025-01-01"), ("x", "y"), (None, "x 1.2.2024"), ("1.2.2024  to 2024-01-01", "1.2.2024 to 2024-01-02")]
+    assert [v.verdict for v in values(spark, rows, texts.date_verdict("a", "b"), "a string, b string")] == ["deferred", "unknown", "unchanged", "unknown", "deferred"]
+
+
+def test_numbering_mask(spark):
+    rows = {
+        "see Article 5(1)(a) and Annex IV": "see Article # and Annex #",
+        "Articles 5, 6 and 7a or 8": "Articles #, # and # or #",
+        "26 May 2021 and 2021, 30 pieces": "26 May 2021 and 2021, 30 pieces",
+        "(a) first (12) second device(s)": "(#) first (#) second device(s)",
+        "articles 5x6 stay": "articles 5x6 stay",
+        "Part A and points 1.2.3 to 4, 9 days": "Part # and points # to #, # days",
+    }
+    assert values(spark, list(rows), texts.numbering_masked(F.col("v"))) == list(rows.values())
+
+
+def test_fuzzy_matches_greedy_and_tells_what_it_passes_over(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs away from the hounds of the old manor house again "
+    rows = [("x", f"o{i}", "deleted", base * 2 + f" tail {i}") for i in range(3)] + [("x", f"n{i}", "inserted", base * 2 + f"  tail {i}{'!' * i}") for i in range(4)]
+    rows += [("y", f"o{i}", "deleted", base) for i in range(51)] + [("y", "n", "inserted", base), ("x", "short", "deleted", "short")]
+    units = spark.createDataFrame(rows, "act string, location string, change_type string, text string")
+    texts_ = {r[1]: " ".join(r[3].split()) for r in rows if r[0] == "x"}
+    scored = sorted((-difflib.SequenceMatcher(None, texts_[f"o{i}"], texts_[f"n{j}"], autojunk=False).ratio(), f"o{i}", f"n{j}") for i in range(3) for j in range(4))
+    want, used = set(), set()
+    for r, a, b in scored:
+        if -r >= texts.FUZZY_RATIO and not {a, b} & used:
+            want.add((a, b))
+            used |= {a, b}
+    assert {(r.old_location, r.new_location) for r in texts.fuzzy_renumberings(units).collect()} == want
+    assert [tuple(r) for r in texts.fuzzy_units(units)[1].collect()] == [("y", 51, 1)]
 
 
 def test_quotes(spark):
