@@ -32,7 +32,7 @@ def json_props(spark, sf_dir):
 
 
 def streaming_poll(spark, sf_dir):
-    return poll.polled(spark, f"{sf_dir}/events.parquet")
+    return poll.polled(spark, f"{sf_dir}/events.parquet").drop("seen")
 
 
 QUERIES |= {f.__name__: f for f in (digest_periods, feed_dedupe_two_layer, trailing_event_count, json_props, streaming_poll)}

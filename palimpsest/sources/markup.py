@@ -19,7 +19,8 @@ def comparison_of_markup(html: Column) -> Column:
 
 
 def expand_grid(rows: list[list[dict]]) -> list[list[str | None]]:
-    """A table's cells by place: a cell with ``rowspan`` or ``colspan`` covers the places it spans with nulls.
+    """A table's cells by place: a cell with ``rowspan`` or ``colspan`` covers the places it spans: its text
+    is copied down, and stands once across.
 
     ``rows`` has cells ``{text, col?, rowspan?, colspan?}``; ``col`` counts from 1 and else follows on.
     """
@@ -37,7 +38,7 @@ def expand_grid(rows: list[list[dict]]) -> list[list[str | None]]:
                 raise ValueError("a table with too many cells")
             for dy in range(min(down, len(rows) - y)):
                 for dx in range(across):
-                    covered[y + dy, x + dx] = cell["text"] if dy == dx == 0 else None
+                    covered[y + dy, x + dx] = cell["text"] if dx == 0 else None
             x += across
             width = max(width, x)
     return [[covered.get((y, x)) for x in range(width)] for y in range(len(rows))]

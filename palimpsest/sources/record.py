@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: One change event: a JSON document for an act and the version it leads to.
 EVENT_SCHEMA = """schema_version string, corpus string, act_key string, from_version string, to_version string, detected_on date,
 in_force array<date>, changes array<struct<location:string,change_type:string,before:string,after:string,in_force:date,
-signals:array<struct<name:string,status:string,change_types:array<string>>>>>"""
+signals:array<struct<name:string,status:string,change_types:array<string>>>,
+table_entries:array<struct<container:string,table:int,key:string,occurrence:int,kind:string,typography_only:boolean>>>>"""
 
 #: One stored version: its nodes in document order.
 STORE_SCHEMA = "schema_version string, corpus string, act_key string, version string, nodes array<struct<location:string,parent:string,heading:string,text:string>>"
@@ -32,8 +33,9 @@ def event_changes(events: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Events partitioned by corpus and act; partitions that are written again are replaced."""
-    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "act_key").json(path)
+    """A folder for each event, by corpus, act and version; an event that is written again is replaced, others stay."""
+    keys = {f"of_{c}": F.col(c) for c in ("corpus", "act_key", "to_version")}  # the documents keep their own fields
+    events.withColumns(keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

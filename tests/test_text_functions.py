@@ -86,7 +86,7 @@ def test_quotes(spark):
 
 def test_grid():
     cells = [[{"text": "a", "rowspan": 2}, {"text": "b", "colspan": 2}], [{"text": "c"}, {"text": "d"}]]
-    assert expand_grid(cells) == [["a", "b", None], [None, "c", "d"]]
+    assert expand_grid(cells) == [["a", "b", None], ["a", "c", "d"]]
 
 
 def test_xml(spark):
