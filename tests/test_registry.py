@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["version_diff_units", "diff_emission_order", "signal_agreement", "entry_counts", "changes_since_topn", "best_hit_rank", "trailing_event_count", "markup_strip", "streaming_poll"])
+@pytest.mark.parametrize("name", ["version_diff_units", "diff_emission_order", "signal_agreement", "entry_counts", "changes_since_topn", "best_hit_rank", "trailing_event_count", "markup_strip", "streaming_poll", "table_entry_diff", "location_parse", "three_signal_merge", "dump_order", "deferral_detector"])
 def test_matches_sql(spark, duck, name):
     got = __spark_entry__.queries()[name](spark, DATA).toPandas()
     want = duck.sql(__spark_entry__.oracle_sql()[name]).df()
