@@ -80,20 +80,36 @@ def mutual_best(scored: DataFrame, floor: float) -> DataFrame:
     return enough.withColumns({"_r": F.row_number().over(best_right), "_l": F.row_number().over(best_left)}).where("_r = 1 AND _l = 1").drop("_r", "_l")
 
 
-def candidates(nodes: DataFrame, key: str, act: str, text: str = "text", width: int = 5, most_holders: int = 200) -> DataFrame:
-    """(left, right): nodes of two acts that share a run of ``width`` words, names in order.
-
-    Two texts of word ratio 0.9 always share a run of five words once they have fifty; a run that more
-    than ``most_holders`` distinct texts share is boilerplate and pairs nothing by itself.
+def candidates(nodes: DataFrame, key: str, act: str, text: str = "text", floor: float = 0.9) -> DataFrame:
+    """(left, right): pairs of nodes of two acts, names in order, with all whose texts differ and have a ratio of ``floor`` or more.
+
+    Two texts of S words in all that leave at most (1 - floor) S of them unmatched share a bag of
+    (1.5 floor - 1) S - 1 word pairs at least, as each unmatched word ends one block of matches at most.
+    Neither text is shorter than floor / (2 - floor) of the other, so S is bounded by one of them, and the
+    rarest word pairs of each, up to as many as it may lack plus one, have one in common. Different texts
+    have S >= 1 / (1 - floor), so above a floor of 0.8 the bag is never empty. A word pair's repeats count as pairs of their own. No common pair is passed over; a family
+    of distinct near copies makes all its pairs, which qualify or nearly so.
     """
-
-    def runs(c: Column) -> Column:
-        n = F.size(c)
-        return F.array_distinct(F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(c, i, width)))).otherwise(F.array(F.xxhash64(c))))
-
-    held = nodes.select(key, act, F.explode(bound(words(F.col(text)), runs)).alias("run"))
-    rare = held.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_holders))
-    held = held.join(rare.select("run"), "run")
-    other = held.select(F.col(key).alias("right"), F.col(act).alias("_act"), "run")
-    pairs = held.withColumnRenamed(key, "left").join(other, "run").where((F.col("left") < F.col("right")) & (F.col(act) != F.col("_act")))
-    return pairs.select("left", "right").distinct()
+    least = floor / (2 - floor)
+    cut = nodes.select(key, act, words(F.col(text)).alias("_w")).where(F.size("_w") > 1).withColumn("_n", F.size("_w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.xxhash64(F.slice("_w", i, 2)))
+    bags = cut.select(key, act, "_n", F.explode(pairs).alias("gram")).groupBy(key, act, "_n", "gram").agg(F.count("*").cast("int").alias("k"))
+    held = bags.select(key, act, "_n", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.xxhash64("gram", i))).alias("token"))
+    counted = held.groupBy("token").agg(F.count("*").alias("f"))
+    shared = F.ceil((1.5 * floor - 1) * (1 + least) * F.col("_n") - 1 - 1e-9)
+    may_lack = F.greatest(F.col("_n") - 1 - F.greatest(shared, F.lit(1)), F.lit(0)).cast("int")
+    ranked = held.join(counted, "token").groupBy(key, act, "_n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    first = ranked.select(key, act, "_n", F.explode(F.slice("t", 1, may_lack + 1)).alias("t")).where("t.f > 1").select(key, act, "_n", "t.token")
+    other = first.select(F.col(key).alias("right"), F.col(act).alias("_act"), F.col("_n").alias("_m"), "token")
+    alike = (F.least("_n", "_m") >= least * F.greatest("_n", "_m") - 1e-9) & (F.col("left") < F.col("right")) & (F.col(act) != F.col("_act"))
+    return first.withColumnRenamed(key, "left").join(other, "token").where(alike).select("left", "right").distinct()
+
+
+def equal_pairs(nodes: DataFrame, key: str, same: str) -> DataFrame:
+    """(left, right): of nodes of equal ``same``, the first with each other and neighbours with each other.
+
+    These few rows have the same mutual best pairs as all pairs would.
+    """
+    w = Window.partitionBy(same).orderBy(key)
+    each = nodes.select(F.first(key).over(w).alias("_first"), F.lag(key).over(w).alias("_before"), F.col(key).alias("right")).where("_before IS NOT NULL")
+    return each.select("_first", "right").union(each.select("_before", "right")).distinct().toDF("left", "right")

@@ -70,17 +70,26 @@ def token_percentiles(spark, sf_dir):
 TWIN_FLOOR = 0.90
 
 
+def twins(docs, floor: float = TWIN_FLOOR):
+    """(left, right, ratio): near-identical documents of two sources, each other's best.
+
+    Equal texts of one source are pooled in the smallest id; equal texts of two sources are twins of ratio 1.
+    A null text or id has no twin.
+    """
+    docs = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").withColumn("digest", digest(comparison_text(F.col("text"))))
+    pools = docs.groupBy("digest", "source").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("v")).select("digest", "source", "v.*")
+    pairs = similarity.candidates(pools, "doc_id", "source", floor=floor)
+    near = similarity.bounds(pairs, pools, "doc_id").where((F.col("real_quick") >= floor) & (F.col("quick") >= floor)).select("left", "right")
+    c = pools.select(F.col("doc_id").alias("k"), "digest", comparison_text(F.col("text")).alias("t"))
+    sided = near.join(c.withColumnsRenamed({"k": "left", "digest": "x", "t": "a"}), "left").join(c.withColumnsRenamed({"k": "right", "digest": "y", "t": "b"}), "right")
+    scored = sided.where("x <> y").select("left", "right", similarity.word_ratio("a", "b").alias("ratio"))
+    equal = similarity.equal_pairs(pools, "doc_id", "digest").withColumn("ratio", F.lit(1.0))
+    return similarity.mutual_best(scored.unionByName(equal), floor)
+
+
 @query()
 def twin_pairs(spark, sf_dir):
-    """Near-identical documents of two sources, each other's best; equal texts are pooled first, so copies make no pairs."""
-    docs = table(spark, sf_dir, "documents").withColumn("digest", digest(comparison_text(F.col("text"))))
-    pools = docs.groupBy("digest").agg(F.min_by(F.struct("doc_id", "source", "text"), "doc_id").alias("v")).select("v.*")
-    pairs = similarity.candidates(pools, "doc_id", "source")
-    near = similarity.bounds(pairs, pools, "doc_id").where((F.col("real_quick") >= TWIN_FLOOR) & (F.col("quick") >= TWIN_FLOOR)).select("left", "right")
-    c = pools.select(F.col("doc_id").alias("k"), comparison_text(F.col("text")).alias("t"))
-    sided = near.join(c.withColumnsRenamed({"k": "left", "t": "a"}), "left").join(c.withColumnsRenamed({"k": "right", "t": "b"}), "right")
-    scored = sided.select("left", "right", similarity.word_ratio("a", "b").alias("ratio"))
-    return similarity.mutual_best(scored, TWIN_FLOOR)
+    return twins(table(spark, sf_dir, "documents"))
 
 
 def _modified_texts(spark, sf_dir):
