@@ -165,7 +165,8 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
     ``nodes`` (tid, node) tells one text of each node, ``texts`` (tid, text) holds it.
     """
     sides = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = nodes.join(sides, "node", "left_semi").groupBy("node").agg(F.min("tid").alias("tid"))
+    # as a table its size is known: below the broadcast threshold no text is shuffled to find it
+    one = staged(nodes.join(sides, "node", "left_semi").groupBy("node").agg(F.min("tid").alias("tid")))
     used = staged(texts.join(one, "tid").groupBy("node").agg(F.first("text").alias("text")))
     sided = pairs.join(used.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(used.withColumnsRenamed({"node": "b", "text": "y"}), "b")
 
