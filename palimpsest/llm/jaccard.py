@@ -185,15 +185,21 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
 
 
 #: Rounds of stars, and the hubs that a shingle's texts of one size may get in each.
-ROUNDS, HUBS = 5, 16
+ROUNDS, HUBS = 2, 16
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def can_reach(m, i, n, j, floor: float):
+    """Whether sets of ``m`` and ``n`` shingles that first meet at places ``i`` and ``j`` can be similar enough."""
+    most = F.least(m - i, n - j)
+    return (1 + floor) * most >= floor * (m + n) - 1e-9
+
+
 def starred(labelled: DataFrame, floor: float, turn: int) -> DataFrame:
-    """(a, b): under each shingle of ``labelled`` (shingle, node, n, l), texts meet a hub of their size and of another label.
+    """(a, b): under each shingle of ``labelled`` (shingle, node, n, place, l), texts meet a hub of their size and of another label.
 
     Hubs are drawn by a hash of node, round and a few bits of the shingle, so a family of copies has few
     hubs, and a text several. Rounds cut sizes into classes at other places.
@@ -201,33 +207,33 @@ def starred(labelled: DataFrame, floor: float, turn: int) -> DataFrame:
     size = F.floor(F.log(F.col("n").cast("double")) / np.log(1 / floor) + turn / ROUNDS).cast("int")
     sized = labelled.withColumn("size", size)
     drawn = F.xxhash64("node", F.lit(turn), F.pmod("shingle", F.lit(HUBS)))
-    hubs = sized.groupBy("shingle", "size").agg(F.min_by(F.struct("node", "l"), drawn).alias("hub"), F.count("*").alias("k")).where("k > 1")
-    met = sized.join(hubs, ["shingle", "size"]).where("l <> hub.l")
+    hubs = sized.groupBy("shingle", "size").agg(F.min_by(F.struct("node", "n", "place", "l"), drawn).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    enough = can_reach(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), floor)
+    met = sized.join(hubs, ["shingle", "size"]).where((F.col("l") != F.col("hub.l")) & enough)
     return ordered(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, floor: float) -> DataFrame:
     """(a, b) verified links of ``texts`` (tid, text) and ``nodes`` (tid, node) whose components are those of all pairs at ``floor`` or more.
 
-    ``proposed`` (a, b) pairs of nodes are verified with the first.
+    ``proposed`` (a, b) pairs of nodes are verified with the first round.
     """
     from .simhash import components
 
     held = staged(prefixes(texts, shingle_levels(texts, width), width, floor))
-    tried = staged(ordered(proposed).distinct())
+    labelled = held.withColumn("l", F.col("node"))
+    tried = staged(ordered(proposed).unionByName(starred(labelled, floor, 0)).distinct())
     near = staged(verified(tried, texts, nodes, width, floor))
-    for turn in range(ROUNDS):
+    for turn in range(1, ROUNDS):
         labelled = held.join(components(near).withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
         met = staged(starred(labelled, floor, turn).join(tried, ["a", "b"], "left_anti"))
         near = staged(near.unionByName(verified(met, texts, nodes, width, floor)))
         tried = tried.unionByName(met)
     rows = held.join(components(near).withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
-    mixed = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("k > 2 AND lo < hi")
+    mixed = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("k > 1 AND lo < hi")
     rows = staged(rows.join(mixed.select("shingle"), "shingle", "left_semi"))
     x, y = rows.alias("x"), rows.alias("y")
-    # what two sets can have in common, if this is the first shingle that they share
-    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    enough = (1 + floor) * most >= floor * (F.col("x.n") + F.col("y.n")) - 1e-9
+    enough = can_reach(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), floor)
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.l") != F.col("y.l")) & (F.col("x.node") < F.col("y.node")) & enough)
     # the shingles that two prefixes share, and what can follow the last of them
     shared = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(

@@ -292,7 +292,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have no shingle and are each other's copies only if equal.
 
     Texts link when the Jaccard similarity of their shingles is ``floor`` or more. Fingerprints within
-    ``radius`` propose pairs; an exact prefix filter proposes the others, see :mod:`.jaccard`.
+    ``radius`` propose pairs, each with its least neighbour; an exact prefix filter proposes the others,
+    see :mod:`.jaccard`.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("tid", F.xxhash64("text"))
 
@@ -307,7 +308,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), tids.slice(lo, hi - lo), fp, nodes], names=["doc_id", "tid", "fp", "node"])
 
     small = staged(texts.mapInArrow(run, "doc_id long, tid long, fp long, node long"))
-    near = components(staged(links(small.select("fp").distinct(), radius))).withColumnRenamed("node", "fp")
+    linked = staged(links(small.select("fp").distinct(), radius))
+    both = linked.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("fp"), F.col("a").alias("other")))
+    near = both.groupBy("fp").agg(F.min("other").alias("other")).select("fp", F.least("fp", "other").alias("label"))
     alike = small.select("fp", "node").distinct().join(near, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     firsts = alike.groupBy("label").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     proposed = alike.join(firsts, "label").select("a", F.col("node").alias("b"))
