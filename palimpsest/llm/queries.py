@@ -16,6 +16,9 @@ MODULES = {
     "op8_quality": "quality",
     "op9_media": "media",
     "op10_exact_dedup": "exact_dedup",
+    "op11_line_cleaning": "line_cleaning",
+    "op12_filter_audit": "filter_audit",
+    "op13_centroids": "centroids",
 }
 
 
