@@ -42,24 +42,18 @@ def roman_value(token: Column) -> Column:
     return F.when(numeral, total)
 
 
-def natural_key(value: Column) -> Column:
-    """array<struct<kind,number,text>>: a Roman numeral by value, else digit and other runs; numbers before text."""
-    piece = "struct<kind:int,number:bigint,text:string>"
-    runs = F.regexp_extract_all(value, F.lit(r"(\d+|[^\d]+)"), F.lit(1))
-    chunks = F.transform(
-        runs,
-        lambda r: F.when(r.rlike("^[0-9]"), F.struct(F.lit(0).alias("kind"), r.try_cast("bigint").alias("number"), F.lit("").alias("text"))).otherwise(
-            F.struct(F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("number"), r.alias("text"))
-        ),
-    )
-    roman = roman_value(value)
-    as_roman = F.array(F.struct(F.lit(0).alias("kind"), roman.cast("bigint").alias("number"), F.lit("").alias("text")))
-    return F.when(roman.isNotNull(), as_roman).otherwise(chunks).cast(f"array<{piece}>")
+def natural_text(value: Column) -> Column:
+    """A string that sorts naturally: a Roman numeral by value, else digit and other runs, numbers before text; a number goes by
+    how many digits it has, then by them."""
 
+    def number(digits: Column) -> Column:
+        bare = F.regexp_replace(digits, "^0+", "")
+        return F.concat(F.lit("0"), F.lpad(F.char_length(bare).cast("string"), 6, "0"), bare)
 
-def natural_text(value: Column, width: int = 12) -> Column:
-    """The natural key as one string that sorts alike for numbers up to ``width`` digits."""
-    return F.array_join(F.transform(natural_key(value), lambda k: F.when(k["kind"] == 0, F.concat(F.lit("0"), F.lpad(k["number"].cast("string"), width, "0"))).otherwise(F.concat(F.lit("1"), k["text"]))), "\u0001")
+    runs = F.regexp_extract_all(value, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    plain = F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(F.concat(F.lit("1"), r))), "\x02")
+    roman = roman_value(value)
+    return F.when(roman.isNotNull(), number(roman.cast("string"))).otherwise(plain)
 
 
 def contains_path(outer: Column, inner: Column) -> Column:

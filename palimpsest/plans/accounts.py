@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural_text
 from ..operators.ranking import ranked
 from .fixtures import table
 
@@ -186,8 +187,7 @@ def identifier_order(spark, sf_dir):
     """Identifiers by scheme, then by their runs of digits as numbers."""
     k = F.col("c_custkey")
     value = F.concat_ws("-", (k % 97).cast("string"), (k % 13).cast("string"))
-    runs = F.transform(F.regexp_extract_all(value, F.lit(r"(\d+)"), F.lit(1)), lambda d: F.lpad(d, 12, "0"))
-    rows = table(spark, sf_dir, "customer").select(k, F.when(k % 2 == 0, "cas").otherwise("ec").alias("scheme"), F.array_join(runs, "-").alias("key"))
+    rows = table(spark, sf_dir, "customer").select(k, F.when(k % 2 == 0, "cas").otherwise("ec").alias("scheme"), natural_text(value).alias("key"))
     return ranked(rows, ["scheme", "key", "c_custkey"], "ord").select("c_custkey", "ord")
 
 

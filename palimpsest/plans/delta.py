@@ -72,8 +72,8 @@ def comparison_normalise(spark, sf_dir):
   UNION ALL SELECT 1000000000 + c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'XIV' WHEN 1 THEN 'L' WHEN 2 THEN 'iv' WHEN 3 THEN c_name ELSE c_custkey || 'a' END FROM customer),
 c AS (SELECT key, value, regexp_extract_all(value, '(\d+|[^\d]+)') AS runs FROM v)
 SELECT key, value, CASE value WHEN 'XIV' THEN 14 ELSE 0 END AS roman,
-  CASE value WHEN 'XIV' THEN '0' || lpad('14', 12, '0')
-  ELSE array_to_string(list_transform(runs, lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN '0' || lpad((r::BIGINT)::VARCHAR, 12, '0') ELSE '1' || r END), chr(1)) END AS natural
+  CASE value WHEN 'XIV' THEN '0' || lpad('2', 6, '0') || '14'
+  ELSE array_to_string(list_transform(runs, lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN '0' || lpad(length((r::BIGINT)::VARCHAR)::VARCHAR, 6, '0') || (r::BIGINT)::VARCHAR ELSE '1' || r END), chr(2)) END AS natural
 FROM c"""
 )
 def natural_sort_keys(spark, sf_dir):

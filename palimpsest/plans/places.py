@@ -25,23 +25,31 @@ def query(sql: str | None = None):
     return add
 
 
-#: Raw locations of customers: an article or annex, a paragraph, and for some a valueless code and a point.
-_RAW_SQL = """raw AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '{AN|http://x/AN} ' || (c_custkey % 60) ELSE '{AR|http://x/AR}  ' || c_custkey || CASE WHEN c_custkey % 9 = 1 THEN '.2' ELSE '' END END
-  || '  {PA|http://x/PA} ' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN ' {ALN|http://x/ALN} PTA (bb)' ELSE '' END AS raw FROM customer),
-norm AS (SELECT id, raw, CASE id % 4 WHEN 0 THEN 'AN ' || (id % 60) ELSE 'AR ' || id || CASE WHEN id % 9 = 1 THEN '.2' ELSE '' END END AS head,
-  regexp_extract(raw, 'PA} ([0-9]+)', 1) AS pa, id % 3 = 0 AS deep FROM raw)"""
+#: Raw locations of customers, eight forms: a numbered annex, a dotted article with a path, a stray token, a chapter, annexes
+#: as a whole, points and indents, a section's text, and an unknown code.
+_RAW_SQL = """raw AS (SELECT c_custkey AS id, c_custkey % 8 AS f, c_custkey // 8 AS k, c_nationkey AS n FROM customer),
+norm AS (SELECT *, CASE f WHEN 0 THEN 'AN ' || (id % 60) WHEN 1 THEN 'AR ' || k || '.2' WHEN 3 THEN 'CHA ' || n WHEN 4 THEN 'AN' WHEN 7 THEN 'XYZ ' || k ELSE 'AR ' || k END AS head,
+  CASE f WHEN 1 THEN ' PA ' || n || ' ALN PTA (bb)' WHEN 2 THEN ' .20 PO B)' WHEN 5 THEN ' PO ' || n || ' TIRE 1' WHEN 6 THEN ' SECTION ' || n || ' TEXT' WHEN 7 THEN ' PA ' || n ELSE '' END AS tail FROM raw)"""
 
 
 def _raw(spark, sf_dir):
-    i = F.col("c_custkey")
-    article = F.concat(F.lit("{AR|http://x/AR}  "), i.cast("string"), F.when(i % 9 == 1, F.lit(".2")).otherwise(F.lit("")))
-    head = F.when(i % 4 == 0, F.concat(F.lit("{AN|http://x/AN} "), (i % 60).cast("string"))).otherwise(article)
-    deep = F.when(i % 3 == 0, F.lit(" {ALN|http://x/ALN} PTA (bb)")).otherwise(F.lit(""))
-    raw = F.concat(head, F.lit("  {PA|http://x/PA} "), F.col("c_nationkey").cast("string"), deep)
-    return table(spark, sf_dir, "customer").select(i.alias("id"), raw.alias("raw")).withColumn("parsed", locations.segments(F.col("raw")))
-
-
-@query(f"WITH {_RAW_SQL} SELECT id, head || ' PA ' || pa || CASE WHEN deep THEN ' ALN PTA (bb)' ELSE '' END AS location, CASE WHEN deep THEN 4 ELSE 2 END AS n_segments FROM norm")
+    i, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    k = F.floor(i / 8).cast("string")
+    forms = {
+        0: F.concat(F.lit("{AN|http://x/AN}  "), (i % 60).cast("string")),
+        1: F.concat(F.lit("{AR|http://x/AR} "), k, F.lit(".2   {PA|http://x/PA} "), n, F.lit(" {ALN|http://x/ALN} PTA (bb)")),
+        2: F.concat(F.lit(" AR "), k, F.lit(" .20 PO B)")),
+        3: F.concat(F.lit("CHA "), n),
+        4: F.lit("{AN|http://x/AN}"),
+        5: F.concat(F.lit("AR "), k, F.lit(" {PO|http://x/PO} "), n, F.lit(" TIRE 1")),
+        6: F.concat(F.lit("AR "), k, F.lit(" SECTION "), n, F.lit(" TEXT ")),
+        7: F.concat(F.lit("XYZ "), k, F.lit(" PA "), n),
+    }
+    raw = F.coalesce(*[F.when(i % 8 == f, form) for f, form in forms.items()])
+    return table(spark, sf_dir, "customer").select(i.alias("id"), "c_nationkey", raw.alias("raw")).withColumn("parsed", locations.segments(F.col("raw")))
+
+
+@query(f"WITH {_RAW_SQL} SELECT id, head || tail AS location, [1, 4, 3, 1, 1, 3, 3, 2][f + 1] AS n_segments FROM norm")
 def location_parse(spark, sf_dir):
     return _raw(spark, sf_dir).select("id", locations.written(F.col("parsed")).alias("location"), F.size("parsed").alias("n_segments"))
 
@@ -52,8 +60,8 @@ def unit_projection(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_RAW_SQL}, k AS (SELECT id, head LIKE 'AN%' AS annex, regexp_extract(head, '([0-9]+)', 1)::BIGINT AS a, head LIKE '%.2' AS dotted, pa::BIGINT AS p, deep FROM norm)
-SELECT id, row_number() OVER (ORDER BY annex, a, dotted, p, deep, id) AS ord FROM k"""
+    f"""WITH {_RAW_SQL} SELECT id, row_number() OVER (ORDER BY [1, 0, 0, 2, 1, 0, 0, 3][f + 1], CASE f WHEN 0 THEN id % 60 WHEN 3 THEN n WHEN 4 THEN -1 ELSE k END,
+  CASE f WHEN 6 THEN 0 WHEN 5 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 0 END, id) AS ord FROM norm"""
 )
 def location_sort_order(spark, sf_dir):
     from ..operators.ranking import ranked
@@ -63,27 +71,29 @@ def location_sort_order(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_RAW_SQL} SELECT id, CASE WHEN head LIKE 'AN%' THEN 'Annex ' ELSE 'Art. ' END || substr(head, 4) || '(' || pa || ')' || CASE WHEN deep THEN ' ALN(bb)' ELSE '' END AS human FROM norm"""
+    f"""WITH {_RAW_SQL} SELECT id, CASE f WHEN 0 THEN 'Annex ' || (id % 60) WHEN 1 THEN 'Art. ' || k || '.2(' || n || ') ALN(bb)' WHEN 2 THEN 'Art. ' || k || ' .20(B))'
+  WHEN 3 THEN 'CHA ' || n WHEN 4 THEN 'Annex' WHEN 5 THEN 'Art. ' || k || '(' || n || ')(1)' WHEN 6 THEN 'Art. ' || k || ' section ' || n || ' text' ELSE 'XYZ ' || k || '(' || n || ')' END AS human FROM norm"""
 )
 def location_human(spark, sf_dir):
     return _raw(spark, sf_dir).select("id", locations.human(F.col("parsed")).alias("human"))
 
 
 @query(
-    f"""WITH {_RAW_SQL}, n AS (SELECT id, head, try_cast(substr(head, 4) AS INT) AS v FROM norm), r AS (SELECT id, head, CASE id % 7 WHEN 3 THEN 'TI 1' WHEN 5 THEN 'RE 2' ELSE head END AS raw, v FROM n)
-SELECT id, CASE WHEN raw LIKE 'AR%' THEN split_part(raw, '.', 1) WHEN raw LIKE 'AN%' AND v BETWEEN 1 AND 50 THEN 'AN ' || ['', 'X', 'XX', 'XXX', 'XL', 'L'][v // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1]
-  WHEN raw LIKE 'AN%' THEN 'AN' END AS code, CASE WHEN raw LIKE 'TI%' THEN 'container' WHEN raw LIKE 'RE%' THEN 'recital' END AS gap FROM r"""
+    f"""WITH {_RAW_SQL}, g AS (SELECT *, CASE WHEN f IN (3, 4) THEN 'container' WHEN f = 0 AND id % 60 NOT BETWEEN 1 AND 50 THEN 'unconverted' END AS gap FROM norm)
+SELECT id, CASE WHEN gap IS NULL THEN CASE f WHEN 0 THEN 'AN ' || ['', 'X', 'XX', 'XXX', 'XL', 'L'][id % 60 // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][id % 10 + 1]
+  WHEN 1 THEN 'AR ' || k || tail ELSE head || tail END END AS code, gap FROM g"""
 )
 def unit_code_gaps(spark, sf_dir):
-    i = F.col("id")
-    raw = F.when(i % 7 == 3, F.lit("TI 1")).when(i % 7 == 5, F.lit("RE 2")).otherwise(locations.top_level(F.col("parsed")))
-    return _raw(spark, sf_dir).select("id", locations.unit_code(raw).alias("u")).select("id", "u.code", "u.gap")
+    return _raw(spark, sf_dir).select("id", locations.unit_code(F.col("raw")).alias("u")).select("id", "u.code", "u.gap")
 
 
-@query(f"WITH {_RAW_SQL} SELECT pa, arg_min(id, (head LIKE 'AN%', regexp_extract(head, '([0-9]+)', 1)::BIGINT, head LIKE '%.2', id)) AS first_id FROM norm GROUP BY 1")
+@query(
+    f"""WITH {_RAW_SQL} SELECT n AS c_nationkey, arg_min(id, ([0, 0, 0, 2, 0, 0, 0, 2][f + 1] + CASE WHEN f IN (0, 4) THEN 1 ELSE 0 END,
+  CASE f WHEN 0 THEN id % 60 WHEN 3 THEN n WHEN 4 THEN -1 ELSE k END, f = 1, id)) AS first_id FROM norm GROUP BY 1"""
+)
 def digest_location_order(spark, sf_dir):
-    rows = _raw(spark, sf_dir).select("id", F.element_at("parsed", 2)["value"].alias("pa"), locations.digest_order(F.slice("parsed", 1, 1)).alias("key"))
-    return rows.groupBy("pa").agg(F.min_by("id", F.struct("key", "id")).alias("first_id"))
+    rows = _raw(spark, sf_dir).select("id", "c_nationkey", locations.digest_order(F.slice("parsed", 1, 1)).alias("key"))
+    return rows.groupBy("c_nationkey").agg(F.min_by("id", F.struct("key", "id")).alias("first_id"))
 
 
 _DAYS_SQL = "days AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, ' %d/%m/%Y ') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') WHEN 3 THEN strftime(o_orderdate, '%Y-13-%d') END AS raw, o_orderdate::DATE AS day FROM orders)"

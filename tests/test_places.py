@@ -18,12 +18,24 @@ def test_locations(spark):
     assert one(spark, locations.human(parsed), raw="AR 5 PA 1 PTA (bb)") == "Art. 5(1)(bb)"
     assert one(spark, locations.human(parsed), raw="AN") == "Annex"
     assert one(spark, locations.top_level(parsed), raw=raw) == "AR 52"
-    assert tuple(one(spark, locations.unit_code(F.col("raw")), raw="AN 14")) == ("AN XIV", None)
-    assert tuple(one(spark, locations.unit_code(F.col("raw")), raw="AR 3.20 PO B)")) == ("AR 3", None)
-    assert tuple(one(spark, locations.unit_code(F.col("raw")), raw="CH 1")) == (None, "container")
-    rows = spark.createDataFrame([(x,) for x in ("AN I", "AR 10", "AR 9 PA 2", "AR 9", "TI 3")], "raw string")
+    shown = {"AR 3 .20 PO B)": "Art. 3 .20(B))", "AR 5 PO 2 TIRE 1": "Art. 5(2)(1)", "TIT II": "Title II", "AR": "Article", "ZZ 1 TXT": "ZZ 1 text", "AN III SCT A": "Annex III section A"}
+    for raw, want in shown.items():
+        assert one(spark, locations.human(parsed), raw=raw) == want
+    assert [tuple(s) for s in one(spark, parsed, raw="AR 3 .20 PO B)")] == [("AR", "3"), (".20", None), ("PO", "B)")]
+    codes = {
+        "AN 14": "AN XIV", "AN 4 PA 2": "AN IV PA 2", "AR 3.20 PO B)": "AR 3 PO B)", "AR 3a.1": "AR 3a", "AR 5 PA 1": "AR 5 PA 1", "AN III": "AN III", "AR": "AR",
+        "CHA III": None, "TIT II": None, "CONSID 5": None, "AN": None, "AN PA 1": None, "AN 51": None, "AN 0": None,
+    }
+    for raw, want in codes.items():
+        got = one(spark, locations.unit_code(F.col("raw")), raw=raw)
+        assert (got.code, got.gap) == (want, None if want else "unconverted" if raw in ("AN 51", "AN 0") else "container"), raw
+        if want:
+            assert one(spark, locations.unit_code(F.col("raw")), raw=want).code == want
+    order = ["AR 3", "AR 3 SECTION 1", "AR 3 PO 2", "AR 3 .20", "AR 3.1", "AR 9", "AR 9 PA 2", "AR 10", "TIT 3", "AN", "AN I", "AN IX", "AN X", "APP 1", "CHA 1", "ZZ 1"]
+    rows = spark.createDataFrame([(x,) for x in reversed(order)], "raw string")
     keyed = rows.select("raw", locations.sort_key(locations.segments(F.col("raw"))).alias("k"))
-    assert [r.raw for r in keyed.orderBy("k").collect()] == ["TI 3", "AR 9", "AR 9 PA 2", "AR 10", "AN I"]
+    assert [r.raw for r in keyed.orderBy("k").collect()] == order
+    assert one(spark, locations.preferred(F.col("raw")), raw="TEXT") == "TXT"
 
 
 def test_dates(spark):
@@ -51,3 +63,14 @@ def test_entries_continue_and_repeat(spark):
 def test_ranks_over_ranges(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     assert all(r["rank"] == r.v + 1 for r in ranked(rows, ["v"]).collect())
+
+
+def test_ranks_with_other_columns_above_the_sample(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(300_000).select((F.col("id") * 7919 % 300_000).alias("v"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("other"))
+        found = ranked(rows, ["v"]).agg(F.count_if(F.col("rank") != F.col("v") + 1).alias("wrong"), F.count("*").alias("n")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert (found.wrong, found.n) == (0, 300_000)

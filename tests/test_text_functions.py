@@ -58,6 +58,11 @@ def test_numbering_mask(spark):
         "(a) first (12) second device(s)": "(#) first (#) second device(s)",
         "articles 5x6 stay": "articles 5x6 stay",
         "Part A and points 1.2.3 to 4, 9 days": "Part # and points # to #, # days",
+        "ANNEXES I,II and iv": "ANNEXES #,# and iv",
+        "(Section 4a(b)(iv)) of title X or Y": "(Section #) of title # or #",
+        "paragraph 5/6, point 7(aaaaa) (2021) (30)": "paragraph 5/6, point #(aaaaa) (2021) (#)",
+        "Articles": "Articles",
+        "": "",
     }
     assert values(spark, list(rows), texts.numbering_masked(F.col("v"))) == list(rows.values())
 
