@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import bound, comparison_text
 
@@ -80,29 +84,117 @@ def mutual_best(scored: DataFrame, floor: float) -> DataFrame:
     return enough.withColumns({"_r": F.row_number().over(best_right), "_l": F.row_number().over(best_left)}).where("_r = 1 AND _l = 1").drop("_r", "_l")
 
 
-def candidates(nodes: DataFrame, key: str, act: str, text: str = "text", floor: float = 0.9) -> DataFrame:
-    """(left, right): pairs of nodes of two acts, names in order, with all whose texts differ and have a ratio of ``floor`` or more.
+#: Texts whose word pairs are counted to rank pairs by how rare they are, about; and the slots of that count (8 bytes each).
+SAMPLE_TEXTS = 20_000
+SKETCH_SLOTS = 1 << 20
 
-    Two texts of S words in all that leave at most (1 - floor) S of them unmatched share a bag of
-    (1.5 floor - 1) S - 1 word pairs at least, as each unmatched word ends one block of matches at most.
-    Neither text is shorter than floor / (2 - floor) of the other, so S is bounded by one of them, and the
-    rarest word pairs of each, up to as many as it may lack plus one, have one in common. Different texts
-    have S >= 1 / (1 - floor), so above a floor of 0.8 the bag is never empty. A word pair's repeats count as pairs of their own. No common pair is passed over; a family
-    of distinct near copies makes all its pairs, which qualify or nearly so.
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _B
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of each word pair of a batch of texts, and how many words each text has."""
+    cut = [(t or "").split() for t in column.to_pylist()]
+    n = np.array([len(w) for w in cut], dtype=np.int64)
+    words_ = np.array([w for one in cut for w in one], dtype=object)
+    if len(words_) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), n
+    h = pd.util.hash_array(words_)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.flatnonzero(row[1:] == row[:-1])
+    return row[inside], _mixed(h[inside] * _A + h[inside + 1]), n
+
+
+def _sketch(nodes: DataFrame, text: str) -> np.ndarray:
+    """How often word pairs occur, by slots of their hashes, in some ``SAMPLE_TEXTS`` of the texts: it orders pairs and decides nothing."""
+
+    def run(batches):
+        held = np.zeros(SKETCH_SLOTS, dtype=np.int64)
+        for batch in batches:
+            _, h, _ = _word_pairs(batch.column(0))
+            held += np.bincount((h % np.uint64(SKETCH_SLOTS)).astype(np.int64), minlength=SKETCH_SLOTS)
+        slots = np.flatnonzero(held > 1)
+        for at in range(0, len(slots), 100_000):
+            part = slots[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["slot", "n"])
+
+    total = nodes.count()
+    share = min(1.0, SAMPLE_TEXTS / max(1, total))
+    drawn = nodes.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000)).select(text)
+    counts = drawn.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SKETCH_SLOTS, dtype=np.int64)
+    out[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    return out
+
+
+def prefixes(nodes: DataFrame, keep: list[str], text: str, floor: float) -> DataFrame:
+    """(keep, n, token): the rarest word pairs of each text, as many as it may lack of a text alike and one more.
+
+    A word pair's repeats count as pairs of their own. One pass over the texts, nothing is shuffled.
+    """
+    least = floor / (2 - floor)
+    shared = nodes.sparkSession.sparkContext.broadcast(_sketch(nodes, text))
+    rows = nodes.select(*keep, F.col(text).alias("_text"))
+    kept = T.StructType([f for f in rows.schema.fields if f.name != "_text"] + [T.StructField("n", T.LongType()), T.StructField("token", T.LongType())])
+
+    def run(batches):
+        often = shared.value
+        for batch in batches:
+            row, h, n = _word_pairs(batch.column("_text"))
+            if not len(h):
+                continue
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
+            repeat = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
+            token = _mixed(h + repeat.astype(np.uint64) * _C)
+            rank = np.lexsort((token, often[(h % np.uint64(SKETCH_SLOTS)).astype(np.int64)], row))
+            row, token = row[rank], token[rank]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            common = np.maximum(np.ceil((1.5 * floor - 1) * (1 + least) * n - 1 - 1e-9), 1)
+            chosen = np.flatnonzero(place <= np.maximum(n - 1 - common, 0)[row])
+            at = pa.array(row[chosen])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(at) for c in keep], pa.array(n[row[chosen]]), pa.array(token[chosen].view(np.int64))], schema=to_arrow_schema(kept)
+            )
+
+    return rows.mapInArrow(run, kept)
+
+
+def candidates(nodes: DataFrame, key: str, side: str, text: str = "text", floor: float = 0.9, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within, left, right): pairs of nodes of two sides, in order of ``key``, with all whose texts differ and have a ratio of ``floor`` or more.
+
+    ``text`` is a comparison text; only nodes equal in ``within`` are paired. Two texts of S words in all that leave at most
+    (1 - floor) S of them unmatched share a bag of (1.5 floor - 1) S - 1 word pairs at least, as each unmatched word ends one
+    block of matches at most. Neither text is shorter than floor / (2 - floor) of the other, so S is bounded by one of them,
+    and the rarest word pairs of each, up to as many as it may lack plus one, have one in common, whatever the order is that
+    says which is rarer. Different texts have S >= 1 / (1 - floor), so above a floor of 0.8 the bag is never empty. No common
+    pair is passed over; a family of distinct near copies makes all its pairs, which qualify or nearly so.
     """
+    if floor <= 0.8:
+        raise ValueError("the bound needs a floor above 0.8")
     least = floor / (2 - floor)
-    cut = nodes.select(key, act, words(F.col(text)).alias("_w")).where(F.size("_w") > 1).withColumn("_n", F.size("_w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.xxhash64(F.slice("_w", i, 2)))
-    bags = cut.select(key, act, "_n", F.explode(pairs).alias("gram")).groupBy(key, act, "_n", "gram").agg(F.count("*").cast("int").alias("k"))
-    held = bags.select(key, act, "_n", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.xxhash64("gram", i))).alias("token"))
-    counted = held.groupBy("token").agg(F.count("*").alias("f"))
-    shared = F.ceil((1.5 * floor - 1) * (1 + least) * F.col("_n") - 1 - 1e-9)
-    may_lack = F.greatest(F.col("_n") - 1 - F.greatest(shared, F.lit(1)), F.lit(0)).cast("int")
-    ranked = held.join(counted, "token").groupBy(key, act, "_n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
-    first = ranked.select(key, act, "_n", F.explode(F.slice("t", 1, may_lack + 1)).alias("t")).where("t.f > 1").select(key, act, "_n", "t.token")
-    other = first.select(F.col(key).alias("right"), F.col(act).alias("_act"), F.col("_n").alias("_m"), "token")
-    alike = (F.least("_n", "_m") >= least * F.greatest("_n", "_m") - 1e-9) & (F.col("left") < F.col("right")) & (F.col(act) != F.col("_act"))
-    return first.withColumnRenamed(key, "left").join(other, "token").where(alike).select("left", "right").distinct()
+    first = prefixes(nodes, [key, side, *within], text, floor)
+    other = first.select(F.col(key).alias("right"), F.col(side).alias("_side"), F.col("n").alias("_m"), "token", *within)
+    alike = (F.least("n", "_m") >= least * F.greatest("n", "_m") - 1e-9) & (F.col("left") < F.col("right")) & (F.col(side) != F.col("_side"))
+    return first.withColumnRenamed(key, "left").join(other, ["token", *within]).where(alike).select(*within, "left", "right").distinct()
+
+
+def bounded_ratio(left: str, right: str, floor: float) -> Column:
+    """The ratio of two text columns over words; null where an upper bound is below ``floor``."""
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            found = difflib.SequenceMatcher(None, x.split(), y.split(), autojunk=False)
+            out.append(found.ratio() if found.real_quick_ratio() >= floor and found.quick_ratio() >= floor else None)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(ratios, "double")(left, right)
 
 
 def equal_pairs(nodes: DataFrame, key: str, same: str) -> DataFrame:

@@ -73,7 +73,7 @@ def comparison_normalise(spark, sf_dir):
 c AS (SELECT key, value, regexp_extract_all(value, '(\d+|[^\d]+)') AS runs FROM v)
 SELECT key, value, CASE value WHEN 'XIV' THEN 14 ELSE 0 END AS roman,
   CASE value WHEN 'XIV' THEN '0' || lpad('2', 6, '0') || '14'
-  ELSE array_to_string(list_transform(runs, lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN '0' || lpad(length((r::BIGINT)::VARCHAR)::VARCHAR, 6, '0') || (r::BIGINT)::VARCHAR ELSE '1' || r END), chr(2)) END AS natural
+  ELSE array_to_string(list_transform(runs, lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN '0' || lpad(length(ltrim(r, '0'))::VARCHAR, 6, '0') || ltrim(r, '0') ELSE '1' || r END), chr(2)) END AS natural
 FROM c"""
 )
 def natural_sort_keys(spark, sf_dir):

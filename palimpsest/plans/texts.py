@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import comparison_text, digest
 from ..operators import similarity, texts, versions
+from ..operators.stages import staged
 from ..sources.markup import comparison_of_markup
 from . import fixtures
 from .fixtures import table
@@ -77,12 +78,12 @@ def twins(docs, floor: float = TWIN_FLOOR):
     A null text or id has no twin.
     """
     docs = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").withColumn("digest", digest(comparison_text(F.col("text"))))
-    pools = docs.groupBy("digest", "source").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("v")).select("digest", "source", "v.*")
-    pairs = similarity.candidates(pools, "doc_id", "source", floor=floor)
-    near = similarity.bounds(pairs, pools, "doc_id").where((F.col("real_quick") >= floor) & (F.col("quick") >= floor)).select("left", "right")
-    c = pools.select(F.col("doc_id").alias("k"), "digest", comparison_text(F.col("text")).alias("t"))
-    sided = near.join(c.withColumnsRenamed({"k": "left", "digest": "x", "t": "a"}), "left").join(c.withColumnsRenamed({"k": "right", "digest": "y", "t": "b"}), "right")
-    scored = sided.where("x <> y").select("left", "right", similarity.word_ratio("a", "b").alias("ratio"))
+    pools = docs.groupBy("digest", "source").agg(F.min("doc_id").alias("doc_id"))
+    pools = staged(docs.join(pools, ["digest", "source", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "source", "digest", comparison_text(F.col("text")).alias("t")))
+    near = similarity.candidates(pools, "doc_id", "source", "t", floor)
+    sided = near.join(pools.select(F.col("doc_id").alias("left"), F.col("digest").alias("x"), F.col("t").alias("a")), "left")
+    sided = sided.join(pools.select(F.col("doc_id").alias("right"), F.col("digest").alias("y"), F.col("t").alias("b")), "right").where("x <> y")
+    scored = sided.select("left", "right", similarity.bounded_ratio("a", "b", floor).alias("ratio")).where("ratio IS NOT NULL")
     equal = similarity.equal_pairs(pools, "doc_id", "digest").withColumn("ratio", F.lit(1.0))
     return similarity.mutual_best(scored.unionByName(equal), floor)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import accounts, delta, matching, places, record, tables, texts, upkeep, watch
+from .plans import accounts, delta, matching, places, record, tables, texts, twins, upkeep, watch
 
-MODULES = (delta, record, matching, watch, texts, upkeep, places, tables, accounts)
+MODULES = (delta, record, matching, watch, texts, upkeep, places, tables, accounts, twins)
 
 
 def queries() -> dict:
