@@ -34,6 +34,27 @@ def grouped(rows: DataFrame, table: list[str], key: str, order: list[str], cells
     return held.withColumn("occurrence", occurrence).withColumn("rows", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in cells]))).drop("_entry")
 
 
+def of_lines(lines: DataFrame, table: list[str], key_col: int = 1) -> DataFrame:
+    """(table, key, occurrence, rows) of the lines of grids (table, row, header, cells, marks), told by the key's column.
+
+    Header lines, repeats of one and blank lines are left out. A line whose key is a copy from further up continues the entry
+    before it, any other begins one; a key that isn't the line's own is null. ``rows`` holds cells as they are, null where a line has
+    none of its own. Keys are compared in comparison form; the k-th entry of a key has occurrence k.
+    """
+    flat = F.transform("cells", comparison_text)
+    shown = lines.withColumn("_line", F.to_json(flat))
+    body = body_rows(shown, table, "_line", F.col("header"), F.forall("cells", lambda c: comparison_text(c) == ""))
+    at = F.col("marks")[key_col - 1]
+    w = Window.partitionBy(*table).orderBy("row")
+    begins = ((at != "R") | (F.row_number().over(w) == 1)).cast("int")
+    numbered = body.withColumn("_begins", begins).withColumn("_entry", F.sum("_begins").over(w))
+    own = F.transform(F.arrays_zip("cells", "marks"), lambda c: F.when(c["marks"] == "", c["cells"]))
+    row = F.struct("row", own.alias("cells"), F.when(at == "", comparison_text(F.col("cells")[key_col - 1])).alias("key"))
+    held = numbered.groupBy(*table, "_entry").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    keyed = held.select(*table, "_entry", F.col("r")[0]["key"].alias("key"), F.transform("r", lambda x: x["cells"]).alias("rows"))
+    return keyed.withColumn("occurrence", F.row_number().over(Window.partitionBy(*table, "key").orderBy("_entry"))).drop("_entry")
+
+
 def difference(old: DataFrame, new: DataFrame, table: list[str], key: str, value: str) -> DataFrame:
     """(table, key, occurrence, change, typography_only) of keyed entries (table, key, occurrence, value).
 

@@ -287,7 +287,7 @@ def tree(docs: DataFrame, by: list[str], data: str = "data") -> dict[str, DataFr
     keys = [*by, "unit"]
     placed_schema = T.StructType([fold.schema[c] for c in keys] + [T.StructField("pos", T.IntegerType()), T.StructField("location", T.StringType()), T.StructField("parent", T.StringType())])
 
-    def places(key, rows_: pd.DataFrame) -> pd.DataFrame:
+    def places(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
         out = _placed(rows_).rename(columns={"above": "parent"})
         for name, value in reversed(list(zip(keys, key))):
             out.insert(0, name, value)
@@ -309,7 +309,7 @@ def tree(docs: DataFrame, by: list[str], data: str = "data") -> dict[str, DataFr
 
 
 def _number(raw: str | None, least: int) -> int:
-    return max(least, int(raw)) if raw is not None and raw.strip().isdigit() else least
+    return max(least, int(raw)) if isinstance(raw, str) and raw.strip().isdigit() else least
 
 
 def _grid(cells: pd.DataFrame, columns: int) -> list[tuple]:
@@ -319,26 +319,29 @@ def _grid(cells: pd.DataFrame, columns: int) -> list[tuple]:
     several rows shows its text in each, at its first column; a later one at the same column takes its place for good.
     """
     spans: dict[int, tuple[int, str]] = {}  # column -> the last row that it reaches, its text
+    rows: dict[int, list] = {}
+    for row, *cell in sorted(zip(*(cells[c].tolist() for c in ("row", "cell", "col", "across", "down", "text"))), key=lambda r: r[:2]):
+        rows.setdefault(int(row), []).append(cell)
     lines, width = [], columns
-    for row, own in cells.groupby("row", sort=True):
+    for row, own in rows.items():
         line = {c: (text, "R") for c, (last, text) in spans.items() if last >= row}
         free = 1
-        for r in own.sort_values("cell").itertuples():
-            if not isinstance(r.text, str):
+        for _, col, over, under, text in own:
+            if not isinstance(text, str):
                 continue  # a row without a cell
-            at = _number(r.col, 0)
+            at = _number(col, 0)
             while at == 0:
                 at = 0 if free in line else free
                 free += at == 0
-            across, down = _number(r.across, 1), _number(r.down, 1)
-            line |= {at: (r.text, "")} | {at + k: ("", "C") for k in range(1, across)}
+            across, down = _number(over, 1), _number(under, 1)
+            line |= {at: (text, "")} | {at + k: ("", "C") for k in range(1, across)}
             if down > 1:
-                spans |= {at + k: (row + down - 1, r.text if k == 0 else "") for k in range(across)}
+                spans |= {at + k: (row + down - 1, text if k == 0 else "") for k in range(across)}
             free = at + across
         lines.append((row, line))
         width = max([width, *line])
     nothing = ("", "-")
-    return [(int(row), *map(list, zip(*[line.get(c, nothing) for c in range(1, width + 1)]))) if width else (int(row), [], []) for row, line in lines]
+    return [(row, *map(list, zip(*[line.get(c, nothing) for c in range(1, width + 1)]))) if width else (row, [], []) for row, line in lines]
 
 
 def tables(made: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -373,7 +376,7 @@ def tables(made: dict[str, DataFrame], by: list[str]) -> DataFrame:
     extra = [("row", T.IntegerType()), ("cells", T.ArrayType(T.StringType())), ("marks", T.ArrayType(T.StringType()))]
     schema = T.StructType([full.schema[c] for c in keys] + [T.StructField(n, t) for n, t in extra])
 
-    def lines(key, part: pd.DataFrame) -> pd.DataFrame:
+    def lines(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(_grid(part.assign(row=part["line"]), _number(part["cols"].iloc[0], 0)), columns=["row", "cells", "marks"])
         for name, value in reversed(list(zip(keys, key))):
             out.insert(0, name, value)
