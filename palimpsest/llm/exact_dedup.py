@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,6 +162,20 @@ def _hit(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (bitmap[(q >> np.uint64(6)).astype(np.int64)] >> (q & np.uint64(63))) & np.uint64(1) == 1
 
 
+def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of ``keys`` (fp), rows that surely have none), by the bitmap of the keys' quotients.
+
+    ``key`` is a hash, spread evenly over 64 bits. Only the first rows need a join with what the keys stand for.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(quotient_bitmap(keys))
+
+    def may(column: pd.Series) -> pd.Series:
+        return pd.Series(_hit(shared.value, column.to_numpy().view(np.uint64)))
+
+    known = F.pandas_udf(may, "boolean")(key)
+    return rows.where(known), rows.where(~known)
+
+
 def suspect_texts(texts: DataFrame, suspects: DataFrame) -> DataFrame:
     """(fp, text_sha256, normal, n) of the texts with a suspect fingerprint; equal ones of a batch are one row."""
     shared = texts.sparkSession.sparkContext.broadcast(quotient_bitmap(suspects))
@@ -234,13 +249,14 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with every column of ``docs``.
 
-    The choice is made on narrow rows; texts move once to be verified, if suspect, and whole rows once
-    to leave by an anti-join. Rows are told apart by id, digest and length, so the input may come in
-    another order each time it is read.
+    The choice is made on narrow rows; texts move once to be verified, if suspect. Of whole rows only those move that have the
+    id of one that goes (told by a bitmap), to leave by an anti-join. Rows are told apart by id, digest and length, so the
+    input may come in another order each time it is read.
     """
     small, groups = verified_groups(texts_of(docs, id_col, text_col))
     held = small.join(groups, "text_sha256").select("doc_id", "text_sha256", "n_cp", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))).alias("first"))
     told = staged(held.groupBy("doc_id", "text_sha256", "n_cp", "first").agg(F.count("*").alias("rows")))
+    docs, others = split_by_keys(docs, F.xxhash64(docs[id_col].cast("long")), told.where("NOT first OR rows > 1").select(F.xxhash64("doc_id").alias("fp")))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
     def with_key(rows: DataFrame, how: str) -> DataFrame:
@@ -251,10 +267,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mark = "_" * (1 + max(len(c) for c in docs.columns))  # no column has such a name
     repeated = told.where("first AND rows > 1")
     if repeated.isEmpty():
-        return with_key(told.where("NOT first"), "left_anti")
+        return with_key(told.where("NOT first"), "left_anti").unionByName(others)
     # rows alike in id and text: one of each, whichever comes first
     one = with_key(repeated, "inner").groupBy(*[f"{c}{mark}" for c in ("doc_id", "text_sha256", "n_cp")]).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias(f"row{mark}"))
-    return with_key(told.where("NOT first OR rows > 1"), "left_anti").unionByName(one.select(f"row{mark}.*"))
+    return with_key(told.where("NOT first OR rows > 1"), "left_anti").unionByName(one.select(f"row{mark}.*")).unionByName(others)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

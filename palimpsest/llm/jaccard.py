@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import staged, text_blocks
+from .exact_dedup import split_by_keys
 
 SLOTS = 1 << 24
 #: Slots of one row of a partition's table.
@@ -165,9 +166,9 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
     ``nodes`` (tid, node) tells one text of each node, ``texts`` (tid, text) holds it.
     """
     sides = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # as a table its size is known: below the broadcast threshold no text is shuffled to find it
     one = staged(nodes.join(sides, "node", "left_semi").groupBy("node").agg(F.min("tid").alias("tid")))
-    used = staged(texts.join(one, "tid").groupBy("node").agg(F.first("text").alias("text")))
+    named, _ = split_by_keys(texts, F.col("tid"), one.select(F.col("tid").alias("fp")))  # texts that no pair names stay where they are
+    used = staged(named.join(one, "tid").groupBy("node").agg(F.first("text").alias("text")))
     sided = pairs.join(used.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(used.withColumnsRenamed({"node": "b", "text": "y"}), "b")
 
     def run(batches):
@@ -185,7 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
 
 
 #: Rounds of stars, and the hubs that a shingle's texts of one size may get in each.
-ROUNDS, HUBS = 2, 16
+ROUNDS, HUBS = 3, 16
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard
 from ._common import staged, table, text_blocks, texts_of
+from .exact_dedup import split_by_keys
 
 SEED = 42
 #: Fingerprints that a shard should have, and in one shard before it is cut on.
@@ -321,8 +322,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = staged(labelled.join(least, "label").where("place <> least").select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).distinct())
     mark = "_" * (1 + max(len(c) for c in docs.columns))  # no column has such a name
     drop = drop.withColumnsRenamed({"_id": f"_id{mark}", "_tid": f"_tid{mark}"})
+    # only rows whose text may be one that goes move to meet the list of those
+    docs, others = split_by_keys(docs, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))), drop.select(F.col(f"_tid{mark}").alias("fp")))
     same_text = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == drop[f"_tid{mark}"]
-    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(drop[f"_id{mark}"]) & same_text, "left_anti")
+    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(drop[f"_id{mark}"]) & same_text, "left_anti").unionByName(others)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
