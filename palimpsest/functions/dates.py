@@ -6,14 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def decoded(raw: Column) -> Column:
-    """A date written ISO, with slashes (day first) or compact; null if unreadable."""
+def _built(digits: Column) -> Column:
+    return F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date")
+
+
+def iso(raw: Column) -> Column:
+    """A date written ``2026-07-27`` or ``2007/11/23``; null if unreadable."""
+    t = F.trim(raw)
+    return F.when(F.replace(t, F.lit("/"), F.lit("-")).rlike(r"^\d{4}-\d{2}-\d{2}$"), _built(F.regexp_replace(t, "[-/]", "")))
+
+
+def compact(raw: Column) -> Column:
+    """A date written ``20271202``, as attributes of the markup have it; null if unreadable."""
     t = F.trim(raw)
-    return (
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date"))
-        .when(t.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.concat_ws("-", F.substring(t, 7, 4), F.substring(t, 4, 2), F.substring(t, 1, 2)).try_cast("date"))
-        .when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)).try_cast("date"))
-    )
+    return F.when(t.rlike(r"^\d{8}$"), _built(t))
 
 
 def mentions(text: Column) -> Column:

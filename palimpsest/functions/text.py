@@ -80,5 +80,10 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(1.0)).otherwise(numerator / F.nullif(denominator, F.lit(0)))
 
 
+def rounded(share: Column) -> Column:
+    """A share as published: three places, halves to even."""
+    return F.bround(share, 3)
+
+
 def f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall == 0, F.lit(0.0)).otherwise(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)))

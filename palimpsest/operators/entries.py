@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparison_text, hyphens
 
-#: Accented letters of the texts' alphabets, and what they are without their marks.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def folded(text: Column) -> Column:
+    """A cell in compatibility form without combining marks, dashes alike, and without white space; only labels an amendment."""
+
+    def plain(cells: pd.Series) -> pd.Series:
+        def one(cell):
+            if cell is None:
+                return None
+            return "".join(c for c in unicodedata.normalize("NFKD", cell) if not c.isspace() and not unicodedata.combining(c))
 
+        return cells.map(one, na_action="ignore")
 
-def folded(text: Column) -> Column:
-    """A cell without accents, dashes alike, and without white space; only labels an amendment."""
-    return F.regexp_replace(F.translate(hyphens(comparison_text(text)), ACCENTED, PLAIN), " ", "")
+    return F.pandas_udf(plain, "string")(hyphens(comparison_text(text)))
 
 
 def body_rows(rows: DataFrame, table: list[str], line: str, header: Column, blank: Column) -> DataFrame:
@@ -70,11 +77,13 @@ def difference(old: DataFrame, new: DataFrame, table: list[str], key: str, value
     both = side(old, "old").join(side(new, "new"), [*group, "occurrence"], "full")
     n_old, n_new = (F.max(f"n_{s}").over(Window.partitionBy(*group)) for s in ("old", "new"))
     both = both.withColumn("k_old", n_old).withColumn("k_new", n_new)
-    same, spaced, alike = (f(F.col("old")) == f(F.col("new")) for f in (lambda c: c, comparison_text, folded))
+    same, spaced = (f(F.col("old")) == f(F.col("new")) for f in (lambda c: c, comparison_text))
     change = (
         F.when(F.col("k_new").isNull(), F.lit("removed")).when(F.col("k_old").isNull(), F.lit("added")).when(F.col("k_old") != F.col("k_new"), F.lit("unpaired"))
         .when(same, F.lit("unchanged")).when(spaced, F.lit("whitespace")).otherwise(F.lit("amended"))
     )
-    told = both.withColumn("change", change).withColumn("typography_only", F.coalesce((F.col("change") == "amended") & alike, F.lit(False)))
+    told = both.withColumn("change", change)
+    amended = {side: folded(F.when(F.col("change") == "amended", F.col(side))) for side in ("old", "new")}  # other cells aren't folded
+    told = told.withColumn("typography_only", F.coalesce(amended["old"] == amended["new"], F.lit(False)))
     told = told.where("change <> 'unpaired' OR occurrence = 1")
     return told.select(*group, F.when(F.col("change") == "unpaired", 0).otherwise(F.col("occurrence")).cast("int").alias("occurrence"), "change", "typography_only")

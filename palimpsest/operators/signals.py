@@ -43,6 +43,13 @@ def disputed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"disputed": presence | kinds, "reason": reason})
 
 
+def explainable(change: Column, old: Column, new: Column, limit: int) -> Column:
+    """Whether a change can be explained: it has a text, and if it was amended, what is shown of both sides (``limit`` characters) differs."""
+    textless = old.isNull() & new.isNull()
+    alike = (change == "modified") & (F.substring(old, 1, limit) == F.substring(new, 1, limit))
+    return ~textless & ~F.coalesce(alike, F.lit(False))
+
+
 def agreement(rows: DataFrame, *by: str) -> DataFrame:
     """Of observed units: shared, precision, recall, F1 and kind mismatches; an empty side counts as 1."""
     left, right = F.col("diff_status") == "observed", F.col("claim_status") == "observed"

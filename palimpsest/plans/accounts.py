@@ -129,11 +129,6 @@ def event_predicates(spark, sf_dir):
     )
 
 
-@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) IN ('http', 'https') AS readable FROM pages")
-def feed_readable(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).isin("http", "https").alias("readable"))
-
-
 @query("SELECT c_custkey, min(o_orderkey) AS version FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate = TIMESTAMP '1998-10-03' AND o_orderpriority = '5-LOW' GROUP BY 1")
 def version_selector(spark, sf_dir):
     """The version of a date and form that each act has, if any."""

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, locations
-from ..functions.identifiers import cas_valid
-from ..functions.text import comparison_text, digest
+from ..functions import dates, identifiers, keys, locations, references
+from ..functions.text import comparison_text, digest, rounded
 from ..operators import entries
 from .fixtures import table
 
@@ -96,14 +95,16 @@ def digest_location_order(spark, sf_dir):
     return rows.groupBy("c_nationkey").agg(F.min_by("id", F.struct("key", "id")).alias("first_id"))
 
 
-_DAYS_SQL = "days AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, ' %d/%m/%Y ') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') WHEN 3 THEN strftime(o_orderdate, '%Y-13-%d') END AS raw, o_orderdate::DATE AS day FROM orders)"
+_DAYS_SQL = "days AS (SELECT o_orderkey, o_orderkey % 6 AS f, o_orderdate::DATE AS day FROM orders)"
 
 
-@query(f"WITH {_DAYS_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN day END AS day FROM days")
+@query(f"WITH {_DAYS_SQL} SELECT o_orderkey, CASE WHEN f IN (0, 1) THEN day END AS iso, CASE WHEN f = 2 THEN day END AS compact FROM days")
 def date_decoders(spark, sf_dir):
-    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
-    raw = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, " dd/MM/yyyy ")).when(k == 2, F.date_format(d, "yyyyMMdd")).when(k == 3, F.date_format(d, "yyyy-'13'-dd"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.decoded(raw).alias("day"))
+    """Dates as notices and as attributes write them; other spellings and days that don't exist are unreadable."""
+    k, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    spelt = {0: "yyyy-MM-dd", 1: " yyyy/MM/dd ", 2: "yyyyMMdd", 3: "yyyy-'13'-dd", 4: "dd/MM/yyyy"}
+    raw = F.coalesce(*[F.when(k == f, F.date_format(d, p)) for f, p in spelt.items()])
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.iso(raw).alias("iso"), dates.compact(raw).alias("compact"))
 
 
 _DATED_SQL = """dated AS (SELECT doc_id, text || ' applies from ' || strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y-%m-%d') || CASE WHEN doc_id % 4 = 0 THEN ', not 2024-99-01.' ELSE '.' END AS t FROM documents)"""
@@ -158,9 +159,11 @@ def poll_window_start(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("starts"))
 
 
-@query(rf"SELECT doc_id, sha256(regexp_replace(strip_accents(translate({_C.format(t='text')}, '‐‑‒–−', '-----')), ' ', '', 'g')) AS plain FROM documents")
+@query(rf"SELECT doc_id, sha256(regexp_replace(strip_accents(translate({_C.format(t='text')}, '‐‑‒–−', '-----')), ' ', '', 'g') || 'm2-fi-oc') AS plain FROM documents")
 def typography_fold(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", digest(entries.folded(F.col("text"))).alias("plain"))
+    """Texts and a few letters beyond Latin-1, folded."""
+    marked = F.concat("text", F.lit(" m² − ﬁ‑ő č"))
+    return table(spark, sf_dir, "documents").select("doc_id", digest(entries.folded(marked)).alias("plain"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(p_brand || ': ' || p_name || ' of ' || p_type || ' ' || p_name, split_part(p_name, ' ', 1), ''), split_part(p_name, ' ', 2), '') AS rest FROM part")
@@ -177,70 +180,146 @@ def residual_text(spark, sf_dir):
 
 
 @query(
-    r"""WITH p AS (SELECT o_orderkey, 'See Article ' || o_custkey || '(' || (o_orderkey % 9) || ') and Article ' || (o_custkey % 50) || CASE WHEN o_orderkey % 2 = 0 THEN ', and Annex IV.' ELSE '.' END AS s, o_custkey AS unit FROM orders),
-m AS (SELECT o_orderkey, unit, regexp_extract_all(s, 'Article (\d+)', 1) AS arts, regexp_extract_all(s, 'Annex ([IVXLC]+)', 1) AS anns FROM p)
-SELECT o_orderkey, len(arts)::INT + len(anns)::INT AS n_mentioned, (len(list_filter(arts, lambda a: a <> unit::VARCHAR)) + len(anns))::INT AS n_unsupported FROM m"""
+    r"""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS f, o_custkey % 100 + 1 AS n, o_orderkey % 9 + 1 AS p FROM orders), u AS (SELECT *, CASE f WHEN 5 THEN 'AN IV' ELSE 'AR ' || n || ' PA 1' END AS unit, 'AR ' || n || ' PA ' AS own FROM o)
+SELECT o_orderkey, unit, CASE f WHEN 0 THEN own || p WHEN 1 THEN list_aggregate(list_sort(list_distinct([own || p, own || p || 'a', own || '12 PTA (e)'])), 'string_agg', ';') WHEN 2 THEN own || p || ' PTA (a)' WHEN 4 THEN own || '9' ELSE '' END AS named FROM u"""
 )
 def coordinate_mentions(spark, sf_dir):
-    """Articles and annexes that a sentence names, and those that its unit doesn't support."""
-    i = F.col("o_orderkey")
-    sentence = F.concat(F.lit("See Article "), F.col("o_custkey").cast("string"), F.lit("("), (i % 9).cast("string"), F.lit(") and Article "), (F.col("o_custkey") % 50).cast("string"), F.when(i % 2 == 0, F.lit(", and Annex IV.")).otherwise(F.lit(".")))
+    """Paragraphs and points of its own article that a sentence names; those of other acts and articles don't count."""
+    i, n, p = F.col("o_orderkey"), (F.col("o_custkey") % 100 + 1).cast("string"), (F.col("o_orderkey") % 9 + 1).cast("string")
+    said = {
+        0: F.concat(F.lit("It amends paragraph "), p, F.lit(" only.")),
+        1: F.concat(F.lit("Paragraphs "), p, F.lit(", "), p, F.lit("A and 12(e) change, paragraph 3 of Article 10 does not.")),
+        2: F.concat(F.lit("See article "), n, F.lit(" ("), p, F.lit(")(a), Article "), n, F.lit("(7) of Directive 1 and Article "), F.concat(n, F.lit("1(2)."))),
+        3: F.lit("Paragraph X and Article 5000(1) are none."),
+        4: F.lit("The point in paragraph 9(1) is unclear."),
+        5: F.concat(F.lit("paragraph "), p),
+    }
+    sentence = F.coalesce(*[F.when(i % 6 == f, s) for f, s in said.items()])
+    unit = F.when(i % 6 == 5, F.lit("AN IV")).otherwise(F.concat(F.lit("AR "), n, F.lit(" PA 1")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", sentence.alias("s"), unit.alias("unit"))
+    return rows.select("o_orderkey", "unit", F.array_join(references.coordinates(F.col("s"), F.col("unit")), ";").alias("named"))
 
-    def read(code, pattern):
-        return F.transform(F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1)), lambda v: F.concat_ws(" ", F.lit(code), v))
 
-    named = F.concat(read("AR", r"Article (\d+)"), read("AN", "Annex ([IVXLC]+)"))
-    unit = F.concat_ws(" ", F.lit("AR"), "o_custkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", named.alias("m"), unit.alias("u")).select("o_orderkey", F.size("m").alias("n_mentioned"), F.size(F.filter("m", lambda m: m != F.col("u"))).alias("n_unsupported"))
+@query(
+    r"""WITH p AS (SELECT p_partkey AS id, p_partkey % 8 AS f, p_partkey // 8 % 40 + 1 AS k, p_size AS z FROM part)
+SELECT id, CASE f WHEN 0 THEN 'AR ' || k || ' PA ' || z || ' PTA (g)' WHEN 1 THEN 'AN IX SCT 5.1 PTA (h)' WHEN 2 THEN 'AR 5 PA ' || k || ' ALN 1' WHEN 3 THEN 'AR 5 PO ' || k WHEN 4 THEN 'AN XIV PRT C SCT 6.6.2' WHEN 5 THEN 'AR ' || k || 'a TIT' WHEN 6 THEN 'AR 5' WHEN 7 THEN 'AR 5 PA 2 TIRE 3' END AS location FROM p"""
+)
+def reference_grammar(spark, sf_dir):
+    """Clauses of amending acts, read inside Article 5."""
+    i, k, z = F.col("p_partkey"), (F.floor(F.col("p_partkey") / 8) % 40 + 1).cast("string"), F.col("p_size").cast("string")
+    said = {
+        0: F.concat(F.lit("in Article "), k, F.lit("("), z, F.lit("), point (g) is replaced")),
+        1: F.lit("in point (h) of Section 5.1 of Annex IX, the words are deleted"),
+        2: F.concat(F.lit("in paragraph "), k, F.lit(", the first subparagraph is replaced")),
+        3: F.concat(F.lit("points "), k, F.lit(" and 99 are deleted")),
+        4: F.lit("in the introductory part of Part C, section 6.6.2. of annex xiv"),
+        5: F.concat(F.lit("in Article "), k, F.lit("A the heading is replaced")),
+        6: F.lit("the date 26 May 2020 is replaced by 26 May 2021"),
+        7: F.lit("The second paragraph, the third indent, is deleted"),
+    }
+    clause = F.coalesce(*[F.when(i % 8 == f, s) for f, s in said.items()])
+    rows = table(spark, sf_dir, "part").select(i.alias("id"), clause.alias("clause"))
+    return rows.select("id", locations.written(references.resolved(F.col("clause"), locations.segments(F.lit("AR 5")))).alias("location"))
 
 
 @query(
-    r"""WITH s AS (SELECT p_partkey, 'x ' || (50 + p_partkey % 900) || '-' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || '-' || (p_partkey % 10) || '; 50-00-0, 50-00-0 ' || p_size AS t FROM part),
-m AS (SELECT p_partkey, list_distinct(regexp_extract_all(t, '\d{2,7}-\d{2}-\d')) AS ids FROM s), e AS (SELECT p_partkey, unnest(ids) AS id FROM m),
-c AS (SELECT p_partkey, id, regexp_replace(id, '-', '', 'g') AS d FROM e),
-v AS (SELECT p_partkey, id, list_sum(list_transform(range(1, length(d)), lambda i: i * substr(d, length(d) - i, 1)::INT)) % 10 = right(d, 1)::INT AS ok FROM c)
-SELECT p_partkey, count(*) FILTER (ok) AS n_read, count(*) FILTER (NOT ok) AS n_failed FROM v GROUP BY 1"""
+    r"""WITH s AS (SELECT p_partkey, lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || '-' || (p_partkey % 10) AS cas, (200 + p_partkey % 800) || '-' || lpad((p_partkey // 7 % 1000)::VARCHAR, 3, '0') || '-' || (p_partkey % 11 % 10) AS ec,
+  lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((p_partkey // 3 % 1000)::VARCHAR, 3, '0') || '-00-' || CASE WHEN p_partkey % 11 = 10 THEN 'X' ELSE (p_partkey % 11)::VARCHAR END AS idx FROM part),
+d AS (SELECT *, ltrim(split_part(cas, '-', 1), '0') AS c1, replace(left(cas, length(cas) - 2), '-', '') AS cb, replace(left(ec, 7), '-', '') AS eb, replace(left(idx, 10), '-', '') AS ib FROM s),
+v AS (SELECT *, length(c1) >= 2 AND list_sum(list_transform(range(1, length(cb) + 1), lambda i: i * substr(cb, length(cb) - i + 1, 1)::INT)) % 10 = right(cas, 1)::INT AS cok,
+  list_sum(list_transform(range(1, 7), lambda i: i * substr(eb, i, 1)::INT)) % 11 AS er, list_sum(list_transform(range(1, 9), lambda i: i * substr(ib, i, 1)::INT)) % 11 AS ir FROM d),
+w AS (SELECT *, CASE er WHEN 10 THEN 1 ELSE er END = right(ec, 1)::INT AS eok, CASE ir WHEN 10 THEN 'X' ELSE ir::VARCHAR END = right(idx, 1) AS iok FROM v)
+SELECT p_partkey, concat_ws(',', CASE WHEN cok THEN 'cas:' || c1 || '-' || split_part(cas, '-', 2) || '-' || right(cas, 1) END, CASE WHEN NOT (cok AND c1 || substr(cas, 4) = '50-00-0') THEN 'cas:50-00-0' END, CASE WHEN eok THEN 'ec:' || ec END, CASE WHEN iok THEN 'index:' || idx END) AS found,
+  ((NOT cok)::INT + (NOT eok)::INT + (NOT iok)::INT)::INT AS failed FROM w"""
 )
 def identifier_extraction(spark, sf_dir):
-    """Registry numbers of a text, repeats once, and how many fail their check digit."""
+    """Numbers of three schemes in a cell, each once in its canonical form, and how many fail their check."""
     k = F.col("p_partkey")
-    number = F.concat_ws("-", (50 + k % 900).cast("string"), F.lpad((k % 100).cast("string"), 2, "0"), (k % 10).cast("string"))
-    text = F.concat(F.lit("x "), number, F.lit("; 50-00-0, 50-00-0 "), F.col("p_size").cast("string"))
-    ids = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d{2,7}-\d{2}-\d)"), F.lit(1)))
-    each = table(spark, sf_dir, "part").select(k, F.explode(ids).alias("id")).withColumn("p", F.split("id", "-"))
-    ok = cas_valid(F.col("p")[0], F.col("p")[1], F.col("p")[2])
-    return each.groupBy("p_partkey").agg(F.count_if(ok).alias("n_read"), F.count_if(~ok).alias("n_failed"))
 
+    def padded(value, n: int):
+        return F.lpad(value.cast("long").cast("string"), n, "0")
 
-@query("SELECT c_custkey, 'https://example.org/act/' || lower(c_mktsegment) || '/' || c_custkey || CASE WHEN c_nationkey % 2 = 0 THEN '#art_' || c_nationkey ELSE '' END AS url FROM customer")
-def citation_url(spark, sf_dir):
-    anchor = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("#art_"), F.col("c_nationkey").cast("string"))).otherwise(F.lit(""))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://example.org/act/"), F.lower("c_mktsegment"), F.lit("/"), F.col("c_custkey").cast("string"), anchor).alias("url"))
+    cas = F.concat_ws("-", padded(k % 1000, 3), padded(k % 100, 2), (k % 10).cast("string"))
+    ec = F.concat_ws("-", (200 + k % 800).cast("string"), padded(F.floor(k / 7) % 1000, 3), (k % 11 % 10).cast("string"))
+    index = F.concat_ws("-", padded(k % 1000, 3), padded(F.floor(k / 3) % 1000, 3), F.lit("00"), F.when(k % 11 == 10, F.lit("X")).otherwise((k % 11).cast("string")))
+    cell = F.concat_ws(" ", F.lit("x"), cas, F.lit("; 50‑00‑0, 50-00-0"), ec, F.lit("1234-567-89-0"), index)
+    read = table(spark, sf_dir, "part").select(k, identifiers.in_cell(cell).alias("i"))
+    return read.select("p_partkey", F.array_join(F.transform("i.found", lambda f: F.concat_ws(":", f["scheme"], f["value"])), ",").alias("found"), "i.failed")
+
+
+_ACTS_SQL = "a AS (SELECT c_custkey AS id, c_custkey % 8 AS f, (1990 + c_nationkey) || 'R' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS code FROM customer)"
+
+
+def _acts(spark, sf_dir):
+    i = F.col("c_custkey")
+    code = F.concat((1990 + F.col("c_nationkey")).cast("string"), F.lit("R"), F.lpad((i % 10_000).cast("string"), 4, "0"))
+    raw = {
+        0: F.concat(F.lit("3"), code),
+        1: F.concat(F.lit("celex:3"), F.lower(code)),
+        2: F.concat(F.lit(" 0"), code, F.lit("-20260727 ")),
+        3: F.concat(F.lit("consolidation:"), code, F.lit("/20260727_0010010")),
+        4: F.concat(F.lit("eli:reg:"), code),
+        5: F.concat(F.lit("oj:L_"), code),
+        6: F.concat(F.lit("celex:0"), code, F.lit("-20261327")),
+        7: F.concat(F.lit("consolidation:"), code, F.lit("/20240229")),
+    }
+    return table(spark, sf_dir, "customer").select(i.alias("id"), F.coalesce(*[F.when(i % 8 == f, r) for f, r in raw.items()]).alias("raw"))
+
+
+@query(f"WITH {_ACTS_SQL} SELECT id, CASE WHEN f IN (0, 1) THEN 'celex' WHEN f IN (2, 3, 7) THEN 'consolidated' END AS form, CASE f WHEN 0 THEN '3' || code WHEN 1 THEN '3' || code WHEN 7 THEN '0' || code || '-20240229' WHEN 2 THEN '0' || code || '-20260727' WHEN 3 THEN '0' || code || '-20260727' END AS value, CASE f WHEN 7 THEN DATE '2024-02-29' WHEN 2 THEN DATE '2026-07-27' WHEN 3 THEN DATE '2026-07-27' END AS day FROM a")
+def identifier_grammar(spark, sf_dir):
+    """Identifiers of acts and versions in their spellings; other families and impossible days aren't read."""
+    return _acts(spark, sf_dir).select("id", identifiers.act_identifier(F.col("raw")).alias("x")).select("id", "x.form", "x.value", "x.day")
+
+
+@query(f"WITH {_ACTS_SQL} SELECT id, CASE WHEN f IN (0, 2) THEN FALSE ELSE f IN (1, 3, 6, 7) END AS readable FROM a")
+def feed_readable(spark, sf_dir):
+    """Whether an entry's identifier is of a family that can be read."""
+    scheme = F.when(F.col("raw").contains(":"), F.split_part("raw", F.lit(":"), F.lit(1)))
+    return _acts(spark, sf_dir).select("id", F.coalesce(identifiers.readable(scheme), F.lit(False)).alias("readable"))
 
 
 @query(
-    r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS lang, try_cast(regexp_extract(url, '/(\d+)(\?|$)', 1) AS BIGINT) AS number FROM pages"""
+    f"""WITH {_RAW_SQL} SELECT id, 'https://eur-lex.europa.eu/legal-content/EN/TXT/HTML/?uri=CELEX:32024R' || lpad((id % 10000)::VARCHAR, 4, '0') || CASE WHEN f = 0 THEN '#anx_' || (id % 60) WHEN f IN (1, 2, 5, 6) THEN '#art_' || k ELSE '' END AS url FROM norm"""
 )
-def identifier_grammar(spark, sf_dir):
-    """An address read into its parts; a part that isn't there is empty, a number null."""
-    parts = {"host": r"^https?://([^/]+)/", "lang": r"^https?://[^/]+/([a-z]{2})/"}
-    number = F.regexp_extract("url", r"/(\d+)(\?|$)", 1).try_cast("bigint")
-    return table(spark, sf_dir, "pages").select("page_id", *[F.regexp_extract("url", p, 1).alias(n) for n, p in parts.items()], number.alias("number"))
+def citation_url(spark, sf_dir):
+    """Pages of versions at the anchor of a location's unit; a chapter, all annexes and an unknown code have none."""
+    version = F.concat(F.lit("32024R"), F.lpad((F.col("id") % 10_000).cast("string"), 4, "0"))
+    return _raw(spark, sf_dir).select("id", references.citation_url(version, F.col("raw")).alias("url"))
 
 
-@query("WITH n AS (SELECT doc_id, trim(split_part(regexp_replace(text, '\\s+', ' ', 'g'), ';', 1)) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 60 THEN s WHEN strpos(substr(s, 1, 61), ' ') = 0 THEN substr(s, 1, 60) ELSE rtrim(regexp_extract(substr(s, 1, 61), '^(.*) ', 1)) END AS name FROM n")
+@query("WITH n AS (SELECT doc_id, trim(split_part(trim(regexp_replace(text, '\\s+', ' ', 'g')), ';', 1)) AS s FROM documents), c AS (SELECT doc_id, s, regexp_extract(substr(s, 1, 61), '^(.*) ', 1) AS w FROM n) SELECT doc_id, CASE WHEN length(s) <= 60 THEN s ELSE regexp_replace(CASE WHEN w = '' THEN substr(s, 1, 60) ELSE w END, '[ ,]+$', '') || '…' END AS name FROM c")
 def row_name_cut(spark, sf_dir):
-    """A row's name: up to a semicolon, then whole words of at most 60 characters."""
-    s = F.trim(F.split_part(F.regexp_replace("text", r"\s+", " "), F.lit(";"), F.lit(1)))
-    head = F.substring(s, 1, 61)
-    cut = F.when(F.instr(head, " ") == 0, F.substring(s, 1, 60)).otherwise(F.rtrim(F.regexp_extract(head, "^(.*) ", 1)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.char_length(s) <= 60, s).otherwise(cut).alias("name"))
+    """A row's name: up to a semicolon, then whole words of at most 60 characters, with dots."""
+    return table(spark, sf_dir, "documents").select("doc_id", keys.row_name(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("name"))
 
 
-@query("SELECT page_id, CASE WHEN url LIKE '%?%' THEN 'query' WHEN regexp_matches(url, '/\\d+$') THEN 'number' WHEN url LIKE '%.html' THEN 'text' ELSE 'name' END AS form FROM pages")
+@query(
+    r"""WITH p AS (SELECT p_partkey AS id, p_partkey % 9 AS f, lpad((p_partkey % 1000)::VARCHAR, 3, '0') || lpad((p_partkey // 3 % 1000)::VARCHAR, 3, '0') || '00' AS b, p_name AS n, p_partkey AS k FROM part),
+c AS (SELECT *, list_sum(list_transform(range(1, 9), lambda i: i * substr(b, i, 1)::INT)) % 11 AS r FROM p), x AS (SELECT *, substr(b, 1, 3) || '-' || substr(b, 4, 3) || '-00-' || CASE r WHEN 10 THEN 'X' ELSE r::VARCHAR END AS idx FROM c)
+SELECT id, CASE f WHEN 0 THEN idx WHEN 2 THEN k || 'a' WHEN 3 THEN 'x ' || n WHEN 4 THEN n || ' b' WHEN 5 THEN lower(n) WHEN 6 THEN '(+)-' || lower(n) WHEN 8 THEN k::VARCHAR END AS key, f = 1 AS failed FROM x"""
+)
 def key_readers(spark, sf_dir):
-    form = F.when(F.col("url").contains("?"), "query").when(F.col("url").rlike(r"/\d+$"), "number").when(F.col("url").endswith(".html"), "text").otherwise("name")
-    return table(spark, sf_dir, "pages").select("page_id", form.alias("form"))
+    """Keys of table rows in the four forms that profiles name."""
+    i, n = F.col("p_partkey"), F.col("p_name")
+    body = F.concat(F.lpad((i % 1000).cast("string"), 3, "0"), F.lpad((F.floor(i / 3) % 1000).cast("string"), 3, "0"), F.lit("00"))
+    stem = F.concat(F.substring(body, 1, 3), F.lit("‑"), F.substring(body, 4, 3), F.lit("-00-"))
+    right, wrong = identifiers.index_check(body), F.when(identifiers.index_check(body) == "X", F.lit("0")).otherwise(F.lit("X"))
+    cells = {
+        0: ("index", F.concat(stem, right, F.lit(" (note 1)"))),
+        1: ("index", F.concat(stem, wrong)),
+        2: ("number", F.concat(i.cast("string"), F.lit("a. "), n)),
+        3: ("number", F.concat(F.lit("x  "), n)),
+        4: ("text", F.concat(n, F.lit(" \n b"))),
+        5: ("name", F.concat(F.initcap(n), F.lit(" (#)\n(C6H6)"))),
+        6: ("name", F.concat(F.lit("(+)-"), F.initcap(n), F.lit(" **"))),
+        7: ("name", F.lit(" — ")),
+        8: ("number", i.cast("string")),
+    }
+    form = F.coalesce(*[F.when(i % 9 == f, F.lit(kind)) for f, (kind, _) in cells.items()])
+    cell = F.coalesce(*[F.when(i % 9 == f, c) for f, (_, c) in cells.items()])
+    rows = table(spark, sf_dir, "part").select(i.alias("id"), form.alias("form"), cell.alias("cell"))
+    return rows.select("id", keys.read_key(F.col("cell"), F.col("form")).alias("r")).select("id", "r.key", "r.failed")
 
 
 @query(r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents) SELECT doc_id, CASE WHEN length(ls[2]) BETWEEN 1 AND 200 AND NOT regexp_matches(ls[2], '^[0-9]') THEN ls[2] END AS subject FROM l")
@@ -257,9 +336,9 @@ def cost_model(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(tokens, 6).alias("tokens_in"), F.round(tokens * 3e-6 + 351 * 15e-6, 9).alias("cost"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_discount * 12.5, 2) AS ratio FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_discount * 12.345, 3) AS ratio FROM lineitem")
 def ratio_rounding(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.bround(F.col("l_discount") * 12.5, 2).alias("ratio"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded(F.col("l_discount") * 12.345).alias("ratio"))
 
 
 @query("SELECT conv_id, array_to_string(list(role ORDER BY turn, role, text), ',') AS roles, sum(length(text)) AS n_chars FROM conversations GROUP BY 1")

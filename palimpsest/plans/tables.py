@@ -168,13 +168,18 @@ def delta_restriction(spark, sf_dir):
     return wanted.join(delta, F.col("wanted") == F.col("location"), "left").select("location", F.col("location").isNotNull().alias("found"), "wanted")
 
 
-@query(f"WITH {DELTA_SQL} SELECT act, location, old_verbatim IS DISTINCT FROM new_verbatim AS explainable FROM delta WHERE change_type = 'modified'")
+@query(
+    f"""WITH {DELTA_SQL} SELECT d.act, d.location, d.change_type, d.change_type <> 'modified' OR left(x.text, 2000) IS DISTINCT FROM left(y.text, 2000) AS explainable
+FROM delta d LEFT JOIN a x ON x.act = d.act AND x.location = d.location LEFT JOIN b y ON y.act = d.act AND y.location = d.location WHERE d.change_type <> 'unchanged'"""
+)
 def explainable_changes(spark, sf_dir):
-    """Amended units whose two texts differ within what is shown of them."""
-    from ..operators import versions
+    """Changes with a text whose two sides, as far as they are shown, tell a difference."""
+    from ..operators import signals, versions
 
-    units = versions.diff_units(fixtures.before(spark, sf_dir), fixtures.after(spark, sf_dir)).where("change_type = 'modified'")
-    return units.select("act", "location", (~F.col("old_verbatim").eqNullSafe(F.col("new_verbatim"))).alias("explainable"))
+    before, after = fixtures.before(spark, sf_dir), fixtures.after(spark, sf_dir)
+    units = versions.diff_units(before, after).where("change_type <> 'unchanged'").select("act", "location", "change_type")
+    shown = units.join(before.select("act", "location", F.col("text").alias("old")), ["act", "location"], "left").join(after.select("act", "location", F.col("text").alias("new")), ["act", "location"], "left")
+    return shown.select("act", "location", "change_type", signals.explainable(F.col("change_type"), F.col("old"), F.col("new"), 2000).alias("explainable"))
 
 
 @query(
