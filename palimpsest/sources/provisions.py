@@ -128,17 +128,23 @@ def in_units(rows: DataFrame) -> DataFrame:
     return found.where(~F.exists("steps", lambda t: t.isin(*SKIPPED))).drop("_way", "_at")
 
 
-def pieces(units: DataFrame, by: list[str]) -> DataFrame:
+def pieces(units: DataFrame, by: list[str], left_out: tuple[str, ...] = ()) -> DataFrame:
     """(by, unit, at, k, piece, owners): the texts of units in order, with the elements that each is part of.
 
-    ``k`` is 0 for what stands before an element that opens a line, 1 for characters of the document.
+    ``k`` is 0 for what stands before an element that opens a line, 1 for characters of the document. Inside an element of
+    ``left_out`` a piece is part of that element and of what is below it, not of what is above.
     """
-    inner = F.concat("up", F.array("pos"))
-    outer = F.when(F.col("pos") != F.col("unit"), F.col("up")).otherwise(F.array().cast("array<int>"))
+
+    def owners(tags: Column, places: Column) -> Column:
+        last = F.array_max(F.zip_with(tags, places, lambda t, p: F.when(t.isin(*left_out), p))) if left_out else F.lit(None)
+        return F.filter(places, lambda p: p >= F.greatest(F.col("unit"), F.coalesce(last, F.lit(-1))))
+
+    inner = owners(F.concat("tags", F.array("tag")), F.concat("up", F.array("pos")))
+    outer = F.when(F.col("pos") != F.col("unit"), owners(F.col("tags"), F.col("up"))).otherwise(F.array().cast("array<int>"))
     text = F.struct(F.col("at").alias("at"), F.lit(1).alias("k"), F.col("text").alias("piece"), inner.alias("owners"))
     tail = F.struct(F.col("tail_at").alias("at"), F.lit(1).alias("k"), F.col("tail").alias("piece"), outer.alias("owners"))
     gap = F.struct(F.col("at").alias("at"), F.lit(0).alias("k"), F.col("gap").alias("piece"), outer.alias("owners"))
-    each = units.select(*by, "unit", F.inline(F.array(text, tail, gap))).withColumn("owners", F.filter("owners", lambda p: p >= F.col("unit")))
+    each = units.select(*by, "unit", F.inline(F.array(text, tail, gap)))
     return each.where("piece <> '' AND size(owners) > 0")
 
 
@@ -156,13 +162,13 @@ def titles(units: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     ``TITLE/TI`` and ``TITLE/STI``."""
     heads = units.where(F.col("tag").isin(*TITLES)).select(*by, "pos", "tag", "parent", "up", "tags")
     flat = heads.join(texts_of(found, heads.select(*by, "pos"), by).select(*by, "pos", "comparison_text"), [*by, "pos"], "left")
-    below = F.element_at("tags", -1) == "TITLE"
+    below = F.try_element_at("tags", F.lit(-1)) == "TITLE"
     inner = F.col("tag").isin("TI", "STI")
     owner = F.when(inner & below, F.try_element_at("up", F.lit(-2))).otherwise(F.col("parent"))
     name = F.when(inner & below, F.concat(F.lit("TITLE/"), "tag")).otherwise(F.col("tag"))
-    named = flat.select(*by, owner.alias("pos"), name.alias("name"), F.col("pos").alias("p"), F.coalesce("comparison_text", F.lit("")).alias("t")).where("pos IS NOT NULL")
-    first = named.groupBy(*by, "pos", "name").agg(F.min_by("t", "p").alias("t"))
-    return first.groupBy(*by, "pos").agg(F.map_from_entries(F.collect_list(F.struct("name", "t"))).alias("title"))
+    named = flat.select(*by, owner.alias("pos"), name.alias("_name"), F.col("pos").alias("_p"), F.coalesce("comparison_text", F.lit("")).alias("_t")).where("pos IS NOT NULL")
+    first = named.groupBy(*by, "pos", "_name").agg(F.min_by("_t", "_p").alias("_t"))
+    return first.groupBy(*by, "pos").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_t"))).alias("title"))
 
 
 def identifier(raw: Column) -> Column:
@@ -204,6 +210,12 @@ def point(marker: Column) -> Column:
     return F.when(marker == "", None).when(marker.isin(*DASHES), indent).when(bare.rlike("^[0-9]+[A-Za-z]*$"), number).when(bare.rlike("^[0-9A-Za-z]+$"), letter)
 
 
+def article_number() -> Column:
+    """An article's number (attrs, title): by its identifier, or else by its heading."""
+    headed = F.regexp_extract(F.lower(_titled("TI.ART")), r"\barticle +([0-9]+ ?[a-z]?)(?!\w)", 1)
+    return F.coalesce(identifier(F.col("attrs")["IDENTIFIER"]), _filled(F.replace(headed, F.lit(" "), F.lit(""))))
+
+
 def segment() -> Column:
     """struct<code,value>: what an element (tag, attrs, title, annex) adds to a location; null if nothing, a null value if it is
     counted among its siblings."""
@@ -216,8 +228,7 @@ def segment() -> Column:
         return _filled(F.regexp_replace(F.trim(text), r"\.+$", ""))
 
     title = _titled("TITLE/TI", "TITLE")
-    headed = F.regexp_extract(F.lower(_titled("TI.ART")), r"\barticle +([0-9]+ ?[a-z]?)(?!\w)", 1)
-    article = F.coalesce(identifier(number), _filled(F.replace(headed, F.lit(" "), F.lit(""))))
+    article = article_number()
     annex = F.coalesce(of("AN", annex_number(title, "ANNEX")), of("APP", annex_number(title, "APPENDIX")))
     is_unit = F.col("pos") == F.col("unit")
     return (
@@ -366,7 +377,7 @@ def tables(made: dict[str, DataFrame], by: list[str]) -> DataFrame:
     texts = texts_of(found, cells.select(*by, "pos"), by).select(*by, "pos", "text")
     attr = F.col("attrs")
     each = cells.join(texts, [*by, "pos"], "left").select(*by, F.col("parent").alias("row"), F.col("pos").alias("cell"), attr["COL"].alias("col"), attr["COLSPAN"].alias("across"), attr["ROWSPAN"].alias("down"), F.coalesce("text", F.lit("")).alias("text"))
-    named = inside.where((F.element_at("steps", -1) == "TI.BLK") & shape.rlike(r"^CORPUS (BLK )+TI\.BLK$")).select(*by, "pos", "parent")
+    named = inside.where((F.try_element_at("steps", F.lit(-1)) == "TI.BLK") & shape.rlike(r"^CORPUS (BLK )+TI\.BLK$")).select(*by, "pos", "parent")
     block = named.join(texts_of(found, named.select(*by, "pos"), by).select(*by, "pos", "text"), [*by, "pos"], "left").groupBy(*by, "parent").agg(F.min_by(F.coalesce("text", F.lit("")), "pos").alias("text"))
     held = line_of.select(*by, "row", F.explode("up").alias("parent")).join(block, [*by, "parent"]).groupBy(*by, "row").agg(F.max_by("text", "parent").alias("heading"))
     ordinal = F.row_number().over(Window.partitionBy(*by, "tbl").orderBy("row"))
