@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entries
 from ..operators.stages import staged
-from ..sources import packages, provisions
+from ..sources import instructions, packages, provisions
 from .fixtures import table
 
 QUERIES: dict = {}
@@ -144,3 +144,60 @@ def package_entry_diff(spark, sf_dir):
     shown = held.withColumn("value", value)
     old, new = (shown.where(F.col("version") == v).drop("version", "rows") for v in (1, 2))
     return entries.difference(old, new, ["id", *_PLACE], "key", "value").select("id", "key", "change", "typography_only")
+
+
+#: Amending acts: ten parts each, a point of a list for each part, in six forms.
+_ACTS_SQL = """p AS (SELECT p_partkey // 10 AS id, p_partkey % 10 AS k, p_partkey % 6 AS f, p_size AS n, p_partkey % 9 + 1 AS q FROM part),
+s AS (SELECT *, 'AR 001 (' || k || ')' AS source, '32024R' || lpad((id % 9989 + 10)::VARCHAR, 4, '0') AS act FROM p)"""
+
+
+def _acts(spark, sf_dir):
+    i, n, q = F.col("p_partkey"), F.col("p_size").cast("string"), (F.col("p_partkey") % 9 + 1).cast("string")
+    said = {
+        0: F.concat(F.lit("<TXT>in Article "), n, F.lit(", the following is added: more</TXT>")),
+        1: F.concat(F.lit("<TXT>in Article "), n, F.lit("("), q, F.lit("), point (g) is replaced by the following:</TXT><QUOT.S><P>Article 99 is deleted</P></QUOT.S>")),
+        2: F.lit("<TXT>in point (h) of Section 5.1 of Annex IX, the words are deleted</TXT>"),
+        3: F.concat(F.lit('<TXT>the following Article is inserted:</TXT><QUOT.S><ARTICLE IDENTIFIER="0'), n, F.lit('A"><ALINEA>new</ALINEA></ARTICLE></QUOT.S>')),
+        4: F.concat(F.lit("<TXT>Article "), n, F.lit(" is amended as follows:</TXT><P><LIST><ITEM><NP><NO.P>(a)</NO.P><TXT>paragraph "), q, F.lit(" is deleted</TXT></NP></ITEM></LIST></P>")),
+        5: F.lit("<TXT>the date is replaced by another</TXT>"),
+    }
+    point = F.concat(F.lit("<ITEM><NP><NO.P>("), (i % 10).cast("string"), F.lit(")</NO.P>"), F.coalesce(*[F.when(i % 6 == f, x) for f, x in said.items()]), F.lit("</NP></ITEM>"))
+    rows = table(spark, sf_dir, "part").select(F.floor(i / 10).cast("long").alias("id"), (i % 10).alias("k"), point.alias("point"))
+    held = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "point"))), lambda x: x["point"]), "").alias("points"))
+    number = (F.col("id") % 9989 + 10).cast("string")
+    xml = F.concat(F.lit('<ACT><ENACTING.TERMS><ARTICLE IDENTIFIER="001"><TI.ART>Article 1</TI.ART><ALINEA>Regulation (EU) 2024/'), number, F.lit(" is amended as follows:<LIST>"), "points", F.lit("</LIST></ALINEA></ARTICLE></ENACTING.TERMS></ACT>"))
+    return staged(held.select("id", F.lit("act.xml").alias("name"), xml.cast("binary").alias("data")))
+
+
+@query(
+    f"""WITH {_ACTS_SQL} SELECT id, source || CASE f WHEN 4 THEN ' (a)' ELSE '' END AS source, act, CASE f WHEN 0 THEN 'AR ' || n WHEN 1 THEN 'AR ' || n || ' PA ' || q || ' PTA (g)' WHEN 2 THEN 'AN IX SCT 5.1 PTA (h)' WHEN 3 THEN 'AR ' || n || 'a' ELSE 'AR ' || n || ' PA ' || q END AS location,
+  CASE WHEN f IN (0, 1) THEN 'modified' WHEN f = 3 THEN 'inserted' ELSE 'deleted' END AS change, f = 3 AS from_quotation FROM s WHERE f <> 5"""
+)
+def instruction_records(spark, sf_dir):
+    """What amending acts say of the acts they name, point by point."""
+    return instructions.read(_acts(spark, sf_dir), "id")["records"].select("id", *instructions.RECORD)
+
+
+@query(f"WITH {_ACTS_SQL} SELECT id, source, 'the date is replaced by another' AS clause, 'no provision reference' AS reason FROM s WHERE f = 5")
+def instruction_unread(spark, sf_dir):
+    """Clauses that look like instructions and name no provision."""
+    return instructions.read(_acts(spark, sf_dir), "id")["unread"].select("id", "source", "clause", "reason")
+
+
+@query(
+    f"""WITH {_ACTS_SQL}, c AS (SELECT act, CASE WHEN f = 2 THEN 'AN IX' WHEN f = 3 THEN 'AR ' || n || 'a' ELSE 'AR ' || n END AS unit, max(CASE WHEN f = 3 THEN 2 ELSE 1 END) AS s FROM s WHERE f <> 5 GROUP BY ALL),
+d AS (SELECT DISTINCT act, 'AR ' || n AS unit, 'modified' AS diff_kind FROM s WHERE q < 5), m AS (SELECT coalesce(c.act, d.act) AS act, coalesce(c.unit, d.unit) AS unit, diff_kind, CASE s WHEN 2 THEN 'inserted' WHEN 1 THEN 'modified' END AS claimed_kind FROM c FULL JOIN d ON c.act = d.act AND c.unit = d.unit)
+SELECT m.act, m.unit, diff_kind, claimed_kind, CASE WHEN diff_kind IS NOT NULL THEN 'observed' ELSE 'absent' END AS diff_status, CASE WHEN claimed_kind IS NOT NULL THEN 'observed' WHEN a.act IS NOT NULL THEN 'absent' ELSE 'unavailable' END AS claim_status,
+  diff_kind IS NULL AS textless FROM m LEFT JOIN (SELECT DISTINCT act FROM c) a ON a.act = m.act"""
+)
+def instruction_signal_merge(spark, sf_dir):
+    """The claims of amending acts beside a difference of the acts' units (of every part some)."""
+    from ..operators import signals
+
+    records = staged(instructions.read(_acts(spark, sf_dir), "id")["records"])
+    i = F.col("p_partkey")
+    act = F.concat(F.lit("32024R"), F.lpad((F.floor(i / 10) % 9989 + 10).cast("string"), 4, "0"))
+    diff = table(spark, sf_dir, "part").where(i % 9 < 4).select(act.alias("act"), F.concat(F.lit("AR "), F.col("p_size").cast("string")).alias("unit"), F.lit("modified").alias("diff_kind")).distinct()
+    claimed = instructions.claims(records, "id")
+    merged = signals.merged(diff, claimed, claimed.select("act"))
+    return merged.select("act", "unit", "diff_kind", "claimed_kind", "diff_status", "claim_status", "textless")
