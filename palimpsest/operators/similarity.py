@@ -7,6 +7,7 @@ aligned, and loses none that reaches the floor.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 
 import numpy as np
@@ -62,13 +63,80 @@ def word_ratio(left: str, right: str) -> Column:
     return F.pandas_udf(ratios, "double")(left, right)
 
 
+#: Products of word counts up to which two runs of words are matched as they are, and words of an anchor in longer ones.
+MATCHED, ANCHOR_WORDS = 25_000_000, 4
+
+
+def _anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places (in x, in y) of word runs that occur once in either, rising in both: the longest such chain."""
+
+    def once(words_: list[str]) -> dict[tuple, int]:
+        places: dict[tuple, int] = {}
+        for i in range(len(words_) - ANCHOR_WORDS + 1):
+            run = tuple(words_[i : i + ANCHOR_WORDS])
+            places[run] = -1 if run in places else i
+        return places
+
+    right = once(y)
+    pairs = [(i, right[run]) for run, i in once(x).items() if i >= 0 and right.get(run, -1) >= 0]
+    tails: list[int] = []  # the lowest end in y of a chain of each length
+    ends: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):  # in order of x, as dicts keep it
+        at = bisect.bisect_left(tails, j)
+        before[n] = ends[at - 1] if at else -1
+        tails[at:at + 1], ends[at:at + 1] = [j], [n]
+    chain, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    return chain[::-1]
+
+
+def opcodes(x: list[str], y: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """What runs of words two texts share and where they differ, as operations that turn ``x`` into ``y``, in order.
+
+    Texts whose word counts multiply to more than ``MATCHED`` are cut at anchors first, word runs that both have once, and matched
+    between them; a long stretch without an anchor is one replacement. Shorter ones are matched whole.
+    """
+
+    def matched(i: int, i_end: int, j: int, j_end: int):
+        if (i_end - i) * (j_end - j) > MATCHED:
+            yield "replace", i, i_end, j, j_end
+            return
+        for kind, a, b, c, d in difflib.SequenceMatcher(None, x[i:i_end], y[j:j_end], autojunk=False).get_opcodes():
+            yield kind, i + a, i + b, j + c, j + d
+
+    if len(x) * len(y) <= MATCHED:
+        return list(matched(0, len(x), 0, len(y)))
+    found: list[tuple[str, int, int, int, int]] = []
+
+    def add(kind, i, i_end, j, j_end):
+        if found and found[-1][0] == kind == "equal":
+            i, j = found[-1][1], found[-1][3]
+            found.pop()
+        found.append((kind, i, i_end, j, j_end))
+
+    at_x = at_y = 0
+    for i, j in [*_anchors(x, y), (len(x), len(y))]:
+        if i < at_x or j < at_y:  # overlaps the run before
+            continue
+        for op in matched(at_x, i, at_y, j):
+            add(*op)
+        at_x, at_y = i, j
+        while at_x < len(x) and at_y < len(y) and x[at_x] == y[at_y]:
+            at_x, at_y = at_x + 1, at_y + 1
+        if at_x > i:
+            add("equal", i, at_x, j, at_y)
+    return found
+
+
 def diff_spans(before: str, after: str) -> Column:
     """What word runs two text columns share and where they differ, in order."""
 
     def one(a: str, b: str):
         x, y = a.split(), b.split()
-        found = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
-        return [{"kind": kind, "before": " ".join(x[i:j]), "after": " ".join(y[k:n])} for kind, i, j, k, n in found]
+        return [{"kind": kind, "before": " ".join(x[i:j]), "after": " ".join(y[k:n])} for kind, i, j, k, n in opcodes(x, y)]
 
     def spans(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one(x, y) for x, y in zip(a, b)])

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, comparison_text, digest
-from .similarity import words
+from .similarity import opcodes, words
 
 #: Least length and number of a fuzzy renumbering, the prefix it compares and the ratio it needs.
 FUZZY_CHARS, FUZZY_SIDE, FUZZY_PREFIX, FUZZY_RATIO = 100, 50, 2000, 0.95
 #: Context, length and number of the excerpts of a difference, and the share from which it is withheld.
-CONTEXT_WORDS, EXCERPT_CHARS, EXCERPTS, WITHHELD = 6, 400, 12, 0.30
+CONTEXT_WORDS, EXCERPT_CHARS, EXCERPTS, WITHHELD, CUT = 6, 400, 12, 0.30, "[…]"
 
 
 def quoted(quotes: DataFrame, texts: DataFrame, quote_key: str, text_key: str, width: int = 5) -> DataFrame:
@@ -116,22 +116,34 @@ def date_verdict(before: str, after: str):
     return F.struct(verdict.alias("verdict"), removed.alias("removed"), added.alias("added"))
 
 
-def excerpts(before: str, after: str) -> tuple[bool, list[str]]:
-    """(withheld, excerpts): the words around each difference, withheld where they are too much of a side."""
+def excerpts(before: str, after: str) -> tuple[bool, int, list[dict]]:
+    """(withheld, omitted, passages): both sides of each difference with the words around it, cut where too long.
+
+    The first ``EXCERPTS`` are kept and the rest counted. If what is kept shows more than ``WITHHELD`` of either text, none is.
+    """
     x, y = before.split(), after.split()
-    regions = [op for op in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if op[0] != "equal"]
-    shown = [" ".join(y[max(0, k - CONTEXT_WORDS) : n + CONTEXT_WORDS])[:EXCERPT_CHARS] for _, _, _, k, n in regions[:EXCERPTS]]
-    touched = max(sum(j - i for _, i, j, _, _ in regions) / max(1, len(x)), sum(n - k for _, _, _, k, n in regions) / max(1, len(y)))
-    return touched > WITHHELD, [] if touched > WITHHELD else shown
+    before, after = " ".join(x), " ".join(y)
+    if before == after:
+        return False, 0, []
+
+    def side(words_: list[str], start: int, end: int) -> str:
+        shown = " ".join(words_[max(0, start - CONTEXT_WORDS) : end + CONTEXT_WORDS])
+        return shown if len(shown) <= EXCERPT_CHARS else shown[:EXCERPT_CHARS] + CUT
+
+    regions = [op for op in opcodes(x, y) if op[0] != "equal"]
+    kept = [{"before": side(x, i, j), "after": side(y, k, n)} for _, i, j, k, n in regions[:EXCERPTS]]
+    if any(sum(len(p[name]) for p in kept) > WITHHELD * len(text) for name, text in (("before", before), ("after", after))):
+        return True, 0, []
+    return False, max(0, len(regions) - EXCERPTS), kept
 
 
 def excerpt(before: str, after: str):
     """:func:`excerpts` of two text columns."""
 
     def shown(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([excerpts(x or "", y or "") for x, y in zip(a, b)], columns=["withheld", "excerpts"])
+        return pd.DataFrame([excerpts(x or "", y or "") for x, y in zip(a, b)], columns=["withheld", "omitted", "passages"])
 
-    return F.pandas_udf(shown, "struct<withheld:boolean,excerpts:array<string>>")(before, after)
+    return F.pandas_udf(shown, "struct<withheld:boolean,omitted:int,passages:array<struct<before:string,after:string>>>")(before, after)
 
 
 #: The nouns that a number belongs to, and the words that join several numbers.

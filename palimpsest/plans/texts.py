@@ -165,7 +165,7 @@ def sublocalise(spark, sf_dir):
 @query()
 def passages_excerpt(spark, sf_dir):
     e = _modified_texts(spark, sf_dir).select("act", "location", texts.excerpt("old", "new").alias("e"))
-    return e.select("act", "location", "e.withheld", F.size("e.excerpts").alias("n_excerpts"), F.array_join("e.excerpts", " / ").alias("excerpts"))
+    return e.select("act", "location", "e.withheld", "e.omitted", F.size("e.passages").alias("n_passages"), *[F.array_join(F.col("e.passages")[side], " / ").alias(side) for side in ("before", "after")])
 
 
 @query()

@@ -1,4 +1,6 @@
 import difflib
+import random
+import time
 
 from palimpsest.functions import identifiers, text
 from palimpsest.operators import similarity, texts
@@ -99,3 +101,38 @@ def test_xml(spark):
     rows = xml_nodes(docs, "k").collect()
     assert [(r.pos, r.location, r.text) for r in rows if r.k == 1] == [(0, "a", "xy"), (1, "a b", "x"), (2, "a b#2", "y")]
     assert {r.k for r in rows if r.state == "unreadable"} == {2, 3}
+
+
+def rebuilt(x, y, found):
+    left = [w for _, i, j, _, _ in found for w in x[i:j]]
+    right = [w for kind, i, j, k, n in found for w in (x[i:j] if kind == "equal" else y[k:n])]
+    return left == x and right == y and all(a[2] == b[1] and a[4] == b[3] for a, b in zip(found, found[1:]))
+
+
+def test_differences_of_short_and_very_long_texts():
+    rng = random.Random(2)
+    x = [f"w{rng.randrange(60)}" for _ in range(300)]
+    y = x[:40] + ["new"] + x[60:200] + x[210:]
+    assert similarity.opcodes(x, y) == difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+    long = [f"w{rng.randrange(5000)}" for _ in range(266_000)]
+    other = long[:1000] + ["added"] * 5 + long[1000:90_000] + long[90_100:200_000] + [f"v{i}" for i in range(300)] + long[200_050:]
+    began = time.time()
+    found = similarity.opcodes(long, other)
+    assert time.time() - began < 20 and rebuilt(long, other, found)
+    changed = sum(max(j - i, n - k) for kind, i, j, k, n in found if kind != "equal")
+    assert 400 <= changed <= 1000
+    blank = ["same"] * 6000
+    assert rebuilt(blank, blank[:5900], similarity.opcodes(blank, blank[:5900]))
+
+
+def test_excerpts():
+    words_ = [f"w{i}" for i in range(300)]
+    other = words_[:100] + ["x"] + words_[101:250] + words_[251:]
+    withheld, omitted, passages = texts.excerpts(" ".join(words_), "  ".join(other))
+    assert (withheld, omitted) == (False, 0) and passages[0] == {"before": " ".join(words_[94:107]), "after": " ".join([*words_[94:100], "x", *words_[101:107]])}
+    assert passages[1] == {"before": " ".join(words_[244:257]), "after": " ".join([*words_[244:250], *words_[251:257]])}
+    assert texts.excerpts("a b c", "a x c") == (True, 0, []) and texts.excerpts("a  b", "a b") == (False, 0, [])
+    many = [w if i % 40 else "y" for i, w in enumerate([f"w{i}" for i in range(2000)])]
+    assert texts.excerpts(" ".join(f"w{i}" for i in range(2000)), " ".join(many))[1] == 50 - texts.EXCERPTS
+    long = " ".join(["z" * 90] * 40)
+    assert texts.excerpts(long + " a " + long, long + " b " + long)[2][0]["before"].endswith(texts.CUT)
