@@ -262,6 +262,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_key(rows: DataFrame, how: str) -> DataFrame:
         keys = rows.select(*[F.col(c).alias(f"{c}{mark}") for c in ("doc_id", "text_sha256", "n_cp")])
         same_text = (F.sha2(normal_text(docs[text_col]).cast("binary"), 256) == keys[f"text_sha256{mark}"]) & (F.char_length(text) == keys[f"n_cp{mark}"])
+        keys = keys.hint("merge")  # they grow with the input: the same plan at every size
         return docs.join(keys, docs[id_col].cast("long").eqNullSafe(keys[f"doc_id{mark}"]) & same_text, how)
 
     mark = "_" * (1 + max(len(c) for c in docs.columns))  # no column has such a name

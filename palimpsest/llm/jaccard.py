@@ -169,7 +169,8 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
     one = staged(nodes.join(sides, "node", "left_semi").groupBy("node").agg(F.min("tid").alias("tid")))
     named, _ = split_by_keys(texts, F.col("tid"), one.select(F.col("tid").alias("fp")))  # texts that no pair names stay where they are
     used = staged(named.join(one, "tid").groupBy("node").agg(F.first("text").alias("text")))
-    sided = pairs.join(used.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(used.withColumnsRenamed({"node": "b", "text": "y"}), "b")
+    # texts grow with the input, so they are merged at every size, also where a small table would be broadcast
+    sided = pairs.join(used.withColumnsRenamed({"node": "a", "text": "x"}).hint("merge"), "a").join(used.withColumnsRenamed({"node": "b", "text": "y"}).hint("merge"), "b")
 
     def run(batches):
         from .simhash import shingles

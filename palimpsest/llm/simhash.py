@@ -325,7 +325,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # only rows whose text may be one that goes move to meet the list of those
     docs, others = split_by_keys(docs, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))), drop.select(F.col(f"_tid{mark}").alias("fp")))
     same_text = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == drop[f"_tid{mark}"]
-    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(drop[f"_id{mark}"]) & same_text, "left_anti").unionByName(others)
+    return docs.join(drop.hint("merge"), docs[id_col].cast("long").eqNullSafe(drop[f"_id{mark}"]) & same_text, "left_anti").unionByName(others)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
