@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import cas_check, ec_check, index_check
 from ..operators import pairing, record
+from ..operators.stages import shared_dir
+from ..sources import snapshots
 from .fixtures import table
 
 QUERIES: dict = {}
@@ -152,3 +156,13 @@ def status_aggregates(spark, sf_dir):
         F.count("*").alias("n"), F.count_if(status == "F").alias("n_done"), F.count_if(status == "O").alias("n_open"),
         F.count_if(status == "P").alias("n_pending"), F.min("o_orderdate").alias("oldest"),
     )
+
+
+@query(ORACLE["root_index"])
+def index_snapshot(spark, sf_dir):
+    """The indexes of all acts and of the record, published under one manifest, twice, and read from the newest."""
+    base = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    acts, root = act_index(spark, sf_dir), root_index(spark, sf_dir)
+    number = snapshots.publish(spark, base, {"acts": acts.limit(0), "root": root.limit(0)})
+    snapshots.publish(spark, base, {"acts": acts, "root": root}, after=number)
+    return snapshots.read(spark, base, "root")

@@ -93,7 +93,8 @@ def twin_pairs(spark, sf_dir):
     return twins(table(spark, sf_dir, "documents"))
 
 
-def _modified_texts(spark, sf_dir):
+def modified_texts(spark, sf_dir):
+    """(act, location, old, new) of the units that the second version amends."""
     before, after = fixtures.before(spark, sf_dir), fixtures.after(spark, sf_dir)
     modified = versions.diff_units(before, after).where("change_type = 'modified'").select("act", "location")
     old = before.join(modified, ["act", "location"], "left_semi").select("act", "location", F.col("text").alias("old"))
@@ -103,7 +104,7 @@ def _modified_texts(spark, sf_dir):
 
 @query()
 def word_diff_spans(spark, sf_dir):
-    spans = _modified_texts(spark, sf_dir).select("act", "location", F.posexplode(similarity.diff_spans("old", "new")).alias("span", "s"))
+    spans = modified_texts(spark, sf_dir).select("act", "location", F.posexplode(similarity.diff_spans("old", "new")).alias("span", "s"))
     return spans.select("act", "location", "span", "s.kind", F.char_length("s.before").alias("n_before"), F.char_length("s.after").alias("n_after"), F.when(F.col("s.kind") != "equal", F.col("s.after")).alias("after"))
 
 
@@ -157,14 +158,14 @@ SELECT act, location, line, CASE WHEN lo.dg IS NULL THEN 'inserted' WHEN ln.dg I
 FROM lo FULL JOIN ln USING (act, location, line) WHERE lo.dg IS DISTINCT FROM ln.dg"""
 )
 def sublocalise(spark, sf_dir):
-    pair = _modified_texts(spark, sf_dir)
+    pair = modified_texts(spark, sf_dir)
     old, new = (pair.select("act", "location", F.col(c).alias("text")) for c in ("old", "new"))
     return texts.changed_lines(old, new, "act", "location")
 
 
 @query()
 def passages_excerpt(spark, sf_dir):
-    e = _modified_texts(spark, sf_dir).select("act", "location", texts.excerpt("old", "new").alias("e"))
+    e = modified_texts(spark, sf_dir).select("act", "location", texts.excerpt("old", "new").alias("e"))
     return e.select("act", "location", "e.withheld", "e.omitted", F.size("e.passages").alias("n_passages"), *[F.array_join(F.col("e.passages")[side], " / ").alias(side) for side in ("before", "after")])
 
 
