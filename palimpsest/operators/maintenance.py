@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,10 +54,12 @@ def evidence(stated: DataFrame, derived: DataFrame, key: str, digest: str) -> Da
 
 def interleaved(base: DataFrame, extra: DataFrame, act: str, key: str, ord_col: str) -> DataFrame:
     """Extras with the place of the first base row of their act whose key is greater, else one past the last."""
-    b = base.select(act, F.col(key).alias("_k"), F.col(ord_col).alias("_o"))
-    last = b.groupBy(act).agg(F.max("_o").alias("_last"))
-    greater = F.min(F.when(F.col("_k") > F.col(key), F.col("_o")))
-    found = extra.join(b, act, "left").groupBy(act, key).agg(greater.alias("_at"))
+    placed = base.select(act, F.col(key), F.col(ord_col).alias("_o"), F.lit(1).alias("_base"))
+    both = placed.unionByName(extra.select(act, key).distinct().withColumns({"_o": F.lit(None).cast(dict(base.dtypes)[ord_col]), "_base": F.lit(0)}))
+    # from the greatest key down, at one key extras first: what stands ahead has a greater key
+    ahead = Window.partitionBy(act).orderBy(F.desc(key), "_base").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_at", F.min("_o").over(ahead)).where("_base = 0")
+    last = base.groupBy(act).agg(F.max(ord_col).alias("_last"))
     return found.join(last, act, "left").select(act, key, F.coalesce("_at", F.col("_last") + 1, F.lit(1)).alias("place"))
 
 
@@ -70,19 +75,25 @@ def units_of(locations: DataFrame, units: DataFrame, location: str, unit: str) -
 def accepted(hits: DataFrame, key: str, second: str, limit: int, window: int) -> DataFrame:
     """Rate limiting: a hit is accepted if fewer than ``limit`` accepted hits of its key lie in the last ``window`` seconds.
 
-    Each decision depends on those before, so a key's hits are folded in order; a key is one caller.
+    Each decision depends on those before it, so a key's hits are folded in order, batch by batch of a sorted partition: what
+    is held is the last accepted times, ``limit`` at most, however many hits a caller has.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([second, *[c for c in rows.columns if c != second]], kind="stable")
-        kept: list[int] = []
-        out = []
-        for t in rows[second]:
-            kept = [x for x in kept if x > t - window]
-            out.append(len(kept) < limit)
-            if out[-1]:
-                kept.append(t)
-        return rows.assign(accepted=out)
+    others = [c for c in hits.columns if c not in (key, second)]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller, kept = object(), deque()
+        for rows in batches:
+            out = []
+            for who, t in zip(rows[key], rows[second]):
+                who = None if pd.isna(who) else who  # hits without a caller are one caller's
+                if who != caller:
+                    caller, kept = who, deque()
+                while kept and kept[0] <= t - window:
+                    kept.popleft()
+                out.append(len(kept) < limit)
+                if out[-1]:
+                    kept.append(t)
+            yield rows.assign(accepted=out)
 
     schema = ", ".join(f"{c} {t}" for c, t in hits.dtypes) + ", accepted boolean"
-    return hits.groupBy(key).applyInPandas(fold, schema)
+    return hits.repartition(key).sortWithinPartitions(key, second, *others).mapInPandas(fold, schema)

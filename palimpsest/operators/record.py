@@ -52,7 +52,7 @@ def latest_per(rows: DataFrame, key: str, order: list[str], keep: list[str]) ->
 
 def zero_filled(counts: DataFrame, codes: DataFrame, code: str) -> DataFrame:
     """Counts for every code of a small dimension, zero where nothing has it."""
-    return F.broadcast(codes).join(counts, code, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return codes.join(counts, code, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def eligibility(rows: DataFrame, detected: str, in_force: str, live_since: str, bootstrap: Column, fresh_days: int = 60) -> DataFrame:
