@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import accounts, delta, matching, packages, places, record, tables, texts, twins, upkeep, watch
+from .plans import accounts, delta, matching, notices, packages, places, record, tables, texts, twins, upkeep, watch
 
-MODULES = (delta, record, matching, watch, texts, upkeep, places, tables, accounts, twins, packages)
+MODULES = (delta, record, matching, watch, texts, upkeep, places, tables, accounts, twins, packages, notices)
 
 
 def queries() -> dict:
