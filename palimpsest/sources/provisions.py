@@ -286,7 +286,9 @@ def tree(docs: DataFrame, by: list[str], data: str = "data") -> dict[str, DataFr
     without a parent. A unit without a number has no nodes. ``unknown``: (by, tag, n): tags below units that are neither text,
     nor containers, nor locatable; their text is part of every node above.
     """
-    rows = staged(in_units(elements(docs, by, data)))
+    # few bytes of markup make many rows: documents are dealt to all tasks before they are opened
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(in_units(elements(docs.repartition(parts, *by), by, data)))
     found = staged(pieces(rows, by))
     heads = titles(rows, found, by)
     unit_tag = rows.where("pos = unit").select(*by, "unit", (F.col("tag") != "ARTICLE").alias("annex"))
@@ -304,7 +306,7 @@ def tree(docs: DataFrame, by: list[str], data: str = "data") -> dict[str, DataFr
             out.insert(0, name, value)
         return out
 
-    placed = staged(fold.groupBy(*keys).applyInPandas(places, placed_schema))
+    placed = staged(fold.repartition(parts, *keys).groupBy(*keys).applyInPandas(places, placed_schema))
     told = placed.join(texts_of(found, placed.select(*by, "pos"), by), [*by, "pos"], "left").join(walked.select(*by, "pos", "tag", "title"), [*by, "pos"])
     told = told.join(group_subjects(rows, walked, by), [*by, "pos"], "left")
     heading = (
@@ -393,6 +395,7 @@ def tables(made: dict[str, DataFrame], by: list[str]) -> DataFrame:
             out.insert(0, name, value)
         return out
 
-    grid = full.select(*keys, "line", "cols", "cell", "col", "across", "down", "text").groupBy(*keys).applyInPandas(lines, schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, so few bytes aren't gathered into one task
+    grid = full.select(*keys, "line", "cols", "cell", "col", "across", "down", "text").repartition(parts, *keys).groupBy(*keys).applyInPandas(lines, schema)
     about = told.join(numbered, [*by, "tbl"]).select(*keys, F.col("line").alias("row"), F.coalesce("header", F.lit(False)).alias("header"), "heading")
     return grid.join(about, [*keys, "row"]).select(*keys, "row", "header", "heading", "cells", "marks")
