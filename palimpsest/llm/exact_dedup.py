@@ -157,7 +157,8 @@ def quotient_bitmap(suspects: DataFrame) -> np.ndarray:
     return out
 
 
-def _hit(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
+def hit(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the quotient of each of ``fp``."""
     q = fp >> np.uint64(64 - 6 - (len(bitmap).bit_length() - 1))
     return (bitmap[(q >> np.uint64(6)).astype(np.int64)] >> (q & np.uint64(63))) & np.uint64(1) == 1
 
@@ -170,7 +171,7 @@ def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFr
     shared = rows.sparkSession.sparkContext.broadcast(quotient_bitmap(keys))
 
     def may(column: pd.Series) -> pd.Series:
-        return pd.Series(_hit(shared.value, column.to_numpy().view(np.uint64)))
+        return pd.Series(hit(shared.value, column.to_numpy().view(np.uint64)))
 
     known = F.pandas_udf(may, "boolean")(key)
     return rows.where(known), rows.where(~known)
@@ -185,7 +186,7 @@ def suspect_texts(texts: DataFrame, suspects: DataFrame) -> DataFrame:
             held: Counter[tuple[int, bytes]] = Counter()
             normals = [_normal(t) for t in _texts(batch.column("text"))]
             fp = np.array([xxhash.xxh3_64_intdigest(x) for x in normals], dtype=np.uint64)
-            for i in np.flatnonzero(_hit(shared.value, fp)).tolist() if len(fp) else ():
+            for i in np.flatnonzero(hit(shared.value, fp)).tolist() if len(fp) else ():
                 held[int(fp[i]), normals[i]] += 1
             rows = list(held.items())
             for at in range(0, len(rows), 500):

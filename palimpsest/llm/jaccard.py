@@ -15,11 +15,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import staged, text_blocks
-from .exact_dedup import split_by_keys
+from .exact_dedup import hit, quotient_bitmap, split_by_keys
 
 SLOTS = 1 << 24
 #: Slots of one row of a partition's table.
@@ -91,22 +92,74 @@ def prefix_length(n: int, floor: float) -> int:
     return n - int(np.ceil(floor * n - 1e-9)) + 1
 
 
-#: Shingles that a kernel holds before it ships them, and labels of parts for each partition.
+#: Shingles that a kernel holds before it ships them, labels of parts for each partition, and bytes of a shingle's head.
 SHIPPED = 500_000
 LABELS = 4
+HEAD = 6
 
 
-def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) -> DataFrame:
-    """(shingle, node, n, place): the shingles of texts' prefixes that two nodes or more have there.
+def _prefix(hashes: np.ndarray, levels: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, their places) of a text's prefix that more than one text may have, as far as ``levels`` tell."""
+    rank = levels[_slot(hashes)]
+    first = np.lexsort((hashes, rank))[: prefix_length(len(hashes), floor)]
+    place = np.flatnonzero(rank[first] > 0)
+    return hashes[first[place]], place
+
 
-    Most shingles are in one text only. All of them travel once, as arrays by part of their hash (half
-    the bytes of a row each); a part meets whole and lets go only what is shared.
+def repeated(texts: DataFrame, held: Broadcast, width: int, floor: float) -> DataFrame:
+    """(fp long): heads (the first ``HEAD`` bytes, then zeros) of all shingles that two texts or more have in their prefixes.
+
+    Once the table of levels is full it tells nothing of rare shingles. Heads tell it at any size: one
+    shingle travels as six bytes, not as a row. Two shingles of one head, or one text in two tasks, cost rows.
     """
-    held = texts.sparkSession.sparkContext.broadcast(levels)
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = np.uint64(LABELS * partitions)
-    names = ["shingle", "node", "n", "place"]
-    types = {"shingle": pa.int64(), "node": pa.int64(), "n": pa.int32(), "place": pa.int32()}
+    parts = np.uint64(LABELS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def by_part(found: list[np.ndarray]) -> pa.RecordBatch:
+        heads, times = np.unique(np.concatenate(found) >> np.uint64(64 - 8 * HEAD), return_counts=True)
+        heads = np.repeat(heads, np.minimum(times, 2))
+        part = (heads % parts).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        octets = heads[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HEAD]
+        pieces = [octets[lo:hi].tobytes() for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)])]
+        return pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), pa.array(pieces, pa.binary())], names=["part", "heads"])
+
+    def ship(batches):
+        found: list[np.ndarray] = []
+        size, seen = 0, set()
+        for batch in batches:
+            for _, node, hashes in _sets(batch.column("text"), width):
+                if len(hashes) and node not in seen:
+                    seen.add(node)
+                    found.append(_prefix(hashes, held.value, floor)[0])
+                    size += len(found[-1])
+                if size > SHIPPED:
+                    yield by_part(found)
+                    found, size = [], 0
+        if size:
+            yield by_part(found)
+
+    def meet(batches):
+        pieces = [x.as_buffer() for batch in batches for x in batch.column("heads")]
+        if not pieces:
+            return
+        octets = np.zeros((sum(len(x) for x in pieces) // HEAD, 8), dtype=np.uint8)
+        octets[:, :HEAD] = np.frombuffer(b"".join(pieces), dtype=np.uint8).reshape(-1, HEAD)
+        heads, times = np.unique(octets.view("<u8").ravel(), return_counts=True)
+        shared = (heads[times > 1] << np.uint64(64 - 8 * HEAD)).view(np.int64)
+        for at in range(0, len(shared), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(shared[at : at + 100_000])], names=["fp"])
+
+    shipped = texts.select("text").mapInArrow(ship, "part int, heads binary")
+    return shipped.repartition(int(parts) // LABELS, "part").mapInArrow(meet, "fp long")
+
+
+NAMES = ["shingle", "node", "n", "place"]
+
+
+def shipped(texts: DataFrame, held: Broadcast, shared: Broadcast, width: int, floor: float) -> DataFrame:
+    """(part, shingle, node, n, place as arrays): the shingles of texts' prefixes that the bitmap of repeated heads lets by."""
+    parts = np.uint64(LABELS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def by_part(found: list[tuple]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*found)]
@@ -115,7 +168,7 @@ def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) ->
         cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
         ends = pa.array(np.append(cuts, len(part)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), *lists], names=["part", *names])
+        return pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), *lists], names=["part", *NAMES])
 
     def ship(batches):
         found: list[tuple] = []
@@ -126,11 +179,11 @@ def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) ->
                 if not n or node in seen:
                     continue
                 seen.add(node)
-                rank = held.value[_slot(hashes)]
-                first = np.lexsort((hashes, rank))[: prefix_length(n, floor)]
-                place = np.flatnonzero(rank[first] > 0)
-                if len(place):
-                    found.append((hashes[first[place]].view(np.int64), np.full(len(place), node), np.full(len(place), n, dtype=np.int32), place.astype(np.int32)))
+                first, place = _prefix(hashes, held.value, floor)
+                use = hit(shared.value, first)
+                if use.any():
+                    first, place = first[use], place[use]
+                    found.append((first.view(np.int64), np.full(len(place), node), np.full(len(place), n, dtype=np.int32), place.astype(np.int32)))
                     size += len(place)
                 if size > SHIPPED:
                     yield by_part(found)
@@ -138,10 +191,24 @@ def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) ->
         if found:
             yield by_part(found)
 
+    return texts.select("text").mapInArrow(ship, "part int, shingle array<long>, node array<long>, n array<int>, place array<int>")
+
+
+def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) -> DataFrame:
+    """(shingle, node, n, place): the shingles of texts' prefixes that two nodes or more have there.
+
+    Most shingles are in one text only. Those that :func:`repeated` names travel as arrays by part of
+    their hash; a part meets whole and lets go only what is shared.
+    """
+    context = texts.sparkSession.sparkContext
+    held = context.broadcast(levels)
+    shared = context.broadcast(quotient_bitmap(staged(repeated(texts, held, width, floor))))
+    types = {"shingle": pa.int64(), "node": pa.int64(), "n": pa.int32(), "place": pa.int32()}
+
     def meet(batches):
-        pieces: list[list[np.ndarray]] = [[] for _ in names]
+        pieces: list[list[np.ndarray]] = [[] for _ in NAMES]
         for batch in batches:
-            for piece, name in zip(pieces, names):
+            for piece, name in zip(pieces, NAMES):
                 piece.append(batch.column(name).flatten().to_numpy())
         if not pieces[0]:
             return
@@ -154,10 +221,14 @@ def prefixes(texts: DataFrame, levels: np.ndarray, width: int, floor: float) ->
         order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         for at in range(0, len(order), 100_000):
             use = order[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c[use], types[k]) for k, c in zip(names, (shingle, node, n, place))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[use], types[k]) for k, c in zip(NAMES, (shingle, node, n, place))], names=NAMES)
 
-    shipped = texts.select("text").mapInArrow(ship, "part int, shingle array<long>, node array<long>, n array<int>, place array<int>")
-    return shipped.repartition(partitions, "part").mapInArrow(meet, "shingle long, node long, n int, place int")
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shipped(texts, held, shared, width, floor).repartition(partitions, "part")
+    out = staged(parts.mapInArrow(meet, "shingle long, node long, n int, place int"))
+    for sent in (held, shared):  # both have been used up
+        sent.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, floor: float) -> DataFrame:
@@ -168,7 +239,8 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
     sides = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     one = staged(nodes.join(sides, "node", "left_semi").groupBy("node").agg(F.min("tid").alias("tid")))
     named, _ = split_by_keys(texts, F.col("tid"), one.select(F.col("tid").alias("fp")))  # texts that no pair names stay where they are
-    used = staged(named.join(one, "tid").groupBy("node").agg(F.first("text").alias("text")))
+    # copies of a text are one row before they move, and once: a text has one node
+    used = staged(named.groupBy("tid").agg(F.first("text").alias("text")).join(one.hint("merge"), "tid").select("node", "text"))
     # texts grow with the input, so they are merged at every size, also where a small table would be broadcast
     sided = pairs.join(used.withColumnsRenamed({"node": "a", "text": "x"}).hint("merge"), "a").join(used.withColumnsRenamed({"node": "b", "text": "y"}).hint("merge"), "b")
 
@@ -222,7 +294,7 @@ def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, f
     """
     from .simhash import components
 
-    held = staged(prefixes(texts, shingle_levels(texts, width), width, floor))
+    held = prefixes(texts, shingle_levels(texts, width), width, floor)
     labelled = held.withColumn("l", F.col("node"))
     tried = staged(ordered(proposed).unionByName(starred(labelled, floor, 0)).distinct())
     near = staged(verified(tried, texts, nodes, width, floor))

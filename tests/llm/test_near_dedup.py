@@ -1,7 +1,11 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from palimpsest.llm import jaccard, simhash
+from palimpsest.llm.exact_dedup import quotient_bitmap
 
 
 def brute_kept(rows, width=5, floor=0.8):
@@ -60,3 +64,23 @@ def test_null_ids_clashing_names_and_repeats(spark):
     assert kept.columns == docs.columns
     assert sorted(str((r.doc_id, len(r.text or ""))) for r in kept.collect()) == sorted(str(x) for x in [(5, len(words)), (5, len(words)), (None, 5), (8, 0)])
     assert simhash.near_dedup(docs.limit(0)).collect() == []
+
+
+def test_a_full_table_ships_only_shared_shingles(spark):
+    # a full table of levels tells nothing; the heads do
+    rng = np.random.default_rng(5)
+    rows = [" ".join(f"u{k}" for k in rng.integers(0, 1 << 40, 200)) for _ in range(60)]
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = spark.createDataFrame([(t,) for t in [*rows, *[f"{r[:60]} {passage}" for r in rows[:20]], passage]], "text string").repartition(3)
+    context, full = spark.sparkContext, np.ones(jaccard.SLOTS, dtype=np.uint8)
+    held = context.broadcast(full)
+    heads = jaccard.repeated(texts, held, 5, 0.8)
+    prefix = lambda t: jaccard._prefix(*[h for _, _, h in jaccard._sets(pa.array([t]), 5)], full, 0.8)[0].tolist()
+    times = Counter(h for (t,) in texts.collect() for h in prefix(t))
+    want = {h for h, n in times.items() if n > 1}
+    assert want and {int(np.int64(r.fp).view(np.uint64)) >> 16 for r in heads.collect()} == {h >> 16 for h in want}
+    shared = context.broadcast(quotient_bitmap(heads))
+    sent = sum(len(r.shingle) for r in jaccard.shipped(texts, held, shared, 5, 0.8).collect())
+    assert sum(times[h] for h in want) <= sent < sum(times.values()) / 4
+    got = Counter(int(np.int64(r.shingle).view(np.uint64)) for r in jaccard.prefixes(texts, full, 5, 0.8).collect())
+    assert got == {h: times[h] for h in want}
