@@ -287,25 +287,37 @@ def starred(labelled: DataFrame, floor: float, turn: int) -> DataFrame:
     return ordered(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))).distinct()
 
 
-def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, floor: float) -> DataFrame:
-    """(a, b) verified links of ``texts`` (tid, text) and ``nodes`` (tid, node) whose components are those of all pairs at ``floor`` or more.
+def labels(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, floor: float) -> DataFrame:
+    """(node, label) of linked nodes of ``texts`` (tid, text) and ``nodes`` (tid, node): the least node that pairs at ``floor`` or more reach.
 
-    ``proposed`` (a, b) pairs of nodes are verified with the first round.
+    ``proposed`` (a, b) pairs of nodes are verified with the first round. A round that meets or links no
+    new pair leaves the labels as they are, and what would follow from it is not run.
     """
     from .simhash import components
 
     held = prefixes(texts, shingle_levels(texts, width), width, floor)
-    labelled = held.withColumn("l", F.col("node"))
-    tried = staged(ordered(proposed).unionByName(starred(labelled, floor, 0)).distinct())
-    near = staged(verified(tried, texts, nodes, width, floor))
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return held.join(found.withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
+
+    def grown(found: DataFrame, met: DataFrame) -> DataFrame:
+        if met.isEmpty():
+            return found
+        more = staged(verified(met, texts, nodes, width, floor))
+        stars = found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return found if more.isEmpty() else components(staged(stars.unionByName(more)))
+
+    tried = staged(ordered(proposed).unionByName(starred(held.withColumn("l", F.col("node")), floor, 0)).distinct())
+    found = components(staged(verified(tried, texts, nodes, width, floor)))
     for turn in range(1, ROUNDS):
-        labelled = held.join(components(near).withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
-        met = staged(starred(labelled, floor, turn).join(tried, ["a", "b"], "left_anti"))
-        near = staged(near.unionByName(verified(met, texts, nodes, width, floor)))
+        met = staged(starred(labelled(found), floor, turn).join(tried, ["a", "b"], "left_anti"))
+        found = grown(found, met)
         tried = tried.unionByName(met)
-    rows = held.join(components(near).withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
+    rows = labelled(found)
     mixed = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("k > 1 AND lo < hi")
     rows = staged(rows.join(mixed.select("shingle"), "shingle", "left_semi"))
+    if rows.isEmpty():
+        return found
     x, y = rows.alias("x"), rows.alias("y")
     enough = can_reach(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), floor)
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.l") != F.col("y.l")) & (F.col("x.node") < F.col("y.node")) & enough)
@@ -315,5 +327,4 @@ def links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, f
     )
     reach = F.col("both") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
     others = shared.where((1 + floor) * reach >= floor * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
-    others = staged(others.join(tried, ["a", "b"], "left_anti"))
-    return near.unionByName(verified(others, texts, nodes, width, floor))
+    return grown(found, staged(others.join(tried, ["a", "b"], "left_anti")))

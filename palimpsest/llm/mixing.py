@@ -137,7 +137,8 @@ def _blocks(streamed: DataFrame, wanted: DataFrame) -> DataFrame:
     passes = passes.withColumn("stop", F.least(F.col("begin") + F.col("size"), "end_at")).where("begin < stop")
     held = passes.withColumn("block", F.explode(F.expr(f"sequence(begin div {BLOCK_WORDS}, (stop - 1) div {BLOCK_WORDS})")))
     within = F.least("stop", (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("begin", F.col("block") * BLOCK_WORDS)
-    joined = held.withColumn("words", within).join(schedule(wanted), ["sid", "block"])
+    # blocks grow with the input, and their number is not told by the size of the rows that they come from: never a broadcast
+    joined = held.withColumn("words", within).join(schedule(wanted).hint("merge"), ["sid", "block"])
     return joined.select("slot", "sid", "block", "rank", "doc_id", "turn", "words")
 
 

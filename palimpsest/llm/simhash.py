@@ -315,7 +315,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = small.select("fp", "node").distinct().join(near, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     firsts = alike.groupBy("label").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     proposed = alike.join(firsts, "label").select("a", F.col("node").alias("b"))
-    found = components(staged(jaccard.links(texts.select("tid", "text"), small.select("tid", "node").distinct(), proposed, width, floor)))
+    found = jaccard.labels(texts.select("tid", "text"), small.select("tid", "node").distinct(), proposed, width, floor)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid")
     labelled = small.join(found, "node", "left").select("doc_id", "tid", F.coalesce("label", "node").alias("label")).withColumn("place", place)
     least = labelled.groupBy("label").agg(F.min("place").alias("least"))

@@ -86,3 +86,11 @@ def test_the_schedule_decides(spark):
     mixed = [r.doc_id for r in mixing.mix(df).coalesce(1).collect()]
     seen = list(dict.fromkeys(mixed))
     assert seen == sorted(seen, key=firsts.get) and len({i % 3 for i in seen[:6]}) > 1
+
+
+def test_blocks_are_never_broadcast(spark):
+    # few and long rows: what they are cut into is far larger than they are
+    df = spark.createDataFrame([(i, "w " * 5000, "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    streamed, wanted, _ = mixing._streams(df, "doc_id", "text", "source")
+    plan = mixing._blocks(streamed, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin[^\n]*\[sid#\d+L?, block#", plan) and not re.search(r"BroadcastHashJoin[^\n]*\[sid#\d+L?, block#", plan)

@@ -84,3 +84,13 @@ def test_a_full_table_ships_only_shared_shingles(spark):
     assert sum(times[h] for h in want) <= sent < sum(times.values()) / 4
     got = Counter(int(np.int64(r.shingle).view(np.uint64)) for r in jaccard.prefixes(texts, full, 5, 0.8).collect())
     assert got == {h: times[h] for h in want}
+
+
+def test_a_round_without_new_links_runs_nothing_more(spark, monkeypatch):
+    calls = Counter()
+    for module, name in ((simhash, "components"), (jaccard, "verified")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name: calls.update([n]) or f(*a))
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{words} end{i}") for i in range(4)] + [(9, " ".join(f"v{k}" for k in range(60)))]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9] and calls == {"components": 1, "verified": 1}
