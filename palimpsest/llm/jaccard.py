@@ -5,9 +5,10 @@ filter exact: of two sets with a similarity of ``floor`` or more, the first n -
 shingles of each have one in common. The order here is rarest first, by counts in a table of fixed size
 (``SLOTS``); a collision there costs rows, never a pair, and a passage that many texts share comes last.
 
-First texts meet a few hubs of their size under the shingles of their prefix, in ``ROUNDS`` rounds, so a
-family of copies costs a few rows a text. What these links leave apart meets in full, bounded by sizes
-and places; every pair is verified on the shingles themselves.
+First texts meet a hub of their size under the shingles of their prefix, so a family of copies costs a few
+rows a text; further rounds with other hubs follow while what is left has many meetings and a round halves
+them. What these links leave apart meets in full, bounded by sizes and places; every pair is verified on
+the shingles themselves.
 """
 
 from __future__ import annotations
@@ -258,8 +259,9 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, f
     return sided.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-#: Rounds of stars, and the hubs that a shingle's texts of one size may get in each.
-ROUNDS, HUBS = 2, 16
+#: The hubs that a shingle's texts of one size may get by hash in each round after the first, and the meetings a
+#: row of what is left up to which it meets in full without a further round.
+HUBS, MEETINGS = 16, 32
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -272,30 +274,62 @@ def can_reach(m, i, n, j, floor: float):
     return (1 + floor) * most >= floor * (m + n) - 1e-9
 
 
+def size_class(floor: float, shift: float = 0):
+    """A number of each size ``n`` such that sizes of one number are within a factor of ``floor``, and similar sets differ by one at most."""
+    return F.floor(F.log(F.col("n").cast("double")) / np.log(1 / floor) + shift).cast("int")
+
+
+def reaching(rows: DataFrame, floor: float) -> DataFrame:
+    """Those of ``rows`` (shingle, node, n, place) that some size under their shingle lets pair.
+
+    A text whose shingle stands late in its prefix pairs there only with smaller ones: it needs one. This is
+    :func:`can_reach` without the other's place, which the least size not below ``floor`` times its own meets best;
+    where a class holds smaller ones too, a row may stay in vain.
+    """
+    sized = rows.withColumn("size", size_class(floor))
+    least = sized.groupBy("shingle", "size").agg(F.min("n").alias("least"))
+    # the class below, and one more for what a logarithm rounds across a bound
+    least = least.withColumn("size", F.explode(F.array("size", F.col("size") + 1, F.col("size") + 2)))
+    least = least.groupBy("shingle", "size").agg(F.min("least").alias("least"))
+    enough = (1 + floor) * (F.col("n") - F.col("place")) >= floor * (F.col("n") + F.col("least")) - 1e-9
+    return sized.join(least, ["shingle", "size"]).where(enough).select(rows.columns)
+
+
 def starred(labelled: DataFrame, floor: float, turn: int) -> DataFrame:
     """(a, b): under each shingle of ``labelled`` (shingle, node, n, place, l), texts meet a hub of their size and of another label.
 
-    Hubs are drawn by a hash of node, round and a few bits of the shingle, so a family of copies has few
-    hubs, and a text several. Rounds cut sizes into classes at other places.
+    The hub is the text with the fewest rarer shingles, so of a family of copies the one that changed least, to which
+    most others are nearer than to each other. After the first round a second one is drawn by a hash of node, round and
+    a few bits of the shingle, so a family has few hubs, and a text several. Rounds cut sizes into classes at other places.
     """
-    size = F.floor(F.log(F.col("n").cast("double")) / np.log(1 / floor) + turn / ROUNDS).cast("int")
-    sized = labelled.withColumn("size", size)
-    drawn = F.xxhash64("node", F.lit(turn), F.pmod("shingle", F.lit(HUBS)))
-    hubs = sized.groupBy("shingle", "size").agg(F.min_by(F.struct("node", "n", "place", "l"), drawn).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    sized = labelled.withColumn("size", size_class(floor, turn / 2))
+    text, drawn = F.struct("node", "n", "place", "l"), F.xxhash64("node", F.lit(turn), F.pmod("shingle", F.lit(HUBS)))
+    orders = [F.struct("place", drawn), drawn][: 1 + min(turn, 1)]
+    hubs = sized.groupBy("shingle", "size").agg(F.array(*[F.min_by(text, o) for o in orders]).alias("hubs"), F.count("*").alias("k")).where("k > 1")
     enough = can_reach(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), floor)
-    met = sized.join(hubs, ["shingle", "size"]).where((F.col("l") != F.col("hub.l")) & enough)
+    met = sized.join(hubs, ["shingle", "size"]).withColumn("hub", F.explode("hubs")).where((F.col("l") != F.col("hub.l")) & enough)
     return ordered(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))).distinct()
 
 
+def apart(labelled: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows of ``labelled`` (shingle, l, ...) whose shingle has several labels, their number, and the pairs of them with one shingle and two labels."""
+    mixed = labelled.groupBy("shingle").agg(F.count("*").alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("k > 1 AND lo < hi")
+    rows = staged(labelled.join(mixed.select("shingle"), "shingle", "left_semi"))
+    each = rows.groupBy("shingle", "l").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+    n, pairs = each.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("inside")) / 2)).first()
+    return rows, n or 0, int(pairs or 0)
+
+
 def labels(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int, floor: float) -> DataFrame:
     """(node, label) of linked nodes of ``texts`` (tid, text) and ``nodes`` (tid, node): the least node that pairs at ``floor`` or more reach.
 
     ``proposed`` (a, b) pairs of nodes are verified with the first round. A round that meets or links no
-    new pair leaves the labels as they are, and what would follow from it is not run.
+    new pair leaves the labels as they are, and what would follow from it is not run. Further rounds follow while
+    what is left has more than ``MEETINGS`` a row and the last round halved them.
     """
     from .simhash import components
 
-    held = prefixes(texts, shingle_levels(texts, width), width, floor)
+    held = staged(reaching(prefixes(texts, shingle_levels(texts, width), width, floor), floor))
 
     def labelled(found: DataFrame) -> DataFrame:
         return held.join(found.withColumnRenamed("label", "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
@@ -309,14 +343,15 @@ def labels(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, width: int,
 
     tried = staged(ordered(proposed).unionByName(starred(held.withColumn("l", F.col("node")), floor, 0)).distinct())
     found = components(staged(verified(tried, texts, nodes, width, floor)))
-    for turn in range(1, ROUNDS):
-        met = staged(starred(labelled(found), floor, turn).join(tried, ["a", "b"], "left_anti"))
+    rows, n, pairs = apart(labelled(found))
+    turn, before = 1, 2 * pairs
+    while MEETINGS * n < pairs <= before / 2:
+        met = staged(starred(rows, floor, turn).join(tried, ["a", "b"], "left_anti"))
         found = grown(found, met)
         tried = tried.unionByName(met)
-    rows = labelled(found)
-    mixed = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("k > 1 AND lo < hi")
-    rows = staged(rows.join(mixed.select("shingle"), "shingle", "left_semi"))
-    if rows.isEmpty():
+        before, turn = pairs, turn + 1
+        rows, n, pairs = apart(labelled(found))
+    if not n:
         return found
     x, y = rows.alias("x"), rows.alias("y")
     enough = can_reach(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), floor)

@@ -94,3 +94,51 @@ def test_a_round_without_new_links_runs_nothing_more(spark, monkeypatch):
     rows = [(i, f"{words} end{i}") for i in range(4)] + [(9, " ".join(f"v{k}" for k in range(60)))]
     kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 9] and calls == {"components": 1, "verified": 1}
+
+
+def met_pairs(monkeypatch):
+    met = []
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a, f=jaccard.verified: met.append(pairs.count()) or f(pairs, *a))
+    return met
+
+
+def star_of_copies(n, changed=3, words=150):
+    # each is similar enough to the first text, and to no other
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(words)]
+    rows = [base]
+    for i in range(n):
+        copy = list(base)
+        for k, at in enumerate(rng.choice(words // 10, changed, replace=False)):
+            copy[10 * at + 5] = f"x{i}-{k}"
+        rows.append(copy)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_a_family_around_one_text_meets_few_pairs(spark, monkeypatch):
+    met, rows = met_pairs(monkeypatch), star_of_copies(120)
+    kept = sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == brute_kept(rows) == [0]
+    assert sum(met) < 4 * len(rows)
+
+
+def test_further_rounds_lose_nothing(spark, monkeypatch):
+    # with no meeting allowed, rounds follow as long as they halve what is left; families without their centre meet in full
+    turns = []
+    monkeypatch.setattr(jaccard, "MEETINGS", 0)
+    monkeypatch.setattr(jaccard, "starred", lambda *a, f=jaccard.starred: turns.append(a[2]) or f(*a))
+    rows = corpus() + [(i + 1000, t) for i, t in star_of_copies(30, 2)[1:]]
+    kept = sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == brute_kept(rows)
+    assert turns[:2] == [0, 1] and turns == list(range(len(turns)))
+
+
+def test_rows_that_no_size_lets_pair_go(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, 1000 * s + k, int(n), int(rng.integers(0, jaccard.prefix_length(int(n), 0.8)))) for s in range(40) for k, n in enumerate(rng.choice([20, 25, 40, 50, 64, 80, 100, 125, 146], int(rng.integers(1, 8))))]
+    all_rows = spark.createDataFrame(rows, "shingle long, node long, n int, place int")
+    left = {(r.shingle, r.node) for r in jaccard.reaching(all_rows, 0.8).collect()}
+    assert jaccard.reaching(all_rows, 0.8).columns == all_rows.columns
+    can = lambda m, i, n, j: 1.8 * min(m - i, n - j) >= 0.8 * (m + n) - 1e-9
+    needed = {(s, a) for s, a, m, i in rows if any(s == t and a != b and can(m, i, n, j) for t, b, n, j in rows)}
+    assert needed and needed <= left and len(left) < len(rows)
