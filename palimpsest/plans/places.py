@@ -322,10 +322,14 @@ def key_readers(spark, sf_dir):
     return rows.select("id", keys.read_key(F.col("cell"), F.col("form")).alias("r")).select("id", "r.key", "r.failed")
 
 
+#: Fixed value: the blanks that end no line: every space of Unicode, as DuckDB's ``trim`` has them.
+BLANKS = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 @query(r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents) SELECT doc_id, CASE WHEN length(ls[2]) BETWEEN 1 AND 200 AND NOT regexp_matches(ls[2], '^[0-9]') THEN ls[2] END AS subject FROM l")
 def annex_subject(spark, sf_dir):
     """The second line of a text, if it is short and isn't a number."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
     second = F.try_element_at(lines, F.lit(2))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.char_length(second).between(1, 200) & ~second.rlike("^[0-9]"), second).alias("subject"))
 

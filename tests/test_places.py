@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import dates, identifiers, keys, locations, references
 from palimpsest.operators import entries
 from palimpsest.operators.ranking import ranked
+from palimpsest.plans import places
 
 
 def one(spark, column, **values):
@@ -121,3 +122,12 @@ def test_ranks_with_other_columns_above_the_sample(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     assert (found.wrong, found.n) == (0, 300_000)
+
+
+def test_annex_subject_keeps_its_last_character(spark, tmp_path):
+    texts = ["0\n1 point 11\nx", "a\n \u2003 b c\u00a0 \nd", "a\n   \n\u00a0\nb\r ", "a\n 1st", "a", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = dict(map(tuple, places.annex_subject(spark, str(tmp_path)).collect()))
+    assert found == {0: None, 1: "b c", 2: "b\r", 3: None, 4: None, 5: None, 6: None}
+    spark.createDataFrame([(0, "x\nends in 171\ny")], "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/two/documents.parquet")
+    assert [r.subject for r in places.annex_subject(spark, f"{tmp_path}/two").collect()] == ["ends in 171"]
