@@ -54,19 +54,25 @@ def _zipped(name: pd.Series, xml: pd.Series, cut: pd.Series) -> pd.Series:
 
 def _packages(spark, sf_dir):
     """(key, content): two archives a customer."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, so few bytes aren't gathered into one task
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
-    items = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").withColumn("key", F.col("l_partkey") % 50)
-    items = items.withColumn("k", F.row_number().over(Window.partitionBy("id", "key").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")))
-    items = items.select("id", "key", "k", F.concat_ws(" ", "l_returnflag", F.lit("é"), F.col("l_quantity").cast("int")).alias("cell"), F.col("l_linestatus").alias("mode"))
-    kind, cell = F.col("key") % 10, F.col("cell")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    items = table(spark, sf_dir, "lineitem").select(*order, "l_returnflag", F.col("l_quantity").cast("int").alias("l_quantity"), "l_linestatus").join(orders, "l_orderkey")
+    items = items.where("id IS NOT NULL").repartition(parts, "id").withColumn("key", F.col("l_partkey") % 50)
+    one_key = Window.partitionBy("id", "key")
+    items = items.withColumns({"k": F.row_number().over(one_key.orderBy(*order)), "n": F.count("*").over(one_key)})
+    # an order line stands in each version's array of its customer, so lines are grouped once
+    kind, cell = F.col("key") % 10, F.concat_ws(" ", "l_returnflag", F.lit("é"), "l_quantity")
     edited = F.when(kind == 1, F.concat(cell, F.lit(" "))).when(kind == 2, F.replace(cell, F.lit("é"), F.lit("e"))).when(kind == 4, F.concat(cell, F.lit(" x"))).otherwise(cell)
-    old = items.where(kind != 3).withColumn("version", F.lit(1))
-    new = items.where((kind != 5) & ~((kind == 6) & (F.col("k") > 1))).withColumns({"cell": edited, "version": F.lit(2)})
-    lines = F.array_sort(F.collect_list(F.struct("key", "k", "cell", "mode")))
-    held = old.unionByName(new).groupBy("id", "version").agg(lines.alias("l"), F.count("*").alias("n"))
+
+    def version(cell, n):
+        return F.struct("key", "k", cell.alias("cell"), F.col("l_linestatus").alias("mode"), n.alias("n"))
+
     # how many lines a key has stands in its first line's cell, as a row span
-    spans = F.transform("l", lambda x: F.size(F.filter("l", lambda y: y["key"] == x["key"])))
-    held = held.withColumn("l", F.zip_with("l", spans, lambda x, n: x.withField("n", n)))
+    old = F.when(kind != 3, version(cell, F.col("n")))
+    new = F.when((kind != 5) & ~((kind == 6) & (F.col("k") > 1)), version(edited, F.when(kind == 6, F.lit(1).cast("long")).otherwise(F.col("n"))))
+    held = items.groupBy("id").agg(*[F.array_sort(F.collect_list(lines)).alias(name) for name, lines in (("old", old), ("new", new))])
+    held = held.select("id", F.inline(F.array(*[F.struct(F.lit(v).alias("version"), F.col(c).alias("l")) for v, c in ((1, "old"), (2, "new"))]))).where(F.size("l") > 0)
 
     def cell_of(col: int, text, extra=F.lit("")):
         return F.concat(F.lit(f'<CELL COL="{col}"'), extra, F.lit(">"), text, F.lit("</CELL>"))
@@ -80,12 +86,11 @@ def _packages(spark, sf_dir):
     end = f'<ROW>{header}<ROW><CELL COL="1"> </CELL></ROW></CORPUS></TBL></CONTENTS></ANNEX>'
     xml = F.concat(F.lit(start), F.array_join(F.transform("l", row), ""), F.lit(end))
     name = F.concat(F.lit("c"), F.col("id").cast("string"))
-    written = staged(held.select(F.concat_ws("/", "id", "version").alias("key"), name.alias("name"), xml.alias("xml"), (F.col("id") % 50 == 7).alias("cut")))
+    written = held.select(F.concat_ws("/", "id", "version").alias("key"), name.alias("name"), xml.alias("xml"), (F.col("id") % 50 == 7).alias("cut"))
     return written.select("key", F.pandas_udf(_zipped, "binary")("name", "xml", "cut").alias("content"))
 
 
-def _members(spark, sf_dir):
-    found = packages.members(_packages(spark, sf_dir), "key")
+def _told(found):
     part = F.split("key", "/")
     return found.withColumns({"id": part[0].cast("long"), "version": part[1].cast("int")})
 
@@ -96,26 +101,21 @@ UNION ALL SELECT id, version, 'read', unnest(['c' || id || '.doc.xml', 'c' || id
 )
 def package_members(spark, sf_dir):
     """The members of every package; an archive that can't be read is told by its state."""
-    return _members(spark, sf_dir).select("id", "version", "state", "name")
+    return _told(packages.members(_packages(spark, sf_dir), "key")).select("id", "version", "state", "name")
 
 
 @query(f"WITH {_LINES_SQL} SELECT id, version, 'c' || id || '.xml' AS name, 'annex' AS role FROM ids WHERE id % 50 <> 7")
 def package_documents(spark, sf_dir):
     """The documents among the members: wrappers and other files are none."""
-    return packages.documents(_members(spark, sf_dir), "key").select(F.split("key", "/")[0].cast("long").alias("id"), F.split("key", "/")[1].cast("int").alias("version"), "name", "role")
-
-
-def _tree(spark, sf_dir):
-    found = packages.documents(_members(spark, sf_dir), "key").where("role IN ('act', 'annex')")
-    docs = found.select(F.split("key", "/")[0].cast("long").alias("id"), F.split("key", "/")[1].cast("int").alias("version"), "data")
-    return provisions.tree(docs, ["id", "version"])
+    return _told(packages.read_documents(_packages(spark, sf_dir), "key", data=False)).select("id", "version", "name", "role")
 
 
 _PLACE = ["unit_name", "container", "table"]
 
 
 def _lines(spark, sf_dir):
-    lines = provisions.tables(_tree(spark, sf_dir), ["id", "version"])
+    docs = _told(packages.read_documents(_packages(spark, sf_dir), "key").where("role IN ('act', 'annex')"))
+    lines = provisions.tables(provisions.tree(docs, ["id", "version"]), ["id", "version"])
     return lines.withColumn("unit_name", F.array_join(F.slice(F.split("container", " "), 1, 2), " "))
 
 

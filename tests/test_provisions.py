@@ -100,3 +100,15 @@ def test_decoders(spark):
 def test_no_documents(spark):
     made = provisions.tree(docs(spark, "<a/>").limit(0), ["key", "doc"])
     assert made["nodes"].count() == 0 and provisions.tables(made, ["key", "doc"]).count() == 0
+
+
+def test_archives_are_read_once_and_in_batches(spark):
+    files = {"1.xml": "<ACT/>", "2.XML": "<CONS.ACT><ENACTING.TERMS/></CONS.ACT>", "3.xml": "<ANNEX/>", "4.xml": "<DOC/>", "5.txt": "<ACT/>", "6.xml": "<ACT>"}
+    rows = [(f"k{i}", bytearray(archive(files))) for i in range(40)] + [("junk", bytearray(b"no zip")), ("none", None), ("empty", bytearray(archive({})))]
+    archives = spark.createDataFrame(rows, "key string, content binary").coalesce(1)
+    read = packages.read_documents(archives, "key")
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    parted = packages.documents(packages.members(archives, "key"), "key")
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, parted.select(*read.columns).collect())) and read.count() == 160
+    sizes = packages.members(archives, "key").drop("data").mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "key string, state string, place int, name string")
+    assert sizes.count() < 43  # members of many archives leave a task together
