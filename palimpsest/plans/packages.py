@@ -115,7 +115,7 @@ _PLACE = ["unit_name", "container", "table"]
 
 def _lines(spark, sf_dir):
     docs = _told(packages.read_documents(_packages(spark, sf_dir), "key").where("role IN ('act', 'annex')"))
-    lines = provisions.tables(provisions.tree(docs, ["id", "version"]), ["id", "version"])
+    lines = provisions.table_lines(docs, ["id", "version"])
     return lines.withColumn("unit_name", F.array_join(F.slice(F.split("container", " "), 1, 2), " "))
 
 

@@ -2,47 +2,32 @@
 
 A document is flattened to one row an element (:func:`elements`), in document order, with the way down to it. Everything after
 that is joins and groups over those rows: which elements are units, which segment an element adds to a location, the texts of
-nodes, the tables of a unit. Two small folds run in Python, grouped: the places of a unit's nodes and the grid of one table.
-Both see no more than one document's rows.
+nodes. The places of a unit's nodes are a small fold in Python, grouped. Tables are read a document at a time (:mod:`outline`).
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import comparison_text
 from ..operators.stages import staged
+from . import outline
+from .outline import INLINE, DASHES, SKIPPED, UNITS, Places, flattened
 from .packages import well_formed
 
-#: Fixed values of the markup: units; subtrees that are no text; elements whose content is text only; containers without a
-#: location of their own; elements that may have one; elements that open a line; those inside a run of text whose content does;
-#: enumerators, which share their line with what follows; and cells, which continue theirs.
-UNITS = ("ARTICLE", "CONS.ANNEX", "ANNEX")
-SKIPPED = ("BIB.INSTANCE",)
-INLINE = (
-    "TITLE TI STI TI.BLK TI.ART STI.ART NO.PARAG NO.P NO.GR.SEQ NO.ITEM NO.SEQ TERM HT FT IE DATE LINK ADDR IMG.CNT INCL.ELEMENT "
-    "INCLUSIONS REF.DOC REF.DOC.OJ QUOT.START QUOT.END TBL NOTE ANNOTATION GR.ANNOTATION TOC TOC.BLK TOC.ITEM ITEM.CONT QUOT.S ARTICLE"
-).split()
+#: Lines of tables that leave a task at once.
+LINES = 2000
+
+#: Fixed values of the markup: containers without a location of their own, and elements that may have one.
 TRANSPARENT = "CONS.DOC ENACTING.TERMS FINAL CONTENTS DIVISION GR.SEQ LIST ITEM P TXT BLK DLIST DLIST.ITEM DEFINITION".split()
 LOCATABLE = "PARAG ALINEA NP GR.SEQ CONS.ANNEX ANNEX".split()
-BLOCKS = (
-    "ARTICLE PARAG ALINEA NP TXT LIST ITEM P DLIST DLIST.ITEM TERM DEFINITION ANNEX CONS.ANNEX CONTENTS GR.SEQ TITLE TI STI TI.ART STI.ART "
-    "TI.BLK NO.PARAG NO.P NO.GR.SEQ NO.ITEM TBL CORPUS BLK ROW CELL GR.NOTES LOC.NOTES TOC TOC.BLK TOC.ITEM ITEM.CONT ANNOTATION "
-    "GR.ANNOTATION ADDR INCL.ELEMENT IMG.CNT"
-).split()
-DETACHED = ("NOTE", "QUOT.S")
-ENUMERATORS = ("NO.PARAG", "NO.P", "NO.GR.SEQ", "NO.ITEM")
 #: First words of a title that heads a division.
 DIVISIONS = "CHAPTER PART SECTION SUBSECTION TITLE ANNEX APPENDIX FOREWORD CONTENTS TABLE INTRODUCTION ENTRY".split()
-#: Marks of an unnumbered point.
-DASHES = ("-", "–", "—", "―", "•", "*", "")
 
 #: Elements whose flat text is looked up by their parent, or for ``TI`` and ``STI`` by the title's parent.
 TITLES = ("TI.ART", "STI.ART", "NO.PARAG", "NO.P", "NO.GR.SEQ", "TITLE", "TI", "STI", "TI.BLK")
@@ -50,50 +35,6 @@ TITLES = ("TI.ART", "STI.ART", "NO.PARAG", "NO.P", "NO.GR.SEQ", "TITLE", "TI", "
 _ELEMENT = "pos int, end int, parent int, tag string, tags array<string>, up array<int>, attrs map<string,string>, at int, text string, tail_at int, tail string, gap string"
 
 
-def _flattened(root):
-    """Rows of ``_ELEMENT``, children before tails, by a stack (documents may be deep).
-
-    ``at`` and ``tail_at`` order all texts; ``gap`` is what stands before an element where its parent has text on the line already.
-    """
-    rows: list[list] = []
-    clock = 0
-    # of each open element: its row, its children to come, whether its text so far ends in a line with text, the tag before
-    stack: list[list] = []
-
-    def opened(element, gap):
-        nonlocal clock
-        above = stack[-1][0] if stack else None
-        row = [len(rows), None, above[0] if above else None, str(element.tag)]
-        row += [above[4] + [above[3]], above[5] + [above[0]]] if above else [[], []]
-        row += [dict(element.attrib), clock, element.text, None, None, gap]
-        clock += 1
-        rows.append(row)
-        stack.append([row, iter([c for c in element if isinstance(c.tag, str)]), bool(element.text) and not element.text[-1].isspace(), None, bool(element.text), element])
-
-    opened(root, None)
-    while stack:
-        row, children, inked, before, some, element = stack[-1]
-        child = next(children, None)
-        if child is not None:
-            gap = None
-            if child.tag not in SKIPPED and (child.tag in BLOCKS or child.tag in DETACHED) and inked:
-                gap = " " if before in ENUMERATORS or child.tag == "CELL" else "\n"
-                stack[-1][2] = False
-            opened(child, gap)
-            continue
-        stack.pop()
-        row[1] = len(rows) - 1
-        row[9], row[10] = clock, element.tail if stack else None
-        clock += 1
-        if stack:
-            outer = stack[-1]
-            if some and element.tag not in SKIPPED:
-                outer[2], outer[3], outer[4] = inked, element.tag, True
-            if element.tail:
-                outer[2], outer[3], outer[4] = not element.tail[-1].isspace(), None, True
-    return rows
-
-
 def elements(docs: DataFrame, by: list[str], data: str = "data") -> DataFrame:
     """(by, ``_ELEMENT``): one row an element, in document order; a document that isn't well formed has none."""
     rows = docs.select(*by, F.col(data).cast("binary").alias("_data"))
@@ -105,7 +46,7 @@ def elements(docs: DataFrame, by: list[str], data: str = "data") -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 root = well_formed(batch.column("_data")[at].as_py())
-                found = _flattened(root) if root is not None else []
+                found = flattened(root) if root is not None else []
                 for lo in range(0, len(found), 2000):
                     part = found[lo : lo + 2000]
                     keys = [batch.column(c).take(pa.array([at] * len(part))) for c in by]
@@ -253,34 +194,17 @@ def group_subjects(rows: DataFrame, walked: DataFrame, by: list[str]) -> DataFra
 
 
 def _placed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Locations of one unit's elements (pos, parent, tag, list_type, code, value), in document order.
-
-    An element without a segment, or whose location is taken, is passed through: what is below it belongs to the node above.
-    """
-    held: dict[int, tuple[str, dict, str | None]] = {}
-    out = []
+    """Locations of one unit's elements (pos, parent, tag, list_type, code, value), in document order."""
+    places, out = Places(), []
     for r in rows.sort_values("pos").itertuples():
-        where, scope, kind = held.get(r.parent, ("", {"n": Counter(), "taken": set()}, None))
-        code, value = r.code, r.value
-        if code == "PTA" and isinstance(kind, str) and kind.lower() == "roman":
-            code = "PTI"
-        kind = r.list_type if r.tag == "LIST" else kind
-        if isinstance(code, str):
-            if not isinstance(value, str):
-                scope["n"][code] += 1
-                value = str(scope["n"][code])
-            here = f"{where} {code} {value}".strip()
-            if here not in scope["taken"]:
-                scope["taken"].add(here)
-                out.append((int(r.pos), here, where or None))
-                held[r.pos] = (here, {"n": Counter(), "taken": set()}, None)
-                continue
-        held[r.pos] = (where, scope, kind)
+        found = places.add(r.pos, r.parent, r.tag, r.list_type, r.code, r.value)
+        if found is not None:
+            out.append((int(r.pos), *found))
     return pd.DataFrame(out, columns=["pos", "location", "above"])
 
 
 def tree(docs: DataFrame, by: list[str], data: str = "data") -> dict[str, DataFrame]:
-    """Documents as provisions: ``nodes``, ``unknown`` and ``rows`` (the elements of units, for :func:`tables`).
+    """Documents as provisions: ``nodes``, ``unknown``, ``rows`` and ``pieces`` (the elements of units and their texts) and ``docs`` (for :func:`tables`).
 
     ``nodes``: (by, unit, pos, location, parent, kind, heading, text, comparison_text): a row for each located element, units
     without a parent. A unit without a number has no nodes. ``unknown``: (by, tag, n): tags below units that are neither text,
@@ -318,84 +242,44 @@ def tree(docs: DataFrame, by: list[str], data: str = "data") -> dict[str, DataFr
     empty = F.lit("")
     nodes = told.select(*by, "unit", "pos", "location", "parent", kind.alias("kind"), _filled(heading).alias("heading"), F.coalesce("text", empty).alias("text"), F.coalesce("comparison_text", empty).alias("comparison_text"))
     unknown = walked.where(~F.col("tag").isin(*TRANSPARENT, *LOCATABLE, *UNITS)).groupBy(*by, "tag").agg(F.count("*").alias("n"))
-    return {"nodes": nodes, "unknown": unknown, "rows": rows, "pieces": found, "placed": placed}
-
+    return {"nodes": nodes, "unknown": unknown, "rows": rows, "pieces": found, "docs": docs.select(*by, F.col(data).alias("data"))}
 
-def _number(raw: str | None, least: int) -> int:
-    return max(least, int(raw)) if isinstance(raw, str) and raw.strip().isdigit() else least
 
-
-def _grid(cells: pd.DataFrame, columns: int) -> list[tuple]:
-    """The lines of one table: (row, cells, marks) from its cells (row, cell, col, across, down, text), in order.
-
-    A mark tells how a place was filled: empty by a cell, ``C`` across, ``R`` by a cell further up, ``-`` by nothing. A cell down
-    several rows shows its text in each, at its first column; a later one at the same column takes its place for good.
-    """
-    spans: dict[int, tuple[int, str]] = {}  # column -> the last row that it reaches, its text
-    rows: dict[int, list] = {}
-    for row, *cell in sorted(zip(*(cells[c].tolist() for c in ("row", "cell", "col", "across", "down", "text"))), key=lambda r: r[:2]):
-        rows.setdefault(int(row), []).append(cell)
-    lines, width = [], columns
-    for row, own in rows.items():
-        line = {c: (text, "R") for c, (last, text) in spans.items() if last >= row}
-        free = 1
-        for _, col, over, under, text in own:
-            if not isinstance(text, str):
-                continue  # a row without a cell
-            at = _number(col, 0)
-            while at == 0:
-                at = 0 if free in line else free
-                free += at == 0
-            across, down = _number(over, 1), _number(under, 1)
-            line |= {at: (text, "")} | {at + k: ("", "C") for k in range(1, across)}
-            if down > 1:
-                spans |= {at + k: (row + down - 1, text if k == 0 else "") for k in range(across)}
-            free = at + across
-        lines.append((row, line))
-        width = max([width, *line])
-    nothing = ("", "-")
-    return [(row, *map(list, zip(*[line.get(c, nothing) for c in range(1, width + 1)]))) if width else (row, [], []) for row, line in lines]
+def tables(made: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """The lines of every table of the units of a :func:`tree`."""
+    return table_lines(made["docs"], by, "data")
 
 
-def tables(made: dict[str, DataFrame], by: list[str]) -> DataFrame:
-    """(by, unit, container, table, row, header, heading, cells, marks): the lines of every table of the units of a :func:`tree`.
+def table_lines(docs: DataFrame, by: list[str], data: str = "data") -> DataFrame:
+    """(by, unit, container, table, row, header, heading, cells, marks): the lines of every table of the numbered units of documents.
 
     ``container`` is the location of the node that a table stands in, ``table`` its number there; a table inside a table is part of
-    the outer one. ``heading`` is the title of the innermost block around a row.
+    the outer one. ``heading`` is the title of the innermost block around a row. A task reads a document as a whole, so nothing is
+    shuffled; documents are as the caller has dealt them.
     """
-    rows, found, placed = made["rows"], made["pieces"], made["placed"]
-    first = F.array_position("steps", "TBL")
-    inside = rows.withColumn("_t", first).where("_t > 0")
-    places = F.concat("up", F.array("pos"))
-    # the way from the unit down: its own place comes first, so the table is as many further as its step
-    inside = inside.withColumn("tbl", F.element_at(F.filter(places, lambda p: p >= F.col("unit")), F.col("_t").cast("int") + 1)).withColumn("below", F.slice("steps", F.col("_t").cast("int") + 1, 1_000_000)).drop("_t")
-    heads = inside.where("pos = tbl").select(*by, "unit", "tbl", "up", F.col("attrs")["COLS"].alias("cols"))
-    above = heads.select(*by, "unit", "tbl", "cols", F.explode("up").alias("pos")).join(placed.select(*by, "unit", "pos", "location"), [*by, "unit", "pos"])
-    container = above.groupBy(*by, "unit", "tbl").agg(F.max_by("location", "pos").alias("container"), F.first("cols").alias("cols"))
-    numbered = container.withColumn("table", F.row_number().over(Window.partitionBy(*by, "unit", "container").orderBy("tbl")))
-    shape = F.array_join("below", " ")
-    line_of = inside.where(shape.rlike(r"^CORPUS (BLK )*ROW$")).select(*by, "tbl", F.col("pos").alias("row"), (F.col("attrs")["TYPE"] == "HEADER").alias("header"), "up")
-    cells = inside.where(shape.rlike(r"^CORPUS (BLK )*ROW CELL$")).select(*by, "pos", "parent", "attrs")
-    texts = texts_of(found, cells.select(*by, "pos"), by).select(*by, "pos", "text")
-    attr = F.col("attrs")
-    each = cells.join(texts, [*by, "pos"], "left").select(*by, F.col("parent").alias("row"), F.col("pos").alias("cell"), attr["COL"].alias("col"), attr["COLSPAN"].alias("across"), attr["ROWSPAN"].alias("down"), F.coalesce("text", F.lit("")).alias("text"))
-    named = inside.where((F.try_element_at("steps", F.lit(-1)) == "TI.BLK") & shape.rlike(r"^CORPUS (BLK )+TI\.BLK$")).select(*by, "pos", "parent")
-    block = named.join(texts_of(found, named.select(*by, "pos"), by).select(*by, "pos", "text"), [*by, "pos"], "left").groupBy(*by, "parent").agg(F.min_by(F.coalesce("text", F.lit("")), "pos").alias("text"))
-    held = line_of.select(*by, "row", F.explode("up").alias("parent")).join(block, [*by, "parent"]).groupBy(*by, "row").agg(F.max_by("text", "parent").alias("heading"))
-    ordinal = F.row_number().over(Window.partitionBy(*by, "tbl").orderBy("row"))
-    told = line_of.drop("up").join(held, [*by, "row"], "left").withColumn("line", ordinal)
-    full = told.join(each, [*by, "row"], "left").join(numbered, [*by, "tbl"])
-    keys = [*by, "unit", "container", "table"]
-    extra = [("row", T.IntegerType()), ("cells", T.ArrayType(T.StringType())), ("marks", T.ArrayType(T.StringType()))]
-    schema = T.StructType([full.schema[c] for c in keys] + [T.StructField(n, t) for n, t in extra])
-
-    def lines(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_grid(part.assign(row=part["line"]), _number(part["cols"].iloc[0], 0)), columns=["row", "cells", "marks"])
-        for name, value in reversed(list(zip(keys, key))):
-            out.insert(0, name, value)
-        return out
+    rows = docs.select(*by, F.col(data).cast("binary").alias("_data"))
+    line = T.StructType.fromDDL("unit int, container string, table int, row int, header boolean, heading string, cells array<string>, marks array<string>")
+    schema = T.StructType([rows.schema[c] for c in by] + line.fields)
+    arrow = to_arrow_schema(schema)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, so few bytes aren't gathered into one task
-    grid = full.select(*keys, "line", "cols", "cell", "col", "across", "down", "text").repartition(parts, *keys).groupBy(*keys).applyInPandas(lines, schema)
-    about = told.join(numbered, [*by, "tbl"]).select(*keys, F.col("line").alias("row"), F.coalesce("header", F.lit(False)).alias("header"), "heading")
-    return grid.join(about, [*keys, "row"]).select(*keys, "row", "header", "heading", "cells", "marks")
+    def run(batches):
+        for batch in batches:
+            from_doc: list[int] = []
+            held: list[tuple] = []
+
+            def made():
+                keys = [batch.column(c).take(pa.array(from_doc, pa.int64())) for c in by]
+                return pa.RecordBatch.from_arrays([*keys, *map(pa.array, zip(*held), arrow.types[len(by) :])], schema=arrow)
+
+            for at, blob in enumerate(batch.column("_data")):
+                root = well_formed(blob.as_py())
+                for found in outline.table_lines(root) if root is not None else ():
+                    from_doc.append(at)
+                    held.append(found)
+                    if len(held) == LINES:
+                        yield made()
+                        from_doc, held = [], []
+            if held:
+                yield made()
+
+    return rows.mapInArrow(run, schema)

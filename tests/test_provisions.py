@@ -112,3 +112,24 @@ def test_archives_are_read_once_and_in_batches(spark):
     assert sorted(map(repr, read.collect())) == sorted(map(repr, parted.select(*read.columns).collect())) and read.count() == 160
     sizes = packages.members(archives, "key").drop("data").mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "key string, state string, place int, name string")
     assert sizes.count() < 43  # members of many archives leave a task together
+
+
+def test_lines_of_tables_need_no_shuffle(spark):
+    made = provisions.tree(docs(spark, ANNEX, ACT, "<broken"), ["key", "doc"])
+    assert "Exchange" not in provisions.tables(made, ["key", "doc"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_tables_are_those_of_the_tree(spark):
+    table = '<TBL COLS="1"><CORPUS><ROW><CELL>x<P>y</P><P>z</P></CELL></ROW></CORPUS></TBL>'
+    inner = table.replace("x<P>", table + "<P>")
+    xml = f"""<ACT><TITLE><ARTICLE IDENTIFIER="9">{table}</ARTICLE></TITLE><ARTICLE><TI.ART>none</TI.ART>{table}</ARTICLE><ARTICLE IDENTIFIER="007A"><PARAG IDENTIFIER="007.001">{table}
+<ALINEA><NOTE>{table}</NOTE><LIST TYPE="roman"><ITEM><NP><NO.P>(iv).</NO.P><TXT>{inner}</TXT></NP><NP><NO.P>–</NO.P>{table}</NP></ITEM></LIST></ALINEA></PARAG><PARAG><NO.PARAG>2A.</NO.PARAG>{table}</PARAG></ARTICLE>
+<ANNEX><TITLE><TI>x</TI><TI>y</TI></TITLE>{table}</ANNEX><ANNEX><TITLE><TI>APPENDIX 3b</TI></TITLE>{table}<GR.SEQ><NO.GR.SEQ>B.</NO.GR.SEQ><BIB.INSTANCE>{table}</BIB.INSTANCE>{table}{table}</GR.SEQ></ANNEX></ACT>"""
+    made = provisions.tree(docs(spark, xml), ["key", "doc"])
+    units = {(r.unit, r.location) for r in made["nodes"].collect()}
+    found = {(r.unit, r.container, r.table): (r.cells, r.marks) for r in provisions.tables(made, ["key", "doc"]).collect()}
+    assert {k[:2] for k in found} <= units
+    assert {k[1:] for k in found} == {
+        ("AR 7a PA 1", 1), ("AR 7a PA 1 ALN 1", 1), ("AR 7a PA 1 ALN 1 PTI (iv)", 1), ("AR 7a PA 1 ALN 1 TIRE 1", 1), ("AR 7a PA 2a", 1), ("APP 3B", 1), ("APP 3B SCT B", 1), ("APP 3B SCT B", 2),
+    }
+    assert next(v for k, v in found.items() if k[1] == "AR 7a PA 2a") == (["x\ny\nz"], [""])
