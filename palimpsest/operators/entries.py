@@ -26,8 +26,13 @@ def folded(text: Column) -> Column:
 
 def body_rows(rows: DataFrame, table: list[str], line: str, header: Column, blank: Column) -> DataFrame:
     """``rows`` without header rows, repeats of a header's line in the same table, and blank rows."""
-    headers = rows.where(header).select(*table, line).distinct()
-    return rows.where(~header & ~blank).join(headers, [*table, line], "left_anti")
+    repeats = F.bool_or(header).over(Window.partitionBy(*table, line)) & F.col(line).isNotNull()
+    return _dealt(rows, table).withColumn("_heads", repeats).where(~header & ~blank & ~F.col("_heads")).drop("_heads")
+
+
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` dealt by ``by`` once, so windows and groups by it and more keys need no shuffle of their own."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def grouped(rows: DataFrame, table: list[str], key: str, order: list[str], cells: list[str]) -> DataFrame:
@@ -71,12 +76,13 @@ def difference(old: DataFrame, new: DataFrame, table: list[str], key: str, value
     group = [*table, key]
 
     def side(entries: DataFrame, name: str) -> DataFrame:
-        times = entries.groupBy(*group).agg(F.count("*").alias(f"n_{name}"))
-        return entries.join(times, group).select(*group, "occurrence", F.col(value).alias(name), f"n_{name}")
+        return entries.select(*group, "occurrence", F.lit(name).alias("_side"), F.col(value).alias("_value"))
 
-    both = side(old, "old").join(side(new, "new"), [*group, "occurrence"], "full")
-    n_old, n_new = (F.max(f"n_{s}").over(Window.partitionBy(*group)) for s in ("old", "new"))
-    both = both.withColumn("k_old", n_old).withColumn("k_new", n_new)
+    rows = _dealt(side(old, "old").unionByName(side(new, "new")).dropna(subset=group), group)
+    told = [f(F.when(F.col("_side") == s, x)).alias(f"{name}{s}") for s in ("old", "new") for f, x, name in ((F.max, F.col("_value"), ""), (F.count, F.lit(1), "n_"))]
+    both = rows.groupBy(*group, "occurrence").agg(*told)
+    for s in ("old", "new"):
+        both = both.withColumn(f"k_{s}", F.nullif(F.sum(f"n_{s}").over(Window.partitionBy(*group)), F.lit(0).cast("long")))
     same, spaced = (f(F.col("old")) == f(F.col("new")) for f in (lambda c: c, comparison_text))
     change = (
         F.when(F.col("k_new").isNull(), F.lit("removed")).when(F.col("k_old").isNull(), F.lit("added")).when(F.col("k_old") != F.col("k_new"), F.lit("unpaired"))

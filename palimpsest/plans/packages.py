@@ -141,8 +141,8 @@ def package_entry_diff(spark, sf_dir):
     """From the markup of two versions to the difference of their tables' entries."""
     held = entries.of_lines(_lines(spark, sf_dir), ["id", "version", *_PLACE])
     value = F.array_join(F.transform("rows", lambda r: F.array_join(F.slice(r, 2, 2), " /")), " ;")
-    shown = held.withColumn("value", value)
-    old, new = (shown.where(F.col("version") == v).drop("version", "rows") for v in (1, 2))
+    shown = staged(held.select("id", "version", *_PLACE, "key", "occurrence", value.alias("value")))
+    old, new = (shown.where(F.col("version") == v).drop("version") for v in (1, 2))
     return entries.difference(old, new, ["id", *_PLACE], "key", "value").select("id", "key", "change", "typography_only")
 
 

@@ -131,3 +131,17 @@ def test_annex_subject_keeps_its_last_character(spark, tmp_path):
     assert found == {0: None, 1: "b c", 2: "b\r", 3: None, 4: None, 5: None, 6: None}
     spark.createDataFrame([(0, "x\nends in 171\ny")], "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/two/documents.parquet")
     assert [r.subject for r in places.annex_subject(spark, f"{tmp_path}/two").collect()] == ["ends in 171"]
+
+
+def test_entries_are_dealt_once_for_a_difference(spark):
+    rows = spark.createDataFrame([("t", "1", 1, "a"), (None, "1", 1, "a"), ("t", "2", 1, "x"), ("t", "2", 2, "y"), ("t", "4", 1, None)], "t string, key string, occurrence int, cell string")
+    new = spark.createDataFrame([("t", "1", 1, "a "), ("t", None, 1, "a"), ("t", "2", 1, "x"), ("t", "3", 1, "z"), ("t", "4", 1, "q")], rows.schema)
+    told = entries.difference(rows, new, ["t"], "key", "cell")
+    assert {(r.t, r.key, r.occurrence, r.change) for r in told.collect()} == {("t", "1", 1, "whitespace"), ("t", "2", 0, "unpaired"), ("t", "3", 1, "added"), ("t", "4", 1, "amended")}
+    assert told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+    schema = "t string, row int, header boolean, cells array<string>, marks array<string>"
+    own = ["", ""]
+    lines = [("t", 1, True, ["K", "V"], own), ("t", 2, False, ["1", "a"], own), ("t", 3, False, [" K", "V "], own), ("t", 4, False, ["1", "b"], ["R", ""]), ("u", 1, False, ["K", "V"], own)]
+    held = {(r.t, r.key, r.occurrence): [x[1] for x in r.rows] for r in entries.of_lines(spark.createDataFrame(lines, schema), ["t"]).collect()}
+    assert held == {("t", "1", 1): ["a", "b"], ("u", "K", 1): ["V"]}
+    assert entries.of_lines(spark.createDataFrame(lines, schema), ["t"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
