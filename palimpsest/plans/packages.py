@@ -166,7 +166,7 @@ def _acts(spark, sf_dir):
     held = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "point"))), lambda x: x["point"]), "").alias("points"))
     number = (F.col("id") % 9989 + 10).cast("string")
     xml = F.concat(F.lit('<ACT><ENACTING.TERMS><ARTICLE IDENTIFIER="001"><TI.ART>Article 1</TI.ART><ALINEA>Regulation (EU) 2024/'), number, F.lit(" is amended as follows:<LIST>"), "points", F.lit("</LIST></ALINEA></ARTICLE></ENACTING.TERMS></ACT>"))
-    return staged(held.select("id", F.lit("act.xml").alias("name"), xml.cast("binary").alias("data")))
+    return held.select("id", F.lit("act.xml").alias("name"), xml.cast("binary").alias("data"))
 
 
 @query(

@@ -45,3 +45,15 @@ def test_named_acts(spark):
     cases = {"Regulation (EU) 2024/1689": "32024R1689", "REGULATION (EC) No 1907/2006 and": "32006R1907", "Regulation (EU, Euratom) 2018/1046": "32018R1046", "Regulation (EEC) No 2913/92": None, "Directive 93/42/EEC": None, "": None, "x" * 400 + " Regulation (EU) 2024/1689": None}
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.a for r in rows.select("t", instructions.named_act(F.col("t")).alias("a")).collect()} == cases
+
+
+def test_packages_are_read_whole_by_one_plan(spark):
+    point = "<ITEM><NP><NO.P>({})</NO.P><TXT>Article {} is deleted</TXT></NP></ITEM>"
+    act = '<ACT><ENACTING.TERMS><ARTICLE IDENTIFIER="001"><ALINEA>Regulation (EU) 2024/{} is amended as follows:<LIST>{}</LIST></ALINEA></ARTICLE><ARTICLE IDENTIFIER="002"><ALINEA>Article 9 is deleted</ALINEA></ARTICLE></ENACTING.TERMS></ACT>'
+    rows = [(p, n, bytearray(x.encode())) for p in range(30) for n, x in (("a.xml", act.format(p + 10, "".join(point.format(k, p + k) for k in range(50)))), ("b.xml", "<broken"))]
+    files = spark.createDataFrame([*rows, (None, "a.xml", rows[0][2]), (7, None, rows[0][2])], "package int, name string, data binary")
+    records = instructions.read(files, "package")["records"]
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # the driver holds no more than this plan, whatever is read
+    found = sorted((r.package, r.source, r.location, r.act) for r in records.collect())
+    assert found == sorted((p, f"AR 001 ({k})", f"AR {p + k}", f"32024R{p + 10:04d}") for p in range(30) for k in range(50))
