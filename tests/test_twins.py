@@ -2,6 +2,7 @@ import difflib
 
 import numpy as np
 
+from palimpsest.operators import similarity
 from palimpsest.plans.texts import twins
 
 
@@ -54,3 +55,20 @@ def test_no_rows_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, "b", "x y"), (3, "b", None), (None, "c", "x y")], "doc_id long, source string, text string")
     assert twins(docs.limit(0)).collect() == []
     assert twins(docs).collect() == []
+
+
+def test_texts_move_by_blocks_and_word_pairs_packed(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_PAIRS", 16)
+    rows = corpus()
+    nodes = spark.createDataFrame([(i, s, " ".join(t.split())) for i, s, t in rows], "row long, source string, t string").coalesce(1)
+    pairs = similarity.candidates(nodes, "row", "source", "t", 0.9)
+    found = {(r.left, r.right): round(r.ratio, 9) for r in similarity.paired_ratios(pairs, nodes, "row", "t", 0.9).collect()}
+    want = {}
+    for i, s, a in rows:
+        for j, t, b in rows:
+            if i < j and s != t and (ratio := difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio()) >= 0.9 and a.split():
+                want[i, j] = round(ratio, 9)
+    different = {p: r for p, r in want.items() if rows[p[0]][2] != rows[p[1]][2]}
+    assert different.items() <= found.items() <= want.items() and len(different) > 100
+    packed = similarity.prefixes(nodes, "row", "source", "t", 0.9)
+    assert packed.count() <= 4  # a row for each bucket of one batch, not for each word pair
